@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillhouse import schemas
+from rillhouse.sources.streams import parquet_rows
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A table of the driver, as a stream of its files if asked."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not stream:
+        return rows
+    return parquet_rows(spark, sf_dir, rows.schema, glob=f"{name}.parquet")
 
 
 def base_dic(spark: SparkSession) -> DataFrame:
@@ -184,14 +189,20 @@ def order_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_envelopes(changes: DataFrame) -> DataFrame:
+    """Change records with their typed payload turned into a text map."""
+    names = changes.schema["data"].dataType.names
+    return changes.withColumn("data", _payload(**{n: F.col("data")[n] for n in names}))
+
+
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events with their time in epoch milliseconds."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     millis = F.timestamp_diff("MILLISECOND", epoch, F.col("ts"))
-    return table(spark, sf_dir, "events").withColumn("ms", millis)
+    return table(spark, sf_dir, "events", stream).withColumn("ms", millis)
 
 
-def cart_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cart_log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Change log of shopping carts, from events."""
     kind = F.col("event_type")
     num = F.floor("value")
@@ -202,7 +213,7 @@ def cart_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(malformed, "1")
     )
     return _envelope(
-        events(spark, sf_dir),
+        events(spark, sf_dir, stream),
         "cart_info",
         F.when(kind == "click", "insert").otherwise("update"),
         _payload(
@@ -245,7 +256,7 @@ def cdc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(value.alias("value"), n.alias("seq"))
 
 
-def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_text(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Client log text from events, with malformed records."""
     n, kind = F.col("event_id"), F.col("event_type")
 
@@ -280,13 +291,13 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 103 == 0, F.concat(F.lit('{"page":{},"ts":'), "ms", F.lit("}")))
         .otherwise(good)
     )
-    return events(spark, sf_dir).select(value.alias("value"), n.alias("seq"))
+    return events(spark, sf_dir, stream).select(value.alias("value"), n.alias("seq"))
 
 
-def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_views(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Every event as a page view; views and signups start a visit."""
     kind = F.col("event_type")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, stream).select(
         F.col("user_id").cast("string").alias("mid"),
         F.when(~kind.isin("view", "signup"), F.concat(F.lit("p"), F.col("event_id") % 10)).alias(
             "last_page_id"

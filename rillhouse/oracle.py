@@ -388,5 +388,26 @@ FROM events""",
     }
 
 
+def _streams() -> dict[str, str]:
+    """Streaming queries, which end in the state of their batch counterparts."""
+    batch = _all()
+    outputs = " UNION ALL ".join(
+        f"SELECT '{name}' AS output, mid, is_new, seq, value FROM {name}_log"
+        for name in ("page", "start", "display", "action", "error")
+    )
+    closed = f" AND (next_ts IS NOT NULL OR ts + {WITHIN_MS} < (SELECT max(ts) FROM views))"
+    return {
+        "stream_cart_add": batch["trade_cart_add"],
+        "stream_log_split": f"""WITH {_LOG} {outputs}
+UNION ALL SELECT 'dirty', NULL, NULL, seq, value FROM dirty_log""",
+        "stream_unique_visitor": f"SELECT mid, dt FROM ({batch['traffic_unique_visitor']})",
+        "stream_user_jump_closed": f"""SELECT mid, ts, seq FROM (
+{_jumps(_VIEWS, "views", "all", closed)})""",
+        "stream_order_pre_process_latest": batch["trade_order_pre_process_latest"],
+        "stream_pay_detail_latest": batch["trade_pay_detail_latest"],
+        "stream_dim_upsert": batch["dim_upsert_latest"],
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return _all()
+    return {**_all(), **_streams()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse import bindings
+from rillhouse import bindings, schemas
 from rillhouse.functions import dates
 from rillhouse.operators import dimensions, routing, visits
 from rillhouse.operators.latest import latest_by_key
@@ -16,7 +16,11 @@ from rillhouse.operators.skew import find_hot_keys
 from rillhouse.oracle import WITHIN_MS
 from rillhouse.plans import trade, traffic
 from rillhouse.sinks.tables import current_dimension
+from rillhouse.sinks.topics import stream_files
 from rillhouse.sources.records import cdc_envelope, split_cdc
+from rillhouse.sources.streams import parquet_rows
+from rillhouse.streaming import jobs
+from rillhouse.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -274,3 +278,103 @@ def date_util(spark, sf_dir):
             "second_ms": dates.millis_of_text(F.col("second"), full=True),
         }
     )
+
+
+# --- streaming --------------------------------------------------------------------
+#
+# Each runs a job over the tables as streams until everything is worked off, and
+# returns the table it wrote.
+
+
+@_query
+def stream_cart_add(spark, sf_dir):
+    root = new_folder(spark, "cart")
+    rows = trade.cart_add(bindings.cart_log(spark, sf_dir, stream=True), bindings.base_dic(spark))
+    writer = stream_files(rows, f"{root}/dwd_trade_cart_add", f"{root}/checkpoint")
+    writer.trigger(**jobs.NOW).start().awaitTermination()
+    return spark.read.parquet(f"{root}/dwd_trade_cart_add")
+
+
+@_query
+def stream_log_split(spark, sf_dir):
+    root = new_folder(spark, "log")
+    raw = bindings.log_text(spark, sf_dir, stream=True)
+    running = [jobs.start_dirty(raw, root), jobs.start_log_split(raw, root)]
+    for query in running:
+        query.awaitTermination()
+    tables = jobs.log_tables(root)
+    dirty = spark.read.parquet(tables["dirty"]).withColumns(
+        {c: F.lit(None).cast("string") for c in ("mid", "is_new")}
+    )
+    rows = dirty.select(F.lit("dirty").alias("output"), "mid", "is_new", "seq", "value")
+    for name in ("page", "start", "display", "action", "error"):
+        part = spark.read.parquet(tables[name])
+        rows = rows.unionAll(part.select(F.lit(name), "mid", "is_new", "seq", "value"))
+    return rows
+
+
+@_query
+def stream_unique_visitor(spark, sf_dir):
+    root = new_folder(spark, "visitor")
+    jobs.start_unique_visitor(
+        bindings.page_views(spark, sf_dir, stream=True), root
+    ).awaitTermination()
+    # Rows of a micro-batch come in no order, so which entry stands for a day is open.
+    return spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail").select("mid", "dt")
+
+
+@_query
+def stream_user_jump_closed(spark, sf_dir):
+    root = new_folder(spark, "jump")
+    pages = bindings.page_views(spark, sf_dir, stream=True)
+    rows = pages.withColumn("value", F.to_json(F.struct("mid", "ts")))
+    jobs.start_user_jump(rows, root, WITHIN_MS).awaitTermination()
+    return spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail").select("mid", "ts", "seq")
+
+
+def _trade_job(spark: SparkSession, sf_dir: str) -> jobs.TradeJob:
+    """The trade job after three restarts: orders, then promotions, then the rest."""
+    root = new_folder(spark, "trade")
+    log = bindings.order_changes(spark, sf_dir)
+    info, pay = log["order_info"], log["payment_info"]
+    arrivals = [
+        [log["order_detail"], info.where("type = 'insert'"), pay.where("type = 'insert'")],
+        [log["order_detail_activity"], log["order_detail_coupon"]],
+        [info.where("type = 'update'"), pay.where("type = 'update'")],
+    ]
+    job = jobs.TradeJob(spark, root, lambda: bindings.base_dic(spark), buckets=8)
+    for changes in arrivals:
+        for part in changes:
+            bindings.as_envelopes(part).write.mode("append").parquet(f"{root}/topic_db")
+        job.start(parquet_rows(spark, f"{root}/topic_db", schemas.CDC_ENVELOPE)).awaitTermination()
+    return job
+
+
+@_query
+def stream_order_pre_process_latest(spark, sf_dir):
+    job = _trade_job(spark, sf_dir)
+    rows = job.pre_process.read(job.last).withColumn("_v", F.col("oi_ts").cast("bigint"))
+    newest = latest_by_key(rows, ["id"], ["_v", "type", "batch_id"])
+    return newest.withColumn("old", F.to_json("old")).drop("_v", "batch_id", "row_op_ts")
+
+
+@_query
+def stream_pay_detail_latest(spark, sf_dir):
+    job = _trade_job(spark, sf_dir)
+    rows = job.pay_detail.read(job.last).withColumn("_v", F.col("ts").cast("bigint"))
+    newest = latest_by_key(rows, ["order_detail_id"], ["_v", "batch_id"])
+    return newest.drop("_v", "batch_id", "row_op_ts")
+
+
+@_query
+def stream_dim_upsert(spark, sf_dir):
+    root = new_folder(spark, "dim")
+    changes = bindings.dimension_changes(spark, sf_dir)
+    text = changes.select(F.to_json(F.struct(*changes.columns)).alias("value"))
+    text.write.parquet(f"{root}/topic_db")
+    raw = parquet_rows(spark, f"{root}/topic_db", schemas.text_struct("value"))
+    config = lambda: dimensions.latest_config(bindings.dimension_config(spark))
+    jobs.DimensionJob(spark, root, config).start(cdc_envelope(raw)).awaitTermination()
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment"]
+    rows = spark.read.parquet(f"{root}/dim_customer").withColumn("_v", F.col("ts").cast("bigint"))
+    return current_dimension(rows, ["c_custkey"], ["_v"]).select(*columns)

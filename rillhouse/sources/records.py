@@ -68,7 +68,7 @@ def _object(doc: Column, path: str) -> Column:
 
 
 def parse_log(raw: DataFrame) -> DataFrame:
-    """Client log records parsed from ``value`` text (with ``seq``).
+    """Client log records parsed from ``value`` text; other columns are carried along.
 
     Nested objects stay whole as variants, whatever fields they hold; the few
     fields the dataflows compute with become typed columns. ``mid`` or ``ts`` is
@@ -76,9 +76,11 @@ def parse_log(raw: DataFrame) -> DataFrame:
     """
     doc = F.col("_doc")
     parsed = raw.withColumn("_doc", F.try_parse_json("value"))
+    carried = [c for c in raw.columns if c not in ("value", "seq")]
     return parsed.select(
         "value",
         "seq",
+        *carried,
         F.try_variant_get(doc, "$.common.mid", "string").alias("mid"),
         F.try_variant_get(doc, "$.common.is_new", "string").alias("is_new"),
         F.try_variant_get(doc, "$.page.last_page_id", "string").alias("last_page_id"),
@@ -92,11 +94,16 @@ def parse_log(raw: DataFrame) -> DataFrame:
     )
 
 
-def split_log(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(log records, raw text of dirty records).
+def is_log_record() -> Column:
+    """Whether a parsed record has a device id and an event time.
 
-    Dirty is text that is no JSON object, or has no device id or event time:
-    such a record can be neither keyed nor ordered.
+    Text that is no JSON object has neither; without them a record can be
+    neither keyed nor ordered.
     """
-    usable = F.col("mid").isNotNull() & F.col("ts").isNotNull()
-    return parsed.where(usable).drop("value"), parsed.where(~usable).select("value", "seq")
+    return F.col("mid").isNotNull() & F.col("ts").isNotNull()
+
+
+def split_log(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(log records, raw text of dirty records)."""
+    usable = parsed.where(is_log_record()).drop("value")
+    return usable, parsed.where(~is_log_record()).select("value", "seq")
