@@ -333,14 +333,18 @@ def stream_user_jump_closed(spark, sf_dir):
 
 
 def _trade_job(spark: SparkSession, sf_dir: str) -> jobs.TradeJob:
-    """The trade job after three restarts: orders, then promotions, then the rest."""
+    """The trade job run twice: orders first, then promotions and all later changes."""
     root = new_folder(spark, "trade")
     log = bindings.order_changes(spark, sf_dir)
     info, pay = log["order_info"], log["payment_info"]
     arrivals = [
         [log["order_detail"], info.where("type = 'insert'"), pay.where("type = 'insert'")],
-        [log["order_detail_activity"], log["order_detail_coupon"]],
-        [info.where("type = 'update'"), pay.where("type = 'update'")],
+        [
+            log["order_detail_activity"],
+            log["order_detail_coupon"],
+            info.where("type = 'update'"),
+            pay.where("type = 'update'"),
+        ],
     ]
     job = jobs.TradeJob(spark, root, lambda: bindings.base_dic(spark), buckets=8)
     for changes in arrivals:

@@ -8,6 +8,15 @@ from pyspark.sql import types as T
 
 from rillhouse.schemas import CDC_ENVELOPE, TABLE_PROCESS_CHANGE
 
+def parse_once(raw: DataFrame, name: str, parsed: Column) -> DataFrame:
+    """Add a parsed column that later filters cannot make Spark parse again.
+
+    A filter over a projected expression is pushed below the projection, with a
+    copy of the expression. It cannot be pushed below a generator.
+    """
+    return raw.select("*", F.explode(F.array(parsed)).alias(name))
+
+
 BOOTSTRAP_MARKERS = ("bootstrap-start", "bootstrap-complete")
 
 
@@ -18,7 +27,7 @@ def cdc_envelope(raw: DataFrame) -> DataFrame:
     does not parse as a change record, ``_corrupt_record`` holds the text.
     """
     schema = T.StructType(CDC_ENVELOPE.fields + [T.StructField("_corrupt_record", T.StringType())])
-    parsed = raw.withColumn("_rec", F.from_json("value", schema))
+    parsed = parse_once(raw, "_rec", F.from_json("value", schema))
     kept = [c for c in raw.columns if c != "value"]
     return parsed.select("value", *kept, "_rec.*")
 
@@ -75,7 +84,7 @@ def parse_log(raw: DataFrame) -> DataFrame:
     null where the text is no log record.
     """
     doc = F.col("_doc")
-    parsed = raw.withColumn("_doc", F.try_parse_json("value"))
+    parsed = parse_once(raw, "_doc", F.try_parse_json("value"))
     carried = [c for c in raw.columns if c not in ("value", "seq")]
     return parsed.select(
         "value",
