@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rillhouse.functions.values import split_list
@@ -63,6 +65,16 @@ def with_defaults(config: DataFrame) -> DataFrame:
     )
 
 
+def sink_layouts(routes: Iterable[Row]) -> dict[str, list[str]]:
+    """Columns of each sink table; tables fed by several sources have all of theirs."""
+    layouts: dict[str, list[str]] = {}
+    for route in routes:
+        layout = layouts.setdefault(route["sink_table"], [])
+        names = [c.strip() for c in route["sink_columns"].split(",")]
+        layout += [c for c in dict.fromkeys(names) if c and c not in layout]
+    return layouts
+
+
 def dimension_rows(routed: DataFrame, sink_table: str, columns: list[str]) -> DataFrame:
     """The routed rows of one sink table with its columns spread out."""
     own = routed.where(F.col("sink_table") == sink_table)

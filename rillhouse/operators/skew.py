@@ -18,7 +18,7 @@ import math
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +170,17 @@ def is_small(df: DataFrame, max_rows: int = _BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def collect_small(df: DataFrame, max_rows: int = 10_000) -> list[Row]:
+    """All rows of a small table, such as the configuration, on the driver.
+
+    A larger one is refused rather than cut.
+    """
+    rows = df.take(max_rows + 1)
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    return rows
+
+
 def lookup_join(
     rows: DataFrame,
     dim: DataFrame,

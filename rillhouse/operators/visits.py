@@ -7,6 +7,8 @@ rows of a device in one task.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,42 +79,68 @@ def unique_visitor(pages: DataFrame, tz: str | None = None) -> DataFrame:
     return first_by_key(entries, ["mid", "dt"], [F.col("ts").asc(), F.col("seq").asc()])
 
 
-def _cut_points(pages: DataFrame, hot: HotKeys) -> list[tuple[str, list[int]]]:
-    """Event times that cut the time line of each hot device into its cells.
+_FIRST = -(2**63)  # before any seq
+
+
+def _quantiles(
+    pages: DataFrame, keys: list[str], value: str, cells: dict[tuple, int]
+) -> dict[tuple, list[int]]:
+    """Values that cut the rows of each given key into its number of cells.
 
-    Cell counts are rounded up to powers of two so that one pass can take the
-    quantiles of all devices; about 4P numbers reach the driver at most, for P
-    shuffle partitions.
+    Cell counts are rounded up to powers of two so that one pass serves all keys;
+    the driver receives at most twice as many numbers as there are cells.
     """
-    cells = {mid: 1 << (n - 1).bit_length() for mid, n in hot.items()}
+    cells = {key: 1 << (n - 1).bit_length() for key, n in cells.items()}
+    schema = T.StructType([pages.schema[k] for k in keys]).add("_n", T.IntegerType())
+    sizes = pages.sparkSession.createDataFrame([(*k, n) for k, n in cells.items()], schema)
     quantiles = []
     for n in sorted(set(cells.values())):
-        own = F.col("mid").isin([mid for mid, c in cells.items() if c == n])
         shares = [i / n for i in range(1, n)]
-        at = F.percentile_approx(F.when(own, F.col("ts")), shares, max(10_000, 10 * n))
-        quantiles.append(at.alias(f"at_{n}"))
-    lines = pages.where(F.col("mid").isin(list(cells))).groupBy("mid").agg(*quantiles).collect()
-    return [(r["mid"], sorted(set(r[f"at_{cells[r['mid']]}"]))) for r in lines]
+        own = F.when(F.col("_n") == n, F.col(value))
+        quantiles.append(F.percentile_approx(own, shares, max(10_000, 10 * n)).alias(f"at_{n}"))
+    rows = pages.join(F.broadcast(sizes), keys).groupBy(*keys).agg(*quantiles).collect()
+    found = {tuple(r[k] for k in keys): r for r in rows}
+    return {key: found[key][f"at_{n}"] or [] for key, n in cells.items()}
+
+
+def _cut_points(pages: DataFrame, hot: HotKeys) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(ts, seq) points that cut the time line of each hot device into its cells.
+
+    An event time that takes up several quantiles holds as many cells of rows
+    itself; it is cut again, by ``seq``.
+    """
+    times = _quantiles(pages, ["mid"], "ts", {(mid,): n for mid, n in hot.items()})
+    cuts = {mid: {(at, _FIRST) for at in found} for (mid,), found in times.items()}
+    bursts = {
+        (mid, at): hits + 1
+        for (mid,), found in times.items()
+        for at, hits in Counter(found).items()
+        if hits > 1
+    }
+    if bursts:
+        for (mid, at), found in _quantiles(pages, ["mid", "ts"], "seq", bursts).items():
+            cuts[mid] |= {(at, seq) for seq in found}
+    return [(mid, sorted(points)) for mid, points in cuts.items()]
 
 
 def _sliced(pages: DataFrame, hot: HotKeys) -> DataFrame:
     """Number the rows of each hot device by slices of its time line, others 0.
 
-    The cut points are quantiles of the device's own event times, so its slices
-    hold about equal row counts. They are fixed once, on the driver, so that
-    every use of the result sees the same slices.
+    The cut points are quantiles of the device's own rows, so its slices hold
+    about equal row counts. They are fixed once, on the driver, so that every use
+    of the result sees the same slices; fewer than 4P are needed for P shuffle
+    partitions.
     """
-    schema = T.StructType(
-        [
-            T.StructField("_hot_mid", T.StringType()),
-            T.StructField("_cuts", T.ArrayType(T.LongType())),
-        ]
-    )
+    schema = "_hot_mid string, _cuts array<struct<ts:bigint,seq:bigint>>"
     cuts = pages.sparkSession.createDataFrame(_cut_points(pages, hot), schema)
-    passed = F.size(F.filter("_cuts", lambda c: c <= F.col("ts")))
+    seq = F.coalesce("seq", F.lit(_FIRST))
+    passed = F.filter(
+        "_cuts",
+        lambda c: (c["ts"] < F.col("ts")) | ((c["ts"] == F.col("ts")) & (c["seq"] <= seq)),
+    )
     return (
         pages.join(F.broadcast(cuts), F.col("mid") == F.col("_hot_mid"), "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed))
+        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(passed)))
         .drop("_hot_mid", "_cuts")
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillhouse.operators.latest import latest_by_key
+from rillhouse.operators.skew import collect_small
 
 
 def current_dimension(
@@ -121,7 +122,7 @@ class VersionLog:
 
 def create_dimension_tables(spark: SparkSession, ddl: DataFrame, column: str = "ddl") -> int:
     """Run the create-table text of every configuration row; returns their number."""
-    statements = [r[0] for r in ddl.select(column).distinct().collect()]
+    statements = [r[0] for r in collect_small(ddl.select(column).distinct())]
     for statement in statements:
         spark.sql(statement)
     return len(statements)

@@ -119,6 +119,12 @@ def test_dimension_job_follows_its_configuration(spark):
     assert [r.value for r in spark.read.parquet(f"{root}/dirty_data").collect()] == ["{bad"]
 
 
+def test_sink_fed_by_two_sources(spark):
+    rows = [tuple(config_record("id,name", "a", "dim").values()), tuple(config_record("id, code", "b", "dim").values())]
+    config = spark.createDataFrame(rows, schemas.TABLE_PROCESS)
+    assert dimensions.sink_layouts(config.collect()) == {"dim": ["id", "name", "code"]}
+
+
 def test_topic_records(spark):
     df = spark.createDataFrame([("1", "n", None)], "id string, name string, gone string")
     row = as_topic(df, "dwd", key="id").first()

@@ -167,8 +167,10 @@ def test_user_jump_with_hot_device(spark, burst):
     assert sorted(both) == expected
 
 
-def test_hot_device_is_sliced_evenly(spark):
-    rows = [("hot", None, i * 10, i) for i in range(4000)] + [
+@pytest.mark.parametrize("step", [10, 0])
+def test_hot_device_is_sliced_evenly(spark, step):
+    """Also when all its rows carry one event time."""
+    rows = [("hot", None, 7 + i * step, i) for i in range(4000)] + [
         (f"m{i}", None, i, i) for i in range(8000)
     ]
     df = spark.createDataFrame(rows, PAGES)
