@@ -373,17 +373,20 @@ def dimension_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes
 
 
-def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long configuration change log from events: one source table per user."""
+def config_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long configuration change log from events, as text: one source table per user."""
     kind = F.col("event_type")
-    return events(spark, sf_dir).select(
+    row = F.struct(
         F.concat(F.lit("src_"), "user_id").alias("source_table"),
         F.concat(F.lit("dim_"), "user_id", F.lit("_"), kind).alias("sink_table"),
         sink_columns_of(kind).alias("sink_columns"),
         F.when(kind != "view", "sku_id").alias("sink_pk"),
         F.when(kind == "click", "COMMENT 'clicked'").alias("sink_extend"),
-        (kind == "error").alias("deleted"),
-        F.col("event_id").alias("seq"),
+    )
+    removed = kind == "error"
+    change = F.struct(F.when(removed, row).alias("before"), F.when(~removed, row).alias("after"))
+    return events(spark, sf_dir).select(
+        _text_of(change).alias("value"), F.col("event_id").alias("seq")
     )
 
 

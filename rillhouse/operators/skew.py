@@ -1,7 +1,7 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key counts as hot when it holds more rows than an average shuffle partition,
-that is more than 1/P of its table for P shuffle partitions. Fewer than P keys
+A key counts as hot when it holds more rows than two average shuffle partitions,
+that is more than 2/P of its table for P shuffle partitions. Fewer than P/2 keys
 can do so, which bounds everything collected or broadcast here by P, whatever
 the size of the data.
 
@@ -27,6 +27,7 @@ HotKeys = dict[str | None, int]
 
 _MAX_TRACKED = 1_000_000  # upper limit of Spark's frequent-items sketch
 _BROADCAST_ROWS = 100_000
+_HOT_PARTITIONS = 2  # average shuffle partitions a key may fill before it is split
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -38,7 +39,7 @@ def find_hot_keys(**sides: tuple[DataFrame, Column]) -> dict[str, HotKeys]:
     """Hot keys of several (frame, key) sides, from one pass over the key columns.
 
     The frequent-items sketch is merged map-side, so the shuffle carries one
-    sketch per task and side and the driver receives fewer than P keys per side.
+    sketch per task and side and the driver receives at most P keys per side.
     """
     spark = next(iter(sides.values()))[0].sparkSession
     width = shuffle_width(spark)
@@ -59,14 +60,14 @@ def find_hot_keys(**sides: tuple[DataFrame, Column]) -> dict[str, HotKeys]:
     found: dict[str, HotKeys] = {name: {} for name in sides}
     for row in sketched.collect():
         for item in row["top"]:
-            cells = math.ceil(item["count"] * width / row["total"])
-            if cells > 1:
-                found[row["side"]][item["item"]] = cells
+            partitions = item["count"] * width / row["total"]
+            if partitions > _HOT_PARTITIONS:
+                found[row["side"]][item["item"]] = math.ceil(partitions)
     return found
 
 
 def _grid(spark: SparkSession, left: HotKeys, right: HotKeys) -> DataFrame:
-    """Cells per hot key as a table of at most 2P rows."""
+    """Cells per hot key as a table of fewer than P rows."""
     rows = []
     for key in {**left, **right}:
         cells_l, cells_r = left.get(key, 1), right.get(key, 1)

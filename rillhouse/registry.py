@@ -17,7 +17,7 @@ from rillhouse.oracle import WITHIN_MS
 from rillhouse.plans import trade, traffic
 from rillhouse.sinks.tables import current_dimension
 from rillhouse.sinks.topics import stream_files
-from rillhouse.sources.records import cdc_envelope, split_cdc
+from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
 from rillhouse.workspace import new_folder
@@ -133,7 +133,7 @@ def cdc_dirty_split(spark, sf_dir):
 
 @_query
 def dim_config_latest(spark, sf_dir):
-    return dimensions.latest_config(bindings.config_log(spark, sf_dir))
+    return dimensions.latest_config(config_changes(bindings.config_text(spark, sf_dir)))
 
 
 @_query

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillhouse.operators.dimensions import with_defaults
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.operators.skew import collect_small
 
@@ -29,6 +30,21 @@ def current_dimension(
     return newest.where(F.col("type") != "delete") if apply_deletes else newest
 
 
+def snapshot_dimensions(
+    tables: dict[str, DataFrame],
+    config: DataFrame,
+    version: Sequence[str],
+    apply_deletes: bool = False,
+) -> dict[str, DataFrame]:
+    """Current rows of every dimension table, by the key its configuration names."""
+    routes = collect_small(with_defaults(config).select("sink_table", "sink_pk"))
+    keys = {r["sink_table"]: [k.strip() for k in r["sink_pk"].split(",")] for r in routes}
+    return {
+        sink: current_dimension(rows, keys[sink], version, apply_deletes)
+        for sink, rows in tables.items()
+    }
+
+
 class VersionLog:
     """Rows of successive micro-batches, optionally bucketed by a key.
 

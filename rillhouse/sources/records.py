@@ -61,7 +61,7 @@ def config_changes(raw: DataFrame) -> DataFrame:
     One row per change with the configuration columns and ``deleted``; for a
     delete the columns are those of the removed row.
     """
-    change = raw.withColumn("_c", F.from_json("value", TABLE_PROCESS_CHANGE))
+    change = parse_once(raw, "_c", F.from_json("value", TABLE_PROCESS_CHANGE))
     deleted = F.col("_c.after").isNull() & F.col("_c.before").isNotNull()
     return (
         change.where("_c.after is not null or _c.before is not null")

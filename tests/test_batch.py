@@ -5,7 +5,7 @@ import pytest
 from rillhouse import bindings
 from rillhouse.operators import dimensions, skew, visits
 from rillhouse.plans import batch, trade, traffic
-from rillhouse.sinks.tables import current_dimension
+from rillhouse.sinks.tables import snapshot_dimensions
 from rillhouse.workspace import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -50,8 +50,11 @@ def test_dimensions(spark):
     tables = batch.run_dimensions(changes, config, new_folder(spark, "batch"))
     assert set(tables) == {"dim_region", "dim_nation", "dim_customer", "dim_supplier"}
     assert tables["dim_supplier"].columns[:3] == ["s_suppkey", "s_name", "s_acctbal"]
-    customers = current_dimension(tables["dim_customer"], ["c_custkey"], ["ts"])
-    assert customers.count() == bindings.table(spark, SF, "customer").count()
+    now = snapshot_dimensions(tables, config, ["ts"])
+    for sink, source in (("dim_customer", "customer"), ("dim_nation", "nation")):
+        assert now[sink].count() == bindings.table(spark, SF, source).count()
+    left = snapshot_dimensions(tables, config, ["ts"], apply_deletes=True)["dim_customer"]
+    assert 0 < left.count() < now["dim_customer"].count()
 
 
 def test_small_tables_are_refused_not_cut(spark):
