@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillhouse import schemas
+from rillhouse.operators.skew import lookup_join
 from rillhouse.sources.streams import parquet_rows
 
 
@@ -85,7 +86,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     status = F.col("o_orderstatus")
 
     details = _envelope(
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left"),
+        lookup_join(lines, parts, ("l_partkey", "p_partkey")),
         "order_detail",
         insert,
         _typed(

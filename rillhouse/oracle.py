@@ -322,14 +322,22 @@ def _all() -> dict[str, str]:
     return {
         "trade_order_pre_process": f"WITH {_TRADE} SELECT * FROM pre",
         "trade_order_pre_process_latest": _latest(
-            _TRADE, "pre", "id", "CAST(oi_ts AS BIGINT) DESC, type DESC"
+            _TRADE,
+            "pre",
+            "id",
+            "CAST(oi_ts AS BIGINT) DESC, type DESC, order_status DESC, user_id DESC",
         ),
         "trade_order_detail": f"WITH {_TRADE} SELECT * FROM detail",
         "trade_cancel_detail": f"WITH {_TRADE} SELECT * FROM cancel",
         "trade_pay_detail_all": f"WITH {_TRADE} SELECT {pay_all} FROM pay",
         "trade_pay_detail_success": f"WITH {_TRADE} SELECT {pay_all} FROM pay WHERE paid",
         "trade_pay_detail_latest": _latest(
-            _TRADE, "pay", "order_detail_id", "CAST(ts AS BIGINT) DESC", "paid"
+            _TRADE,
+            "pay",
+            "order_detail_id",
+            "CAST(ts AS BIGINT) DESC, callback_time DESC NULLS LAST, "
+            "payment_type_code DESC, user_id DESC",
+            "paid",
         ),
         "trade_cart_add": f"WITH {_CART} SELECT * FROM cart_add",
         "trade_cart_add_latest": _latest(_CART, "cart_add", "id", "CAST(ts AS BIGINT) DESC"),

@@ -24,6 +24,10 @@ from rillhouse.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Columns that settle which of several rows of one moment counts as the newest.
+ORDER_TIES = ("type", "order_status", "user_id")
+PAY_TIES = ("callback_time", "payment_type_code", "user_id")
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -73,7 +77,7 @@ def trade_order_pre_process(spark, sf_dir):
 @_query
 def trade_order_pre_process_latest(spark, sf_dir):
     rows = trade_order_pre_process(spark, sf_dir).withColumn("_v", F.col("oi_ts").cast("bigint"))
-    return latest_by_key(rows, ["id"], ["_v", "type"]).drop("_v")
+    return latest_by_key(rows, ["id"], ["_v", *ORDER_TIES]).drop("_v")
 
 
 @_query
@@ -99,7 +103,7 @@ def trade_pay_detail_success(spark, sf_dir):
 @_query
 def trade_pay_detail_latest(spark, sf_dir):
     rows = _paid(spark, sf_dir, success_only=False).withColumn("_v", F.col("ts").cast("bigint"))
-    return latest_by_key(rows, ["order_detail_id"], ["_v"]).drop("_v")
+    return latest_by_key(rows, ["order_detail_id"], ["_v", *PAY_TIES]).drop("_v")
 
 
 @_query
@@ -358,7 +362,7 @@ def _trade_job(spark: SparkSession, sf_dir: str) -> jobs.TradeJob:
 def stream_order_pre_process_latest(spark, sf_dir):
     job = _trade_job(spark, sf_dir)
     rows = job.pre_process.read(job.last).withColumn("_v", F.col("oi_ts").cast("bigint"))
-    newest = latest_by_key(rows, ["id"], ["_v", "type", "batch_id"])
+    newest = latest_by_key(rows, ["id"], ["_v", *ORDER_TIES, "batch_id"])
     return newest.withColumn("old", F.to_json("old")).drop("_v", "batch_id", "row_op_ts")
 
 
@@ -366,7 +370,7 @@ def stream_order_pre_process_latest(spark, sf_dir):
 def stream_pay_detail_latest(spark, sf_dir):
     job = _trade_job(spark, sf_dir)
     rows = job.pay_detail.read(job.last).withColumn("_v", F.col("ts").cast("bigint"))
-    newest = latest_by_key(rows, ["order_detail_id"], ["_v", "batch_id"])
+    newest = latest_by_key(rows, ["order_detail_id"], ["_v", *PAY_TIES, "batch_id"])
     return newest.drop("_v", "batch_id", "row_op_ts")
 
 
