@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe
+from rillhouse.llm import byte_bpe, token_files
 from rillhouse.llm.tables import table
+from rillhouse.workspace import new_folder
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the token-id files have it."""
+    path = new_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        F.expr("cast(octet_length(tokens) div 4 as long)").alias("n_tokens"),
+        F.crc32("tokens").alias("ids_crc32"),
+    )
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +37,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op7_byte_bpe,)}
+    return {f.__name__: f for f in (op3_token_files, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

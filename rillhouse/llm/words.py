@@ -81,8 +81,10 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts in ``data``; ``lower`` hashes A-Z as a-z.
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, cut: np.ndarray | None = None
+) -> Words:
+    """Words of the texts in ``data``; ``lower`` hashes A-Z as a-z, ``cut`` marks further starts.
 
     Works block by block, blocks cut at spaces, so that a long text costs little more than its words.
     """
@@ -92,6 +94,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Word
     first[1:] &= space[:-1]
     cuts = offsets[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    if cut is not None:
+        cuts = np.union1d(cuts, np.flatnonzero(cut))
     first[cuts] |= inside[cuts]
     last = inside
     last[:-1] &= space[1:]
