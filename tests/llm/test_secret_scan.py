@@ -62,7 +62,7 @@ def test_scan_and_redact(spark):
     for i in caught:
         assert clean[i] == texts[i].replace(planted[i], "[secret]")
     assert clean[len(texts) - 7] == "" and clean[len(texts) - 8] is None
-    assert clean[len(texts) - 4] == "[secret]"
+    assert clean[len(texts) - 4] == "[secret][secret]"
     assert clean[70] == texts[70]
 
 
