@@ -8,11 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, secret_scan, token_files, url_rules
+from rillhouse.llm import byte_bpe, language_id, quality_rules, secret_scan, token_files, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the token-id files have it."""
     path = new_folder(spark, "token-files")
@@ -25,6 +32,21 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every text; ``rule`` is the learned rule that rejects it."""
+    docs = table(spark, sf_dir, "documents")
+    sample = quality_rules.labelled(docs, table(spark, sf_dir, "labels"))
+    rules = quality_rules.fit(sample)
+    judged = quality_rules.statistics(docs).select(
+        "doc_id",
+        *quality_rules.COUNTS[:5],
+        quality_rules.base_failed().alias("base_failed"),
+        quality_rules.verdict(rules).alias("rule"),
+    )
+    kept = ~F.col("base_failed") & F.col("rule").isNull()
+    return judged.select(*judged.columns[:-1], kept.alias("kept"), "rule")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and their decoded bytes, as digests."""
     decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
@@ -93,7 +115,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op3_token_files, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_files, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,3 +150,35 @@ def shingles_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
     return keys[new], np.bincount(rows[new], minlength=len(total))
+
+
+def byte_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    return span_hashes(_BYTES[data], starts, ends)
+
+
+def row_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of ``mask`` over each of the rows that the offsets bound."""
+    sums = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def repeated(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key occurs again in its row, and whether it occurs earlier there.
+
+    Keys are in the order of their rows; a 64-bit hash of both stands for the two.
+    """
+    keys = keys ^ mix(rows.astype(np.uint64) + _ODD)
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    again, earlier = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    again[order[1:]] = same
+    earlier[order[1:]] = same
+    again[order[:-1]] |= same
+    return again, earlier
+
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Whether each byte separates words."""
+    return _SPACE[data]
