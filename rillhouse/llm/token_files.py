@@ -40,11 +40,11 @@ BLOCK = 1024
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 0.95
 #: Distinct words whose ids one worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Text bytes for each file of a written table.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 #: Text bytes of a segment, or one document.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
