@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, language_id, quality_rules, secret_scan, token_files, url_rules
+from rillhouse.llm import byte_bpe, language_id, quality_rules, secret_scan, token_files, toxicity, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
@@ -32,6 +32,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every text; ``rule`` is the learned rule that rejects it."""
     docs = table(spark, sf_dir, "documents")
@@ -115,7 +127,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_token_files, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_files, op4_toxicity, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
