@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, language_id, quality_rules, secret_scan, token_files, toxicity, url_rules
+from rillhouse.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, token_files, toxicity, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
@@ -44,6 +44,37 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT * FROM shingles WHERE s IN (SELECT s FROM shingles GROUP BY s HAVING count(*) > 1)),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have
+  FROM shared x JOIN shared y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+  WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every text; ``rule`` is the learned rule that rejects it."""
     docs = table(spark, sf_dir, "documents")
@@ -127,9 +158,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_token_files, op4_toxicity, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op8_url_rules": OP8_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op8_url_rules": OP8_SQL}
