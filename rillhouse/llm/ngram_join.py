@@ -34,12 +34,11 @@ from pyspark.sql import functions as F
 from rillhouse.llm.arrow import lists, pieces, text_bytes
 from rillhouse.llm.components import components
 from rillhouse.llm.sieve import sieve, sifted
+from rillhouse.llm.sketch import classes_of, frequency_classes
 from rillhouse.llm.tables import written
 from rillhouse.llm.words import mix, shingles_of, words_of
 
 SHINGLE = 5
-#: Counters of the sketch, whatever the corpus.
-COUNTERS = 1 << 20
 #: A token is frequent if its counter is this far above the mean, in standard deviations and counts.
 SIGMAS, LEAST = 6.0, 64
 #: Sets smaller than this are indexed by single tokens, up to 4/3 of it by both schemes.
@@ -48,7 +47,6 @@ SMALL = 12
 GROUP, EXTRA = 16, 32
 #: Partners that one task compares with a document.
 PARTNERS = 256
-_BLOCK = 1 << 14
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -57,37 +55,8 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return shingles_of(words_of(data, offsets, lower=True), SHINGLE)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in pieces(batches):
-        tokens, _ = _tokens(batch)
-        counts += np.bincount((tokens >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-    if counts.any():
-        for i in range(0, COUNTERS, _BLOCK):
-            some = counts[i : i + _BLOCK].astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [some]})
-
-
-def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts = np.frombuffer(some, np.uint32).astype(np.int64)
-            blocks[i] = blocks[i] + counts if i in blocks else counts
-    for i, counts in blocks.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [counts.tobytes()]})
-
-
-def frequency_classes(texts: DataFrame) -> np.ndarray:
-    """The class of each counter: 0 for rare tokens, and for frequent ones more by each doubling."""
-    schema = "block int, counts binary"
-    parts = texts.select("text").mapInArrow(_count, schema).repartition(16, "block")
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in parts.mapInArrow(_sum, schema).collect():
-        counts[row.block : row.block + _BLOCK] = np.frombuffer(row.counts, np.int64)
-    mean = counts.mean()
-    limit = mean + SIGMAS * np.sqrt(mean) + LEAST
-    return np.where(counts >= limit, 1 + np.log2(np.maximum(counts, 1) / limit), 0).astype(np.uint8)
+def _hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return _tokens(batch)[0]
 
 
 def _pair_keys(tokens: np.ndarray, groups: np.ndarray, band: int) -> np.ndarray:
@@ -135,7 +104,7 @@ def _index(classes: np.ndarray, with_keys: bool):
             tokens, counts = _tokens(batch)
             ends = np.cumsum(counts)
             rows = np.repeat(np.arange(len(counts)), counts)
-            class_of = classes[(tokens >> np.uint64(40)).astype(np.int64) % COUNTERS]
+            class_of = classes_of(tokens, classes)
             spread = mix(tokens)
             found, singles = [], np.zeros(len(counts), np.int64)
             for row, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
@@ -218,7 +187,7 @@ def _near(n: str, m: str) -> str:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row; the key is a 64-bit integer."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    classes = frequency_classes(texts)
+    classes = frequency_classes(texts, _hashes, SIGMAS, LEAST)
     light = written(texts.mapInArrow(_index(classes, False), INDEX).drop("keys"), "sets")
     known = light.where("id is not null and n > 0")
 

@@ -8,11 +8,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, token_files, toxicity, url_rules
+from rillhouse.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, toxicity, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
 
+OP1_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)),
+repeats AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT s, min(doc_id) AS f FROM windows GROUP BY s) USING (s)
+  WHERE f < doc_id),
+removed AS (SELECT DISTINCT doc_id, i + k AS i FROM repeats, range(50) t(k)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words)
+  ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(len(w), 0) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated passages."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text."""
     docs = table(spark, sf_dir, "documents")
@@ -158,9 +183,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op5_ngram_join": OP5_SQL, "op8_url_rules": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL, "op8_url_rules": OP8_SQL}

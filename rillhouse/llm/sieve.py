@@ -51,8 +51,11 @@ def sieve(ids: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     return np.packbits(whole, bitorder="little")
 
 
-def sifted(rows: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
-    """The rows whose id may be in the set: all that are, and some that are not."""
+def sifted(rows: DataFrame, key: str, bitmap: np.ndarray, out: bool = False) -> DataFrame:
+    """The rows whose id may be in the set: all that are, and some that are not.
+
+    ``out`` gives the other rows instead, those with a null id among them.
+    """
     bits = len(bitmap) * 8
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
@@ -63,6 +66,7 @@ def sifted(rows: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
             at = _places(column.fill_null(0).to_numpy(zero_copy_only=False), bits)
             hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             hit &= column.is_valid().to_numpy(zero_copy_only=False)
+            hit ^= out
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
