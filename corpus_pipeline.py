@@ -1,25 +1,64 @@
-"""A corpus pipeline: stages over documents, each written and read again."""
+"""A corpus pipeline: stages over the documents, each written and read again.
+
+Languages that the model cannot tell go, one document of each near-duplicate group stays, documents
+with test items go, secrets are blotted out of the texts, and what is left is encoded. Each stage
+works on all rows that the one before it kept. Rows without an id pass the two stages that compare
+documents; an empty table passes all. Input columns beyond those of the documents stay to the end.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe
+from rillhouse.llm import byte_bpe, decontaminate, language_id, ngram_join, secret_scan
+from rillhouse.llm.sieve import without
 from rillhouse.llm.tables import table, written
 
+#: Least score of a document's language.
+LANGUAGE_SCORE = 0.4
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model tells; those without a letter go."""
+    return language_id.keep_known(docs, language_id.fit(docs), LANGUAGE_SCORE)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item, exact or edited."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, written(found.select("doc_id").distinct(), "contaminated"), "doc_id")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with a mark in place of each secret; ``n_chars`` follows the text."""
+    clean = secret_scan.redact(docs, secret_scan.fit(docs))
+    size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", F.coalesce(size, "n_chars"))
+
 
-def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text (little-endian unsigned 32-bit integers)."""
-    return byte_bpe.encode(docs)
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each text (little-endian unsigned 32-bit integers) and their number."""
+    found = byte_bpe.encode(docs)
+    return found.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("byte_bpe", encode_bytes),
+    ("language_id", known_language),
+    ("ngram_join", one_of_each),
+    ("decontaminate", without_test_items),
+    ("secret_scan", without_secrets),
+    ("byte_bpe", encoded),
 ]
 
-#: The models and the tokenizer of the stages are not expressible in SQL.
+#: SQL can express neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 

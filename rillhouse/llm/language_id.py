@@ -265,44 +265,46 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def label_texts(net: Network, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and positions by language of each text."""
+    k, rows = len(net.languages), len(column)
+    data, offsets = text_bytes(column)
+    if not k:
+        return np.full(rows, UNKNOWN, object), np.zeros(rows), np.zeros((rows, 0), np.int64)
+    logs, positions = np.zeros((k, rows)), np.zeros((rows, k), np.int64)
+    codes, texts = _windows(data, offsets)
+    # A long text is read in blocks of windows, so that the network's memory does not grow with it.
+    for at in range(0, len(texts), 8192):
+        part, owners = codes[:, at : at + 8192], texts[at : at + 8192]
+        found = _log_softmax(net.label_scores(np.ascontiguousarray(part)))
+        real = part != _PAD
+        found *= real[:, None, :]
+        best = found.argmax(1)
+        for i in range(k):
+            logs[i] += np.bincount(owners, found[:, i].sum(0), rows)
+            positions[:, i] += np.bincount(owners, ((best == i) & real).sum(0), rows).astype(np.int64)
+    known = _has_letter(data, offsets)
+    mean = _log_softmax(logs / np.maximum(np.diff(offsets), 1))
+    names = np.where(known, np.array(net.languages, object)[mean.argmax(0)], UNKNOWN)
+    return names, np.where(known, np.exp(mean.max(0)), 0.0), positions
+
+
 def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, positions) of each text.
 
     ``score`` is the document probability of the predicted language; ``positions`` has the number of
     bytes labelled with each of the network's languages.
     """
-    k = len(net.languages)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            data, offsets = text_bytes(batch.column("text"))
-            rows = len(batch)
-            logs, positions = np.zeros((k, rows)), np.zeros((rows, k), np.int64)
-            codes, texts = _windows(data, offsets)
-            # A long text is read in blocks of windows, so that memory does not grow with it.
-            for at in range(0, len(texts) if k else 0, 8192):
-                part, owners = codes[:, at : at + 8192], texts[at : at + 8192]
-                found = _log_softmax(net.label_scores(np.ascontiguousarray(part)))
-                real = part != _PAD
-                found *= real[:, None, :]
-                best = found.argmax(1)
-                for i in range(k):
-                    logs[i] += np.bincount(owners, found[:, i].sum(0), rows)
-                    positions[:, i] += np.bincount(owners, ((best == i) & real).sum(0), rows).astype(np.int64)
-            known = _has_letter(data, offsets) & (k > 0)
-            if k:
-                mean = _log_softmax(logs / np.maximum(np.diff(offsets), 1))
-                best = mean.argmax(0)
-                score = np.where(known, np.exp(mean.max(0)), 0.0)
-                names = np.where(known, np.array(net.languages, object)[best], UNKNOWN)
-            else:
-                score, names = np.zeros(rows), np.full(rows, UNKNOWN, object)
+            names, score, positions = label_texts(net, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.array(names.tolist(), pa.string()),
                     pa.array(score, pa.float64()),
-                    lists(positions.ravel(), np.full(rows, k), pa.int64()),
+                    lists(positions.ravel(), np.full(len(batch), positions.shape[1]), pa.int64()),
                 ],
                 names=["id", "lang_pred", "score", "positions"],
             )
@@ -311,3 +313,16 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
     kind = docs.schema["id"].dataType.simpleString()
     found = docs.mapInArrow(run, f"id {kind}, lang_pred string, score double, positions array<long>")
     return found.withColumnRenamed("id", key)
+
+
+def keep_known(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose language is known with at least the score."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            names, score, _ = label_texts(net, batch.column(text))
+            keep = (names != UNKNOWN) & (score >= least)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rillhouse.llm.arrow import lists, pieces, text_bytes
 from rillhouse.llm.components import components
-from rillhouse.llm.sieve import sieve, sifted
+from rillhouse.llm.sieve import sieve, sifted, without
 from rillhouse.llm.sketch import classes_of, frequency_classes
 from rillhouse.llm.tables import written
 from rillhouse.llm.words import mix, shingles_of, words_of
@@ -251,3 +251,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the least document of each component, and those without an id.
+
+    Of several rows with that id the least stays, by the columns in order.
+    """
+    found = near_duplicates(docs, key, text)
+    rest = without(docs, found.where(F.col("component_id") != F.col(key)).select(key), key)
+    again = rest.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    again = written(again, "repeated")
+    single = without(rest, again, key)
+    row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")
+    several = rest.join(again, key, "left_semi").groupBy(key).agg(row).select("row.*")
+    return single.unionByName(several.select(*docs.columns))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, toxicity, url_rules
+from rillhouse.llm import byte_bpe, decontaminate, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, toxicity, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
@@ -181,9 +181,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain a test item, with the item, its score and its words there."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

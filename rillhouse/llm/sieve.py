@@ -71,3 +71,10 @@ def sifted(rows: DataFrame, key: str, bitmap: np.ndarray, out: bool = False) ->
                 yield batch.filter(pa.array(hit))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose id (a long) is not among ``ids``; only rows that may be are shuffled."""
+    bitmap = sieve(ids, key)
+    suspects = sifted(rows, key, bitmap).join(ids.select(key).distinct(), key, "left_anti")
+    return sifted(rows, key, bitmap, out=True).unionByName(suspects)
