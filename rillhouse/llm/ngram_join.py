@@ -11,8 +11,10 @@ band; a set is indexed under its own band and the next, which partners have in c
 
 1. A fixed-size sketch of all tokens says which are frequent; it errs only towards frequent, which
    costs work but loses nothing.
-2. Tokens and pairs that a document shares with no other are counted against its allowance: with
-   more than n // 4 of them it has no partner. The prefix is extended for this test by a share.
+2. The prefix is extended by an eighth of the set, so partners share more than one of its tokens.
+   Rare tokens meet once, packed into buckets by their hash: those of a single document go, and the
+   others learn in how many documents they are. A document that shares too few is done with; the
+   others keep as many of their shared tokens as they must, the rarest.
 3. In each bucket of the index the least document is compared with the others. Of the components
    that these links make, only documents that a bucket holds from different ones are compared
    further, each of those outside the least document's component with the rest of the bucket. So
@@ -28,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ SIGMAS, LEAST = 6.0, 64
 #: Sets smaller than this are indexed by single tokens, up to 4/3 of it by both schemes.
 SMALL = 12
 #: Tokens of a group, about, and the share of a set that extends the prefix.
-GROUP, EXTRA = 16, 32
+GROUP, EXTRA = 16, 8
+#: Tokens that one task sorts to find the shared ones, about.
+BUCKET = 500_000
 #: Partners that one task compares with a document.
 PARTNERS = 256
 
@@ -70,21 +75,20 @@ def _pair_keys(tokens: np.ndarray, groups: np.ndarray, band: int) -> np.ndarray:
     return np.concatenate(found) | np.uint64(1)
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
-    """The keys under which a set is indexed, and how many of them are single rare tokens.
+def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Keys under which a set is indexed: of rare tokens, and all others; and whether the rare ones do.
 
     Keys of single tokens are even, keys of pairs odd. ``classes`` has the tokens' classes.
     """
     n = len(tokens)
     need = n // 4 + 1
     order = np.lexsort((tokens, classes))
+    rare = int((classes == 0).sum())
+    single = tokens & ~np.uint64(1)
     if n < SMALL:
-        return tokens[order[:need]] & ~np.uint64(1), need
-    keys = [tokens[order[:need]] & ~np.uint64(1)] if 3 * n < 4 * SMALL else []
+        return single[order[: min(need, rare)]], single[order[rare:need]], need <= rare
+    others = [single[order[rare:need]]] if 3 * n < 4 * SMALL else []
     need += n // EXTRA
-    rare = int((classes == 0).sum())
-    single = min(rare, need)
-    keys.append(tokens[order[:single]] & ~np.uint64(1))
     if need > rare:
         rest = tokens[order[rare:]]
         band = int(np.log(n) / np.log(4 / 3) + 1e-9)
@@ -94,46 +98,135 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int
             first[np.unique(groups, return_index=True)[1]] = True
             stands_for = np.cumsum(~first)
             end = int(np.searchsorted(stands_for, need - rare)) + 1
-            keys.append(_pair_keys(rest[:end], groups[:end], b))
-    return np.unique(np.concatenate(keys)), single
+            others.append(_pair_keys(rest[:end], groups[:end], b))
+    rest = np.unique(np.concatenate(others)) if others else tokens[:0]
+    return single[order[: min(need, rare)]], rest, need <= rare
+
+
+def fewest(n: np.ndarray) -> np.ndarray:
+    """Rare prefix tokens that a set of ``n`` tokens shares with any partner, if both have no others."""
+    return np.where(3 * n < 4 * SMALL, 1, 1 + (3 * n + 3) // 4 // EXTRA)
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of tokens and two hashes of each set."""
+    for batch in pieces(batches):
+        tokens, counts = _tokens(batch)
+        rows = np.repeat(np.arange(len(counts)), counts)
+        spread = mix(tokens)
+        one, two = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+        np.add.at(one, rows, spread)
+        np.add.at(two, rows, mix(spread))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("id"),
+                pa.array(counts, pa.int64()),
+                pa.array(one.view(np.int64)),
+                pa.array(two.view(np.int64)),
+            ],
+            names=["id", "n", "set1", "set2"],
+        )
+
+
+SETS = "id long, n long, set1 long, set2 long"
+PACKED = "bucket long, rare boolean, keys binary, ids binary, sizes binary, alone binary"
+SHARED = "id long, key long, held long, n long, rare boolean"
+
+
+def _pack(classes: np.ndarray, buckets: int):
+    """Keys, ids, set sizes and ``alone`` flags of a piece of texts, packed by bucket.
 
+    Rare tokens are dealt by key, to meet; the other keys by document, as they need not meet yet.
+    """
 
-def _index(classes: np.ndarray, with_keys: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             tokens, counts = _tokens(batch)
+            ids = batch.column("id").to_numpy()
             ends = np.cumsum(counts)
-            rows = np.repeat(np.arange(len(counts)), counts)
             class_of = classes_of(tokens, classes)
-            spread = mix(tokens)
-            found, singles = [], np.zeros(len(counts), np.int64)
+            kinds: tuple[list, list] = ([], [])
             for row, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
-                if start == end:
-                    found.append(tokens[:0])
+                if start < end:
+                    rare, others, alone = index_keys(tokens[start:end], class_of[start:end])
+                    for kind, keys in zip(kinds, (rare, others)):
+                        kind.append((keys, np.full(len(keys), row), np.full(len(keys), alone)))
+            for is_rare, kind in zip((True, False), kinds):
+                if not kind:
                     continue
-                keys, singles[row] = index_keys(tokens[start:end], class_of[start:end])
-                found.append(keys if with_keys else keys[:0])
-            sizes = np.array([len(x) for x in found], np.int64)
-            flat = np.concatenate(found) if found else tokens[:0]
-            one, two = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-            np.add.at(one, rows, spread)
-            np.add.at(two, rows, mix(spread))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(singles),
-                    pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)),
-                    lists(flat.view(np.int64), sizes, pa.int64()),
-                ],
-                names=["id", "n", "singles", "set1", "set2", "keys"],
-            )
+                keys, rows, alone = (np.concatenate(x) for x in zip(*kind))
+                dealt = mix(keys.copy()) if is_rare else mix(ids[rows].view(np.uint64).copy())
+                bucket = (dealt % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((keys, bucket))
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                for some in np.split(order, cuts):
+                    if len(some):
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "bucket": pa.array([int(bucket[some[0]])], pa.int64()),
+                                "rare": [is_rare],
+                                "keys": [keys[some].tobytes()],
+                                "ids": [ids[rows[some]].tobytes()],
+                                "sizes": [counts[rows[some]].astype(np.uint32).tobytes()],
+                                "alone": [alone[some].tobytes()],
+                            }
+                        )
 
     return run
 
 
-INDEX = "id long, n long, singles long, set1 long, set2 long, keys array<long>"
+def _meet(table: pa.Table) -> pa.Table:
+    """The keys of a bucket that several documents have, with their number; other kinds pass."""
+    parts = []
+    for is_rare in (True, False):
+        some = table.filter(pa.compute.equal(table.column("rare"), is_rare))
+        kinds = (("keys", np.uint64), ("ids", np.int64), ("sizes", np.uint32), ("alone", bool))
+        keys, ids, sizes, alone = (
+            np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in kinds
+        )
+        held = np.full(len(keys), 1 << 40)
+        if is_rare:
+            order = np.lexsort((ids, keys))
+            keys, ids, sizes, alone = keys[order], ids[order], sizes[order], alone[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = np.flatnonzero(new)
+            # Documents of a key: rows of one id count once.
+            other = new.copy()
+            other[1:] |= ids[1:] != ids[:-1]
+            number = np.add.reduceat(other, first) if len(first) else first
+            held = np.repeat(number, np.diff(np.append(first, len(keys))))
+            keep = held > 1
+            keys, ids, sizes, alone, held = keys[keep], ids[keep], sizes[keep], alone[keep], held[keep]
+        parts.append(
+            pa.table(
+                {
+                    "id": pa.array(ids),
+                    "key": pa.array(keys.view(np.int64)),
+                    "held": pa.array(held, pa.int64()),
+                    "n": pa.array(sizes.astype(np.int64)),
+                    "rare": pa.array(alone),
+                }
+            )
+        )
+    return pa.concat_tables(parts)
+
+
+def _selected(shared: DataFrame) -> DataFrame:
+    """(key, id, n) of the documents that may have partners, under as few keys as they need.
+
+    A document indexed by rare tokens alone shares at least ``fewest`` of them with any partner: it
+    needs its rarest ones, all but that many and one. Others keep all their keys.
+    """
+    least = F.when(3 * F.col("n") < 4 * SMALL, 1).otherwise(
+        1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / EXTRA)
+    )
+    keys = F.array_sort(F.collect_set(F.struct("held", "key")))
+    by_set = shared.groupBy("id", "n", "rare").agg(keys.alias("keys"))
+    kept = F.when(F.col("rare"), F.size("keys") - least + 1).otherwise(F.size("keys")).cast("int")
+    by_set = by_set.withColumn("kept", kept).where("kept > 0")
+    some = F.explode(F.slice("keys", F.lit(1), F.col("kept")))
+    return by_set.select("id", "n", some.alias("k")).select("k.key", "id", "n")
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,41 +273,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_compare, "a long, b long")
 
 
-def _near(n: str, m: str) -> str:
-    return f"4 * least({n}, {m}) >= 3 * greatest({n}, {m})"
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row; the key is a 64-bit integer."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    classes = frequency_classes(texts, _hashes, SIGMAS, LEAST)
-    light = written(texts.mapInArrow(_index(classes, False), INDEX).drop("keys"), "sets")
+    classes, total = frequency_classes(texts, _hashes, SIGMAS, LEAST)
+    light = written(texts.mapInArrow(_sets, SETS), "sets")
     known = light.where("id is not null and n > 0")
-
-    def postings() -> DataFrame:
-        rows = texts.where("id is not null").mapInArrow(_index(classes, True), INDEX)
-        return rows.select(F.explode("keys").alias("key"), "id")
-
-    # Keys that two documents share, with the least document of each.
-    least = postings().groupBy("key").agg(F.min("id").alias("first"))
-    others = postings().join(least, "key").where("id != first")
-    others = written(others.select("key", "id", "first"), "others")
-    members = others.select("key", "id").unionByName(
-        others.select("key", F.col("first").alias("id"))
-    ).distinct()
-    # Documents that may have a partner, with the least document that has the same set.
+    # The least document that has the same set stands for all of them.
     same = known.groupBy("set1", "set2").agg(F.min("id").alias("node"))
-    nodes = written(known.join(same, ["set1", "set2"]).select("id", "node", "n", "singles").distinct(), "nodes")
-    used = members.where("key % 2 = 0").groupBy("id").agg(F.count("*").alias("used"))
-    alive = (
-        nodes.where("id = node")
-        .join(used, "id", "left")
-        .where("singles - coalesce(used, 0) <= n div 4")
-        .select("id", "n")
-        .groupBy("id")
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    )
-    bucket = written(members.join(alive, "id"), "buckets")
+    nodes = written(known.join(same, ["set1", "set2"]).select("id", "node").distinct(), "nodes")
+
+    buckets = max(1, total * 3 // 8 // BUCKET)
+    packed = texts.where("id is not null").mapInArrow(_pack(classes, buckets), PACKED)
+    shared = packed.groupBy("bucket").applyInArrow(_meet, SHARED)
+    index = _selected(shared).join(nodes.where("id = node").select("id"), "id", "left_semi")
+    bucket = index.groupBy("key", "id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    bucket = written(bucket, "buckets")
     first = bucket.groupBy("key").agg(F.min_by(F.struct("id", "low", "high"), "id").alias("f"))
     star = bucket.join(first, "key").where("id != f.id").select("key", "id", "low", "high", "f")
     star = written(star, "stars")

@@ -32,9 +32,11 @@ def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_classes(
     texts: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], sigmas: float, least: float
-) -> np.ndarray:
+) -> tuple[np.ndarray, int]:
     """The class of each counter: 0 for rare tokens, and for frequent ones more by each doubling.
 
+    With them, the number of all tokens counted.
+
     All texts are counted. A counter is frequent from ``sigmas`` standard deviations and ``least``
     counts above the mean; tokens that share a counter can only look more frequent than they are.
     """
@@ -54,7 +56,8 @@ def frequency_classes(
         counts[row.block : row.block + _BLOCK] = np.frombuffer(row.counts, np.int64)
     mean = counts.mean()
     limit = mean + sigmas * np.sqrt(mean) + least
-    return np.where(counts >= limit, 1 + np.log2(np.maximum(counts, 1) / limit), 0).astype(np.uint8)
+    classes = np.where(counts >= limit, 1 + np.log2(np.maximum(counts, 1) / limit), 0)
+    return classes.astype(np.uint8), int(counts.sum())
 
 
 def classes_of(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:

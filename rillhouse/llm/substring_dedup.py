@@ -279,7 +279,7 @@ def remove_repeats(
     """(key, n_words, n_removed, kept): the kept words of each text, joined by one space."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.withColumn("tag", F.xxhash64("text"))
-    classes = frequency_classes(texts, _anchors, SIGMAS, LEAST)
+    classes, _ = frequency_classes(texts, _anchors, SIGMAS, LEAST)
     found = texts.where("id is not null").mapInArrow(_passages(classes, window, anchor), PASSAGES)
     shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     occurrences = found.join(shared.where("low < high").select("anchor"), "anchor").distinct()

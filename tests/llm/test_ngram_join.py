@@ -88,12 +88,14 @@ def test_partners_share_a_key():
         both = len(np.intersect1d(x, y))
         if 100 * both < 75 * (len(x) + len(y) - both):
             continue
-        for zero in (True, False):
-            classes = [np.array([0 if zero else class_of[t] for t in s.tolist()]) for s in (x, y)]
-            keys = [J.index_keys(s, c)[0] for s, c in zip((x, y), classes)]
-            assert len(np.intersect1d(*keys)), (len(x), len(y), both)
-            classes = [np.full(len(s), 3) for s in (x, y)]
-            assert len(np.intersect1d(*(J.index_keys(s, c)[0] for s, c in zip((x, y), classes))))
+        for pick in (lambda t: 0, class_of.get, lambda t: 3):
+            classes = [np.array([pick(t) for t in s.tolist()]) for s in (x, y)]
+            keys = [np.concatenate(J.index_keys(s, c)[:2]) for s, c in zip((x, y), classes)]
+            shared = np.intersect1d(*keys)
+            assert len(shared), (len(x), len(y), both)
+            alone = [J.index_keys(s, c)[2] for s, c in zip((x, y), classes)]
+            if all(alone):
+                assert len(shared) >= min(J.fewest(np.array([len(x), len(y)])))
         tested += 1
     assert tested > 200
 
