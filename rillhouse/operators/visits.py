@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillhouse.functions.dates import day_of_millis
 from rillhouse.operators.latest import first_by_key
-from rillhouse.operators.skew import HotKeys, find_hot_keys, skew_join
+from rillhouse.operators.skew import HotKeys, find_hot_keys
 
 
 def flagged() -> Column:
@@ -55,9 +57,9 @@ def fix_is_new(log: DataFrame, days: DataFrame | None = None, tz: str | None = N
     """
     days = first_days(log, tz) if days is None else days
     claims = log.where(flagged())
-    hot = find_hot_keys(claims=(claims, F.col("mid")))
     known = days.select(F.col("mid").alias("_mid"), "first_day")
-    joined = skew_join(claims, known, ("mid", "_mid"), "left", hot["claims"])
+    # One row a device on the right: a hot device's claims are left to AQE's skew join.
+    joined = claims.join(known, F.col("mid") == F.col("_mid"), "left")
     stale = F.col("first_day") != day_of_millis(F.col("ts"), tz)
     fixed = joined.withColumn("_stale", F.coalesce(stale, F.lit(False)))
     changed = {"is_new": F.when(F.col("_stale"), "0").otherwise(F.col("is_new"))}
@@ -123,25 +125,39 @@ def _cut_points(pages: DataFrame, hot: HotKeys) -> list[tuple[str, list[tuple[in
     return [(mid, sorted(points)) for mid, points in cuts.items()]
 
 
+def _passed(cuts: np.ndarray, ts: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """How many of the sorted (ts, seq) cut points each row has reached."""
+    found = np.searchsorted(cuts["ts"], ts, side="left")
+    upto = np.searchsorted(cuts["ts"], ts, side="right")
+    for at in np.unique(ts[upto > found]):
+        rows = np.flatnonzero(ts == at)
+        low, high = found[rows[0]], upto[rows[0]]
+        found[rows] = low + np.searchsorted(cuts["seq"][low:high], seq[rows], side="right")
+    return found
+
+
 def _sliced(pages: DataFrame, hot: HotKeys) -> DataFrame:
     """Number the rows of each hot device by slices of its time line, others 0.
 
     The cut points are quantiles of the device's own rows, so its slices hold
     about equal row counts. They are fixed once, on the driver, so that every use
     of the result sees the same slices; fewer than 4P are needed for P shuffle
-    partitions.
+    partitions. Rows of hot devices find their slice by binary search.
     """
-    schema = "_hot_mid string, _cuts array<struct<ts:bigint,seq:bigint>>"
-    cuts = pages.sparkSession.createDataFrame(_cut_points(pages, hot), schema)
-    seq = F.coalesce("seq", F.lit(_FIRST))
-    passed = F.filter(
-        "_cuts",
-        lambda c: (c["ts"] < F.col("ts")) | ((c["ts"] == F.col("ts")) & (c["seq"] <= seq)),
-    )
-    return (
-        pages.join(F.broadcast(cuts), F.col("mid") == F.col("_hot_mid"), "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(passed)))
-        .drop("_hot_mid", "_cuts")
+    kind = np.dtype([("ts", np.int64), ("seq", np.int64)])
+    cuts = {mid: np.array(points, kind) for mid, points in _cut_points(pages, hot)}
+
+    @F.pandas_udf("int")
+    def slice_of(mid: pd.Series, ts: pd.Series, seq: pd.Series) -> pd.Series:
+        found = np.zeros(len(mid), np.int32)
+        for device, rows in mid.groupby(mid).indices.items():
+            found[rows] = _passed(cuts[device], ts.to_numpy()[rows], seq.to_numpy()[rows])
+        return pd.Series(found)
+
+    is_hot = F.coalesce(F.col("mid").isin(list(hot)), F.lit(False))
+    number = slice_of("mid", "ts", F.coalesce("seq", F.lit(_FIRST)))
+    return pages.where(is_hot).withColumn("_slice", number).unionByName(
+        pages.where(~is_hot).withColumn("_slice", F.lit(0))
     )
 
 

@@ -9,7 +9,7 @@ from rillhouse import bindings, schemas
 from rillhouse.operators import visits
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.plans import trade, traffic
-from rillhouse.sinks.tables import VersionLog
+from rillhouse.sinks.tables import VersionLog, committed, last_commit
 from rillhouse.sinks.topics import stream_files
 from rillhouse.sources.streams import file_text, parquet_rows
 from rillhouse.streaming import jobs, processors
@@ -53,6 +53,45 @@ def test_user_jump_over_restarts(spark, page_text):
     assert all(ts + WITHIN >= newest for _, ts, _ in set(batch) - set(got))
 
 
+def test_user_jump_keeps_ties_and_lagging_rows(spark):
+    """Rows of an earlier micro-batch's newest time, and rows that lag within the delay."""
+    schema = "mid string, last_page_id string, ts bigint, seq bigint, value string"
+
+    def run(delay, *batches):
+        folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+        for rows in batches:
+            frame = spark.createDataFrame([(m, p, t, s, "v") for m, p, t, s in rows], schema)
+            frame.coalesce(1).write.mode("append").parquet(folder)
+            pages = parquet_rows(spark, folder, frame.schema)
+            jobs.start_user_jump(pages, root, 10_000, delay=delay).awaitTermination()
+        return rows_of(spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail"), "mid", "ts")
+
+    far = ("far", None, 900_000, 9)
+    tied = run("1 millisecond", [("a", None, 100_000, 1)], [("b", None, 100_000, 2)], [far])
+    assert tied == [("a", 100_000), ("b", 100_000)]
+    # The page at 95 s arrives after the entry at 100 s and is its predecessor.
+    late = [("a", None, 93_000, 1), ("a", None, 100_000, 3), ("c", None, 100_000, 4)]
+    found = run("1 minute", late, [("a", "p", 95_000, 2), ("c", "p", 104_000, 5)], [far])
+    assert found == [("a", 100_000)]
+    with pytest.raises(ValueError):
+        processors.user_jump_stream(spark.createDataFrame([], schema), 10_000, "0 seconds")
+
+
+def test_unique_visitor_forgets_no_late_row(spark):
+    schema = "mid string, last_page_id string, ts bigint, seq bigint"
+    day, folder, root = 86_400_000, new_folder(spark, "in"), new_folder(spark, "out")
+    batches = [[(9 * day + 5, 1), (9 * day + 3, 2), (9 * day + 3, 3)], [(2 * day, 4), (9 * day, 5), (10 * day, 6)]]
+    for rows in batches:
+        frame = spark.createDataFrame([("m", None, t, s) for t, s in rows], schema).coalesce(1)
+        frame.write.mode("append").parquet(folder)
+        pages = parquet_rows(spark, folder, frame.schema)
+        jobs.start_unique_visitor(pages, root).awaitTermination()
+    got = rows_of(spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail"), "ts", "seq")
+    assert got == [(2 * day, 4), (9 * day + 3, 2), (10 * day, 6)]
+    with pytest.raises(ValueError):
+        processors.unique_visitor_stream(frame, keep_days=0)
+
+
 def test_unique_visitor_over_restarts(spark, page_text):
     folder, root = new_folder(spark, "in"), new_folder(spark, "out")
     feed(
@@ -152,6 +191,15 @@ def test_trade_job_in_any_order_with_merges_and_replay(spark):
     assert rows_of(newest, *columns) == rows_of(
         latest_by_key(paid, ["order_detail_id", "ts"], ["row_op_ts"]), *columns
     )
+    # Another reader, without the job: what is committed, and no more.
+    seen = committed(spark, job.root, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
+    assert last_commit(spark, job.root) == job.last == 3
+    assert rows_of(seen, "id", "batch_id") == rows_of(job.order_detail.read(3), "id", "batch_id")
+    job.order_detail.write(job.order_detail.batch(3).drop("batch_id"), 4)  # a batch that broke off
+    again = committed(spark, job.root, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
+    assert again.agg(F.max("batch_id")).first()[0] == 3
+    with pytest.raises(ValueError, match="after batch"):
+        job.process(everything, 0)
     cancelled = rows_of(job.cancel_detail.read(job.last).select("id", "ts").distinct(), "id", "ts")
     assert cancelled == rows_of(trade.cancel_detail(pre), "id", "ts")
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,13 @@ def test_flag_repair_with_hot_device(spark):
         expected.append((i, "0" if flag == "1" and first != day else flag))
     log, _ = split_log(parse_log(raw(spark, *texts)))
     assert keys(visits.fix_is_new(log), "seq", "is_new") == expected
+
+
+def test_slices_are_found_by_binary_search():
+    """All cut points count, also many at one time, and the cost does not grow with them."""
+    rng = np.random.default_rng(1)
+    points = sorted({(int(t), int(s)) for t, s in rng.integers(0, 40, (300, 2))} | {(7, -(2**63))})
+    cuts = np.array(points, [("ts", np.int64), ("seq", np.int64)])
+    ts, seq = rng.integers(-2, 44, 500), rng.integers(-2, 44, 500)
+    expected = [sum(p <= (t, s) for p in points) for t, s in zip(ts.tolist(), seq.tolist())]
+    assert visits._passed(cuts, ts, seq).tolist() == expected
