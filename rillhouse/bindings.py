@@ -25,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) ->
 def base_dic(spark: SparkSession) -> DataFrame:
     """The code dictionary; codes such as R and 5-LOW are missing on purpose."""
     names = {"A": "search", "N": "promotion", "1-URGENT": "wallet", "2-HIGH": "card"}
-    rows = [(code, name, None, None, None) for code, name in names.items()]
-    return spark.createDataFrame(rows, schemas.BASE_DIC)
+    values = F.array(*(F.struct(F.lit(code), F.lit(name)) for code, name in names.items()))
+    rows = spark.range(1).select(F.inline(values).alias("dic_code", "dic_name"))
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in schemas.BASE_DIC.fields[2:]}
+    return rows.withColumns(absent)
 
 
 def _payload(**values: Column) -> Column:
@@ -308,6 +310,20 @@ def page_views(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFr
     )
 
 
+#: How far the late pages of ``page_arrivals`` lag behind their time.
+LAG_MS = 3 * 3600 * 1000
+
+
+def page_arrivals(spark: SparkSession, sf_dir: str, parts: int = 5) -> list[DataFrame]:
+    """The page views in the order of arrival, in parts: every seventh lags behind its time."""
+    pages = page_views(spark, sf_dir)
+    lag = F.when(F.col("seq") % 7 == 0, LAG_MS).otherwise(0)
+    span = pages.agg(F.min("ts").alias("low"), (F.max("ts") + LAG_MS + 1).alias("high")).first()
+    low, high = span.low or 0, span.high or 1
+    part = F.floor((F.col("ts") + lag - low) * parts / F.lit(high - low))
+    return [pages.where(part == i) for i in range(parts)]
+
+
 def dimension_config(spark: SparkSession) -> DataFrame:
     """Configuration change log of the routed tables."""
     rows = [
@@ -374,8 +390,13 @@ def dimension_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes
 
 
-def config_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long configuration change log from events, as text: one source table per user."""
+def config_text(
+    spark: SparkSession, sf_dir: str, timed: bool = False, malformed: bool = False
+) -> DataFrame:
+    """A long configuration change log from events, as text: one source table per user.
+
+    ``timed`` adds the change's time, cut to days; ``malformed`` breaks some records.
+    """
     kind = F.col("event_type")
     row = F.struct(
         F.concat(F.lit("src_"), "user_id").alias("source_table"),
@@ -385,10 +406,19 @@ def config_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "click", "COMMENT 'clicked'").alias("sink_extend"),
     )
     removed = kind == "error"
-    change = F.struct(F.when(removed, row).alias("before"), F.when(~removed, row).alias("after"))
-    return events(spark, sf_dir).select(
-        _text_of(change).alias("value"), F.col("event_id").alias("seq")
+    day = [(F.col("ms") - F.col("ms") % 86_400_000).alias("ts_ms")] if timed else []
+    change = F.struct(
+        F.when(removed, row).alias("before"), F.when(~removed, row).alias("after"), *day
     )
+    value, n = _text_of(change), F.col("event_id")
+    if malformed:
+        value = (
+            F.when(n % 97 == 0, F.concat(F.lit('{"after":{"source_table":"src_'), "user_id"))
+            .when(n % 101 == 0, F.lit("[1]"))
+            .when(n % 103 == 0, F.lit('{"after":{}}'))
+            .otherwise(value)
+        )
+    return events(spark, sf_dir).select(value.alias("value"), n.alias("seq"))
 
 
 def sink_columns_of(kind: Column) -> Column:

@@ -13,9 +13,18 @@ from rillhouse.operators.skew import lookup_join
 
 
 def latest_config(changes: DataFrame) -> DataFrame:
-    """Current configuration: the newest change of each source table, unless a delete."""
-    newest = latest_by_key(changes, ["source_table"], ["seq"])
-    return newest.where(~F.col("deleted")).drop("deleted", "seq")
+    """Current configuration: the newest change of each source table, unless a delete.
+
+    Changes are ordered by their own time, then by their place in the source
+    (``partition`` and ``seq``), which alone is no order across partitions. A
+    change with neither is refused by an error.
+    """
+    order = [c for c in ("ts_ms", "partition", "seq") if c in changes.columns]
+    refused = F.raise_error(F.lit("a configuration change without time or place")).cast("bigint")
+    known = F.coalesce(*(F.col(c).cast("bigint") for c in order if c != "partition"), refused)
+    ranked = changes.withColumn("_known", known)
+    newest = latest_by_key(ranked, ["source_table"], [*order, "_known"])
+    return newest.where(~F.col("deleted")).drop("deleted", "_known", *order)
 
 
 def keep_columns(payload: Column, sink_columns: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 HotKeys = dict[str | None, int]
 
 _MAX_TRACKED = 1_000_000  # upper limit of Spark's frequent-items sketch
-_BROADCAST_ROWS = 100_000
+_BROADCAST_BYTES = 64 << 20
 _HOT_PARTITIONS = 2  # average shuffle partitions a key may fill before it is split
 
 
@@ -166,9 +166,9 @@ def skew_join(
     return joined.drop("_cell_l", "_cell_r", "_cells_r", "_at_l", "_at_r")
 
 
-def is_small(df: DataFrame, max_rows: int = _BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a frame's size; very large where it knows nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def collect_small(df: DataFrame, max_rows: int = 10_000) -> list[Row]:
@@ -187,14 +187,12 @@ def lookup_join(
     dim: DataFrame,
     on: tuple[str, str],
     how: str = "left",
-    max_rows: int = _BROADCAST_ROWS,
+    max_bytes: int = _BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join with a lookup table: broadcast if it is small, else a balanced join.
+    """Join with a lookup table of one row a code: broadcast if Spark knows it to be small.
 
-    Lookup codes have few values, so a shuffle on them would be skewed by
-    nature; beyond the size limit the hot codes are found and split.
+    Otherwise the plain join, of which AQE splits hot codes on the left, or which
+    it turns into a broadcast once it has seen the size of the table.
     """
-    if is_small(dim, max_rows):
-        return rows.join(F.broadcast(dim), F.col(on[0]) == F.col(on[1]), how)
-    hot = find_hot_keys(left=(rows, F.col(on[0])), right=(dim, F.col(on[1])))
-    return skew_join(rows, dim, on, how, hot["left"], hot["right"])
+    small = estimated_bytes(dim) <= max_bytes
+    return rows.join(F.broadcast(dim) if small else dim, F.col(on[0]) == F.col(on[1]), how)

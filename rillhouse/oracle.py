@@ -211,6 +211,8 @@ dirty_log AS (
 """
 
 WITHIN_MS = 6 * 3600 * 1000
+#: Lag of the late pages, and the watermark's delay.
+LAG_MS = 3 * 3600 * 1000
 
 _VIEWS = """
 views AS (
@@ -317,6 +319,36 @@ config AS (SELECT * FROM changes WHERE rn = 1 AND NOT deleted)
 """
 
 
+_CONFIG_BY_TIME = _CONFIG.replace(
+    "ORDER BY event_id DESC", "ORDER BY epoch_us(ts) // 86400000000 DESC, event_id DESC"
+)
+
+_SKEWED_VIEWS = _VIEWS.replace(
+    "CAST(user_id AS VARCHAR) AS mid",
+    "CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS mid",
+)
+
+# All dimension tables; rows of the first batch lack a column that was configured later.
+_DIMENSIONS = f"""WITH {_CUSTOMERS},
+newest AS (
+  SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY ts DESC) AS rn FROM customer_changes
+)
+SELECT 'dim_customer' AS sink_table, CAST(c_custkey AS VARCHAR) AS key,
+       concat('{{"c_custkey":"', c_custkey, CASE WHEN ts = '1' THEN '' ELSE concat('","c_nationkey":"', c_nationkey) END,
+              '","c_mktsegment":"', segment, '"}}') AS data
+FROM newest WHERE rn = 1
+UNION ALL
+SELECT 'dim_region', CAST(r_regionkey AS VARCHAR),
+       concat('{{"r_regionkey":"', r_regionkey, '","r_name":"', r_name, '"}}') FROM region
+UNION ALL
+SELECT 'dim_nation', CAST(n_nationkey AS VARCHAR),
+       concat('{{"id":"', n_nationkey, '","n_name":"', n_name, '"}}') FROM nation
+UNION ALL
+SELECT 'dim_supplier', CAST(s_suppkey AS VARCHAR),
+       concat('{{"s_suppkey":"', s_suppkey, '","s_name":"', s_name, '","s_acctbal":"',
+              CAST(s_acctbal AS DECIMAL(16,2)), '"}}') FROM supplier"""
+
+
 def _all() -> dict[str, str]:
     pay_all = "* EXCLUDE (paid)"
     return {
@@ -352,6 +384,19 @@ SELECT seq, CASE WHEN cut THEN concat('{{"table":"events","type":"insert","data"
 FROM ev WHERE cut OR list OR bad_data""",
         "dim_config_latest": f"""WITH {_CONFIG}
 SELECT source_table, sink_table, sink_columns, sink_pk, sink_extend FROM config""",
+        "dim_config_by_time": f"""WITH {_CONFIG_BY_TIME}
+SELECT source_table, sink_table, sink_columns, sink_pk, sink_extend FROM config""",
+        "dim_config_dirty": """
+SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN concat('{"after":{"source_table":"src_', user_id)
+  WHEN event_id % 101 = 0 THEN '[1]' ELSE '{"after":{}}' END AS value
+FROM events WHERE event_id % 97 = 0 OR event_id % 101 = 0 OR event_id % 103 = 0""",
+        "traffic_user_jump_skewed": _jumps(_SKEWED_VIEWS, "views", "all"),
+        "trade_order_detail_skewed": """
+SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'hot' ELSE CAST(l_orderkey AS VARCHAR) END AS order_key,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'H' ELSE o_orderstatus END AS status,
+       count(*) AS lines, count(p_name) AS named
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
+GROUP BY ALL""",
         "dim_ddl": f"""WITH {_CONFIG}
 SELECT source_table, concat('CREATE TABLE IF NOT EXISTS ', sink_table, ' (',
     CASE event_type WHEN 'view' THEN 'id STRING, name STRING'
@@ -403,17 +448,20 @@ def _streams() -> dict[str, str]:
         f"SELECT '{name}' AS output, mid, is_new, seq, value FROM {name}_log"
         for name in ("page", "start", "display", "action", "error")
     )
-    closed = f" AND (next_ts IS NOT NULL OR ts + {WITHIN_MS} < (SELECT max(ts) FROM views))"
+    mark = f"(SELECT max(ts) - {LAG_MS} FROM views)"
+    closed = f" AND (next_ts < {mark} OR ts + {WITHIN_MS} < {mark})"
     return {
         "stream_cart_add": batch["trade_cart_add"],
         "stream_log_split": f"""WITH {_LOG} {outputs}
 UNION ALL SELECT 'dirty', NULL, NULL, seq, value FROM dirty_log""",
-        "stream_unique_visitor": f"SELECT mid, dt FROM ({batch['traffic_unique_visitor']})",
+        "stream_unique_visitor": batch["traffic_unique_visitor"],
         "stream_user_jump_closed": f"""SELECT mid, ts, seq FROM (
 {_jumps(_VIEWS, "views", "all", closed)})""",
         "stream_order_pre_process_latest": batch["trade_order_pre_process_latest"],
         "stream_pay_detail_latest": batch["trade_pay_detail_latest"],
-        "stream_dim_upsert": batch["dim_upsert_latest"],
+        "stream_order_detail_latest": batch["trade_order_detail"],
+        "stream_cancel_detail_latest": batch["trade_cancel_detail"],
+        "stream_dim_upsert": _DIMENSIONS,
     }
 
 

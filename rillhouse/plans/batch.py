@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from rillhouse import schemas
 from rillhouse.operators import routing, visits
-from rillhouse.operators.dimensions import dimension_rows, route_dimensions, sink_layouts
-from rillhouse.operators.skew import HotKeys, collect_small
+from rillhouse.operators.dimensions import route_dimensions
+from rillhouse.operators.skew import HotKeys
 from rillhouse.plans import trade
+from rillhouse.sinks.tables import dimension_changes
 from rillhouse.sources.records import parse_log, split_log
 
 
@@ -70,18 +71,13 @@ def run_trade(
     }
 
 
-def run_dimensions(changes: DataFrame, config: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Dimension tables as logs of their change rows, one folder per sink table.
+def run_dimensions(changes: DataFrame, config: DataFrame, root: str) -> DataFrame:
+    """Change rows of all dimension tables, routed and written in one go.
 
-    Routed rows are stored by sink table, so building a table reads its own rows.
+    ``current_dimensions`` reads the tables off them.
     """
-    layouts = sink_layouts(collect_small(config))
-    routed = route_dimensions(changes, config)
-    folder = f"{root}/state/routed"
-    spread = routed.hint("rebalance", F.col("sink_table"))
+    rows = route_dimensions(changes, config).select("sink_table", "type", "ts", "data")
+    spread = rows.hint("rebalance", F.col("sink_table"))
+    folder = f"{root}/dimensions/batch_id=0"
     spread.write.mode("overwrite").partitionBy("sink_table").parquet(folder)
-    stored = changes.sparkSession.read.schema(routed.schema).parquet(folder)
-    return {
-        sink: store(dimension_rows(stored, sink, columns), f"{root}/{sink}")
-        for sink, columns in layouts.items()
-    }
+    return dimension_changes(changes.sparkSession, root)

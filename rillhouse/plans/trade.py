@@ -129,19 +129,25 @@ def attach_promotions(
 ) -> DataFrame:
     """Order lines with their activity and coupon, if any."""
     if hot is None:
-        hot = find_hot_keys(
-            details=(details, F.col("id")),
-            activities=(activities, F.col("act_id")),
-            coupons=(coupons, F.col("cou_id")),
-        )
+        hot = hot_promotions(activities, coupons)
     with_activity = skew_join(
-        details, activities, ("id", "act_id"), "left", hot["details"], hot["activities"]
+        details, activities, ("id", "act_id"), "left", hot_right=hot["activities"]
     )
     return skew_join(
-        with_activity, coupons, ("id", "cou_id"), "left", hot["details"], hot["coupons"]
+        with_activity, coupons, ("id", "cou_id"), "left", hot_right=hot["coupons"]
     ).drop("act_id", "cou_id")
 
 
+def hot_promotions(activities: DataFrame, coupons: DataFrame) -> dict[str, HotKeys]:
+    """Lines with very many promotions: the right side of a left join, which AQE does not split.
+
+    The lines themselves have one row each, and inner joins are left to AQE.
+    """
+    return find_hot_keys(
+        activities=(activities, F.col("act_id")), coupons=(coupons, F.col("cou_id"))
+    )
+
+
 def finish_order_rows(joined: DataFrame, dic: DataFrame) -> DataFrame:
     """The wide order row from joined lines and order events."""
     named = _with_name(joined, dic, "source_type", "source_type_name")
@@ -175,15 +181,8 @@ def order_pre_process(cdc: ChangeLog, dic: DataFrame) -> DataFrame:
     """
     details, orders = detail_inserts(cdc), order_events(cdc)
     activities, coupons = activity_inserts(cdc), coupon_inserts(cdc)
-    hot = find_hot_keys(
-        details=(details, F.col("id")),
-        activities=(activities, F.col("act_id")),
-        coupons=(coupons, F.col("cou_id")),
-        lines=(details, F.col("order_id")),
-        orders=(orders, F.col("oi_id")),
-    )
-    wide = attach_promotions(details, activities, coupons, hot)
-    joined = skew_join(wide, orders, ("order_id", "oi_id"), "inner", hot["lines"], hot["orders"])
+    wide = attach_promotions(details, activities, coupons)
+    joined = skew_join(wide, orders, ("order_id", "oi_id"), "inner")
     return finish_order_rows(joined, dic)
 
 
@@ -242,15 +241,16 @@ def pay_detail(
 ) -> DataFrame:
     """Paid order lines: each payment joined with the placed lines of its order.
 
-    ``hot`` may carry hot order ids already known for ``payments`` and
-    ``placed``, which saves a pass over a derived ``placed``.
+    ``hot`` may carry hot order ids known for ``payments`` and ``placed``;
+    without them the inner join is left to AQE.
     """
-    payments = payment_events(cdc, success_only)
-    if hot is None:
-        hot = find_hot_keys(
-            payments=(payments, F.col("pay_order_id")), placed=(placed, F.col("order_id"))
-        )
+    payments, hot = payment_events(cdc, success_only), hot or {}
     joined = skew_join(
-        payments, placed, ("pay_order_id", "order_id"), "inner", hot["payments"], hot["placed"]
+        payments,
+        placed,
+        ("pay_order_id", "order_id"),
+        "inner",
+        hot.get("payments"),
+        hot.get("placed"),
     )
     return finish_payment_rows(joined, dic)

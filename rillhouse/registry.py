@@ -12,12 +12,18 @@ from rillhouse import bindings, schemas
 from rillhouse.functions import dates
 from rillhouse.operators import dimensions, routing, visits
 from rillhouse.operators.latest import latest_by_key
-from rillhouse.operators.skew import find_hot_keys
+from rillhouse.operators.skew import find_hot_keys, lookup_join, skew_join
 from rillhouse.oracle import WITHIN_MS
 from rillhouse.plans import trade, traffic
-from rillhouse.sinks.tables import current_dimension
+from rillhouse.sinks.tables import (
+    committed,
+    current_dimension,
+    current_dimensions,
+    dimension_changes,
+    last_commit,
+)
 from rillhouse.sinks.topics import stream_files
-from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc
+from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
 from rillhouse.workspace import new_folder
@@ -59,13 +65,7 @@ def _pre_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paid(spark: SparkSession, sf_dir: str, success_only: bool) -> DataFrame:
     cdc, dic = bindings.order_changes(spark, sf_dir), bindings.base_dic(spark)
     placed = trade.order_detail(trade.order_pre_process(cdc, dic))
-    payments = trade.payment_events(cdc, success_only)
-    # Hot orders are read off the change log, not off the joined lines.
-    hot = find_hot_keys(
-        payments=(payments, F.col("pay_order_id")),
-        placed=(trade.detail_inserts(cdc), F.col("order_id")),
-    )
-    return trade.pay_detail(cdc, placed, dic, success_only, hot).drop("row_op_ts")
+    return trade.pay_detail(cdc, placed, dic, success_only).drop("row_op_ts")
 
 
 @_query
@@ -323,66 +323,144 @@ def stream_unique_visitor(spark, sf_dir):
     jobs.start_unique_visitor(
         bindings.page_views(spark, sf_dir, stream=True), root
     ).awaitTermination()
-    # Rows of a micro-batch come in no order, so which entry stands for a day is open.
-    return spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail").select("mid", "dt")
+    return spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail")
 
 
 @_query
 def stream_user_jump_closed(spark, sf_dir):
+    """Pages arrive in several files and micro-batches, some of them late."""
     root = new_folder(spark, "jump")
-    pages = bindings.page_views(spark, sf_dir, stream=True)
-    rows = pages.withColumn("value", F.to_json(F.struct("mid", "ts")))
-    jobs.start_user_jump(rows, root, WITHIN_MS).awaitTermination()
+    folder = f"{root}/pages"
+    for part in bindings.page_arrivals(spark, sf_dir):
+        rows = part.withColumn("value", F.to_json(F.struct("mid", "ts")))
+        rows.write.mode("append").parquet(folder)
+        pages = parquet_rows(spark, folder, rows.schema)
+        delay = f"{bindings.LAG_MS} milliseconds"
+        jobs.start_user_jump(pages, root, WITHIN_MS, delay=delay).awaitTermination()
     return spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail").select("mid", "ts", "seq")
 
 
-def _trade_job(spark: SparkSession, sf_dir: str) -> jobs.TradeJob:
-    """The trade job run twice: orders first, then promotions and all later changes."""
+_TRADE_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _trade_root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the trade tables, worked off once a session for all queries that read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _TRADE_ROOTS.get(key)
+    if root is None or last_commit(spark, root) != 2:
+        root = _TRADE_ROOTS[key] = _run_trade_job(spark, sf_dir)
+    return root
+
+
+def _run_trade_job(spark: SparkSession, sf_dir: str) -> str:
+    """Orders come first, then promotions and first payments, then all later changes.
+
+    The state is merged in the last of the three batches.
+    """
     root = new_folder(spark, "trade")
     log = bindings.order_changes(spark, sf_dir)
     info, pay = log["order_info"], log["payment_info"]
     arrivals = [
-        [log["order_detail"], info.where("type = 'insert'"), pay.where("type = 'insert'")],
-        [
-            log["order_detail_activity"],
-            log["order_detail_coupon"],
-            info.where("type = 'update'"),
-            pay.where("type = 'update'"),
-        ],
+        [log["order_detail"], info.where("type = 'insert'")],
+        [log["order_detail_activity"], pay.where("type = 'insert'")],
+        [log["order_detail_coupon"], info.where("type = 'update'"), pay.where("type = 'update'")],
     ]
-    job = jobs.TradeJob(spark, root, lambda: bindings.base_dic(spark), buckets=8)
     for changes in arrivals:
         for part in changes:
             bindings.as_envelopes(part).write.mode("append").parquet(f"{root}/topic_db")
+        job = jobs.TradeJob(spark, root, lambda: bindings.base_dic(spark), buckets=8, merge_every=2)
         job.start(parquet_rows(spark, f"{root}/topic_db", schemas.CDC_ENVELOPE)).awaitTermination()
-    return job
+    return root
+
+
+def _trade_rows(spark: SparkSession, sf_dir: str, table: str, columns: list[str]) -> DataFrame:
+    """A table of the trade job, as a reader without the job sees it."""
+    root = _trade_root(spark, sf_dir)
+    return committed(spark, root, table, columns)
 
 
 @_query
 def stream_order_pre_process_latest(spark, sf_dir):
-    job = _trade_job(spark, sf_dir)
-    rows = job.pre_process.read(job.last).withColumn("_v", F.col("oi_ts").cast("bigint"))
+    rows = _trade_rows(spark, sf_dir, "dwd_trade_order_pre_process", schemas.ORDER_PRE_PROCESS)
+    rows = rows.withColumn("_v", F.col("oi_ts").cast("bigint"))
     newest = latest_by_key(rows, ["id"], ["_v", *ORDER_TIES, "batch_id"])
     return newest.withColumn("old", F.to_json("old")).drop("_v", "batch_id", "row_op_ts")
 
 
+@_query
+def stream_order_detail_latest(spark, sf_dir):
+    rows = _trade_rows(spark, sf_dir, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
+    return latest_by_key(rows, ["id"], ["batch_id"]).drop("batch_id", "row_op_ts")
+
+
+@_query
+def stream_cancel_detail_latest(spark, sf_dir):
+    rows = _trade_rows(spark, sf_dir, "dwd_trade_cancel_detail", schemas.CANCEL_DETAIL)
+    return latest_by_key(rows, ["id"], ["batch_id"]).drop("batch_id", "row_op_ts")
+
+
 @_query
 def stream_pay_detail_latest(spark, sf_dir):
-    job = _trade_job(spark, sf_dir)
-    rows = job.pay_detail.read(job.last).withColumn("_v", F.col("ts").cast("bigint"))
+    rows = _trade_rows(spark, sf_dir, "dwd_trade_pay_detail_suc", schemas.PAY_DETAIL)
+    rows = rows.withColumn("_v", F.col("ts").cast("bigint"))
     newest = latest_by_key(rows, ["order_detail_id"], ["_v", *PAY_TIES, "batch_id"])
     return newest.drop("_v", "batch_id", "row_op_ts")
 
 
 @_query
 def stream_dim_upsert(spark, sf_dir):
+    """All dimension tables; the configuration of one changes between two batches."""
     root = new_folder(spark, "dim")
     changes = bindings.dimension_changes(spark, sf_dir)
-    text = changes.select(F.to_json(F.struct(*changes.columns)).alias("value"))
-    text.write.parquet(f"{root}/topic_db")
-    raw = parquet_rows(spark, f"{root}/topic_db", schemas.text_struct("value"))
-    config = lambda: dimensions.latest_config(bindings.dimension_config(spark))
-    jobs.DimensionJob(spark, root, config).start(cdc_envelope(raw)).awaitTermination()
-    columns = ["c_custkey", "c_nationkey", "c_mktsegment"]
-    rows = spark.read.parquet(f"{root}/dim_customer").withColumn("_v", F.col("ts").cast("bigint"))
-    return current_dimension(rows, ["c_custkey"], ["_v"]).select(*columns)
+    text = changes.select("ts", F.to_json(F.struct(*changes.columns)).alias("value"))
+    config = dimensions.latest_config(bindings.dimension_config(spark))
+    narrow = F.when(F.col("sink_table") == "dim_customer", "c_custkey,c_mktsegment")
+    early = config.withColumn("sink_columns", F.coalesce(narrow, "sink_columns"))
+    for first, current in ((True, early), (False, config)):
+        part = text.where((F.col("ts") == "1") == first).select("value")
+        part.write.mode("append").parquet(f"{root}/topic_db")
+        raw = parquet_rows(spark, f"{root}/topic_db", schemas.text_struct("value"))
+        job = jobs.DimensionJob(spark, root, lambda c=current: c)
+        job.start(cdc_envelope(raw)).awaitTermination()
+    now = current_dimensions(dimension_changes(spark, root), config)
+    return now.select("sink_table", F.concat_ws(",", "key").alias("key"), F.to_json("data").alias("data"))
+
+
+@_query
+def dim_config_dirty(spark, sf_dir):
+    return split_config(bindings.config_text(spark, sf_dir, malformed=True))[1]
+
+
+@_query
+def dim_config_by_time(spark, sf_dir):
+    """Changes with coarse times, so that many tie and their place decides."""
+    return dimensions.latest_config(config_changes(bindings.config_text(spark, sf_dir, timed=True)))
+
+
+@_query
+def traffic_user_jump_skewed(spark, sf_dir):
+    """Half of all pages on one device, its time line in many slices."""
+    pages = bindings.page_views(spark, sf_dir)
+    mid = F.when(F.col("seq") % 2 == 0, "hot").otherwise(F.col("mid"))
+    return visits.user_jump(pages.withColumn("mid", mid), WITHIN_MS, hot={"hot": 64})
+
+
+@_query
+def trade_order_detail_skewed(spark, sf_dir):
+    """Half of all lines in one order; the lookup meets a given table without a broadcast."""
+    lines = bindings.table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") % 2 == 0, "hot").otherwise(F.col("l_orderkey").cast("string")).alias("order"),
+        "l_orderkey", "l_linenumber", "l_partkey",
+    )
+    orders = bindings.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("o_order"), "o_orderstatus"
+    )
+    more = spark.range(1).select(F.lit("hot").alias("o_order"), F.lit("H").alias("o_orderstatus"))
+    hot = find_hot_keys(lines=(lines, F.col("order")))["lines"]
+    joined = skew_join(lines, orders.unionAll(more), ("order", "o_order"), "left", hot)
+    parts = bindings.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    named = lookup_join(joined, parts, ("l_partkey", "p_partkey"), max_bytes=0)
+    counted = named.groupBy("order", "o_orderstatus").agg(
+        F.count("*").alias("lines"), F.count("p_name").alias("named")
+    )
+    return counted.withColumnRenamed("order", "order_key").withColumnRenamed("o_orderstatus", "status")

@@ -35,7 +35,11 @@ TABLE_PROCESS = text_struct(
 
 # Change record of the configuration table: the row before and after.
 TABLE_PROCESS_CHANGE = T.StructType(
-    [T.StructField("before", TABLE_PROCESS), T.StructField("after", TABLE_PROCESS)]
+    [
+        T.StructField("before", TABLE_PROCESS),
+        T.StructField("after", TABLE_PROCESS),
+        T.StructField("ts_ms", T.LongType()),  # when the change was made
+    ]
 )
 
 BASE_DIC = T.StructType(

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillhouse.functions.values import split_list
 from rillhouse.operators.dimensions import with_defaults
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.operators.skew import collect_small
+from rillhouse.schemas import table_schema
 
 
 def current_dimension(
@@ -30,19 +33,62 @@ def current_dimension(
     return newest.where(F.col("type") != "delete") if apply_deletes else newest
 
 
-def snapshot_dimensions(
-    tables: dict[str, DataFrame],
-    config: DataFrame,
-    version: Sequence[str],
-    apply_deletes: bool = False,
-) -> dict[str, DataFrame]:
-    """Current rows of every dimension table, by the key its configuration names."""
-    routes = collect_small(with_defaults(config).select("sink_table", "sink_pk"))
-    keys = {r["sink_table"]: [k.strip() for k in r["sink_pk"].split(",")] for r in routes}
-    return {
-        sink: current_dimension(rows, keys[sink], version, apply_deletes)
-        for sink, rows in tables.items()
-    }
+DIMENSION_ROWS = "type string, ts string, data map<string,string>, batch_id bigint, sink_table string"
+
+
+def dimension_changes(spark: SparkSession, root: str) -> DataFrame:
+    """All change rows that a dimension job has written below ``root``."""
+    return spark.read.schema(DIMENSION_ROWS).parquet(f"{root}/dimensions")
+
+
+def current_dimensions(
+    changes: DataFrame, config: DataFrame, apply_deletes: bool = False
+) -> DataFrame:
+    """Current rows of all dimension tables: (sink_table, key, data).
+
+    ``key`` has the values of the columns that the configuration names as the
+    table's key. Versions are ordered by batch, then by the change's time.
+    """
+    keys = (
+        with_defaults(config)
+        .groupBy("sink_table")
+        .agg(F.min("sink_pk").alias("sink_pk"))
+        .select("sink_table", split_list(F.col("sink_pk")).alias("_names"))
+    )
+    key = F.transform("_names", lambda name: F.col("data")[name])
+    rows = changes.join(keys, "sink_table").withColumns(
+        {"key": key, "_at": F.col("ts").cast("bigint")}
+    )
+    newest = current_dimension(rows, ["sink_table", "key"], ["batch_id", "_at"], apply_deletes)
+    return newest.select("sink_table", "key", "data")
+
+
+def dimension_table(current: DataFrame, sink_table: str, columns: Sequence[str]) -> DataFrame:
+    """One dimension table with its columns spread out."""
+    own = current.where(F.col("sink_table") == sink_table)
+    return own.select(*[F.col("data")[c].alias(c) for c in columns])
+
+
+def commit(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Marks a batch as complete; written last."""
+    folder = f"{root}/commits/batch_id={batch_id}"
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
+def last_commit(spark: SparkSession, root: str) -> int | None:
+    """The newest complete batch below ``root``, or None."""
+    try:
+        commits = spark.read.schema("id bigint, batch_id bigint").parquet(f"{root}/commits")
+    except AnalysisException:
+        return None
+    return commits.agg(F.max("batch_id")).first()[0]
+
+
+def committed(spark: SparkSession, root: str, name: str, columns: list[str]) -> DataFrame:
+    """Rows of all complete batches of a table, with their ``batch_id``, for any reader."""
+    log = VersionLog(spark, f"{root}/{name}", table_schema(columns), merge_every=None)
+    last = last_commit(spark, root)
+    return log.read(-1 if last is None else last)
 
 
 class VersionLog:
@@ -58,7 +104,8 @@ class VersionLog:
     With a ``key``, rows are laid out in ``buckets`` folders by its hash, so a
     reader can skip the buckets a micro-batch does not touch. ``current_by``
     names a column of which only the rows of its newest batch still matter; a
-    merge leaves the others behind.
+    merge leaves the others behind. With ``merge_every=None`` the log is only
+    ever appended to, and a reader takes the folders it finds.
     """
 
     def __init__(
@@ -68,7 +115,7 @@ class VersionLog:
         schema: T.StructType,
         key: str | None = None,
         buckets: int = 64,
-        merge_every: int = 100,
+        merge_every: int | None = 100,
         current_by: str | None = None,
     ):
         self.spark, self.path, self.schema = spark, path, schema
@@ -96,7 +143,7 @@ class VersionLog:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Store the rows of a batch, replacing those of an earlier attempt."""
-        if batch_id and batch_id % self.merge_every == 0:
+        if self.merge_every and batch_id and batch_id % self.merge_every == 0:
             self._save(self._merged(batch_id), f"{self.path}/base/upto={batch_id}")
         fields = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
         self._save(rows.select(*fields), f"{self.path}/delta/batch_id={batch_id}")
@@ -109,8 +156,12 @@ class VersionLog:
 
     def read(self, upto: int, buckets: Sequence[int] | None = None) -> DataFrame:
         """Rows of all batches up to and including ``upto``, with their ``batch_id``."""
-        start = upto - upto % self.merge_every
         delta = f"{self.path}/delta"
+        if self.merge_every is None:
+            if upto < 0:
+                return self.spark.createDataFrame([], self.schema).withColumn("batch_id", F.lit(0))
+            return self._load([delta], delta, "batch_id").where(F.col("batch_id") <= upto)
+        start = upto - upto % self.merge_every
         folders = [f"{delta}/batch_id={n}" for n in range(start, upto + 1)]
         rows = self._load(folders, delta, "batch_id")
         if start:

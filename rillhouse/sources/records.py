@@ -55,19 +55,28 @@ def split_cdc(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, dirty.select("value", *(["seq"] if "seq" in parsed.columns else []))
 
 
-def config_changes(raw: DataFrame) -> DataFrame:
-    """Configuration change log from change-record text.
+def split_config(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(configuration change log, text of unusable records) from change-record text.
 
     One row per change with the configuration columns and ``deleted``; for a
-    delete the columns are those of the removed row.
+    delete the columns are those of the removed row. ``ts_ms`` is the time of the
+    change, ``partition`` and ``seq`` its place in the source, as far as known.
     """
     change = parse_once(raw, "_c", F.from_json("value", TABLE_PROCESS_CHANGE))
+    row = F.coalesce("_c.after", "_c.before")
     deleted = F.col("_c.after").isNull() & F.col("_c.before").isNotNull()
-    return (
-        change.where("_c.after is not null or _c.before is not null")
-        .select("seq", F.coalesce("_c.after", "_c.before").alias("_row"), deleted.alias("deleted"))
-        .select("_row.*", "deleted", "seq")
+    usable = row.isNotNull() & row["source_table"].isNotNull()
+    place = [c for c in ("partition", "seq") if c in raw.columns]
+    changes = change.where(usable).select(
+        row.alias("_row"), deleted.alias("deleted"), F.col("_c.ts_ms").alias("ts_ms"), *place
     )
+    dirty = change.where(~F.coalesce(usable, F.lit(False))).select("value", *place)
+    return changes.select("_row.*", "deleted", "ts_ms", *place), dirty
+
+
+def config_changes(raw: DataFrame) -> DataFrame:
+    """The configuration change log of ``split_config``."""
+    return split_config(raw)[0]
 
 
 def _object(doc: Column, path: str) -> Column:

@@ -18,9 +18,12 @@ def kafka_text(
     streaming: bool = True,
     starting: str | None = None,
     max_per_batch: int = 50_000_000,
+    with_partition: bool = False,
 ) -> DataFrame:
     """Records of a topic as ``value`` text with ``seq``, the offset.
 
+    Offsets order the records of one partition only; ``with_partition`` adds its number.
+
     Progress lives in the query checkpoint, not in a consumer group, so two jobs
     on one topic both read everything. ``starting`` applies to the first start.
     """
@@ -36,7 +39,11 @@ def kafka_text(
         reader.format("kafka")
         .options(**options)
         .load()
-        .select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+        .select(
+            F.col("value").cast("string").alias("value"),
+            F.col("offset").alias("seq"),
+            *(["partition"] if with_partition else []),
+        )
     )
 
 

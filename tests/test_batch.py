@@ -1,11 +1,12 @@
 """Batch jobs end to end: stored tables equal the queries over the same inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rillhouse import bindings
 from rillhouse.operators import dimensions, skew, visits
 from rillhouse.plans import batch, trade, traffic
-from rillhouse.sinks.tables import snapshot_dimensions
+from rillhouse.sinks.tables import current_dimensions, dimension_table
 from rillhouse.workspace import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -47,14 +48,17 @@ def test_trade_chain(spark):
 def test_dimensions(spark):
     config = dimensions.latest_config(bindings.dimension_config(spark))
     changes = bindings.dimension_changes(spark, SF)
-    tables = batch.run_dimensions(changes, config, new_folder(spark, "batch"))
-    assert set(tables) == {"dim_region", "dim_nation", "dim_customer", "dim_supplier"}
-    assert tables["dim_supplier"].columns[:3] == ["s_suppkey", "s_name", "s_acctbal"]
-    now = snapshot_dimensions(tables, config, ["ts"])
+    rows = batch.run_dimensions(changes, config, new_folder(spark, "batch"))
+    now = current_dimensions(rows, config)
+    sinks = {r.sink_table for r in now.select("sink_table").distinct().collect()}
+    assert sinks == {"dim_region", "dim_nation", "dim_customer", "dim_supplier"}
+    columns = ["s_suppkey", "s_name", "s_acctbal"]
+    suppliers = dimension_table(now, "dim_supplier", columns)
+    assert suppliers.columns == columns and suppliers.where("s_name is null").count() == 0
     for sink, source in (("dim_customer", "customer"), ("dim_nation", "nation")):
-        assert now[sink].count() == bindings.table(spark, SF, source).count()
-    left = snapshot_dimensions(tables, config, ["ts"], apply_deletes=True)["dim_customer"]
-    assert 0 < left.count() < now["dim_customer"].count()
+        assert now.where(F.col("sink_table") == sink).count() == bindings.table(spark, SF, source).count()
+    left = current_dimensions(rows, config, apply_deletes=True).where("sink_table = 'dim_customer'")
+    assert 0 < left.count() < now.where("sink_table = 'dim_customer'").count()
 
 
 def test_small_tables_are_refused_not_cut(spark):

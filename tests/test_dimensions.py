@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from rillhouse import schemas
 from rillhouse.operators import dimensions
-from rillhouse.sinks.tables import create_dimension_tables, current_dimension
+from rillhouse.sinks.tables import (
+    create_dimension_tables,
+    current_dimensions,
+    dimension_changes,
+    dimension_table,
+)
 from rillhouse.sinks.topics import as_topic
-from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc
+from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
 from rillhouse.workspace import new_folder, shared_folder
@@ -65,6 +70,26 @@ def test_latest_config_and_delete(spark):
     assert dimensions.route_dimensions(rows, none).count() == 0
 
 
+def test_changes_are_ordered_by_their_time(spark):
+    """Change time first, then the place in the source; malformed text is kept apart."""
+    def at(ts_ms, sink, **row):
+        return {"before": None, "after": config_record("id", sink=sink, **row), "ts_ms": ts_ms}
+
+    raw = text(spark, at(5, "s0"), at(9, "s1"), at(9, "s2"), at(7, "s3"), "{bad", "[1]", '{"after":{}}')
+    changes, dirty = split_config(raw)
+    assert [r.sink_table for r in dimensions.latest_config(changes).collect()] == ["s2"]
+    assert sorted(r.value for r in dirty.collect()) == ["[1]", '{"after":{}}', "{bad"]
+    placed = raw.withColumn("partition", F.pmod("seq", F.lit(2)))
+    newest = dimensions.latest_config(config_changes(placed))
+    assert [r.sink_table for r in newest.collect()] == ["s1"]
+    timed = config_changes(raw.withColumn("seq", F.lit(None).cast("bigint")).where("value like '%s3%'"))
+    assert dimensions.latest_config(timed).count() == 1
+    unknown = text(spark, {"before": None, "after": config_record("id")})
+    unknown = config_changes(unknown.withColumn("seq", F.lit(None).cast("bigint")))
+    with pytest.raises(Exception, match="without time or place"):
+        dimensions.latest_config(unknown).collect()
+
+
 @pytest.mark.parametrize(
     "columns, kept", [("id,sku_name", {"id", "sku_name"}), (" id , name ", {"id", "name"}), ("", set())]
 )
@@ -90,6 +115,7 @@ def test_tables_are_created_once(spark):
 
 def test_dimension_job_follows_its_configuration(spark):
     folder, root = new_folder(spark, "topic_db"), new_folder(spark, "dim")
+    spark.sql("CREATE DATABASE IF NOT EXISTS dims2")
     state = {"columns": "id,name"}
 
     def config():
@@ -99,7 +125,8 @@ def test_dimension_job_follows_its_configuration(spark):
     def run(*records):
         text(spark, *records).coalesce(1).write.mode("append").parquet(folder)
         raw = parquet_rows(spark, folder, spark.read.parquet(folder).schema)
-        jobs.DimensionJob(spark, root, config).start(cdc_envelope(raw)).awaitTermination()
+        job = jobs.DimensionJob(spark, root, config, create="dims2.")
+        job.start(cdc_envelope(raw)).awaitTermination()
 
     one = {"id": "1", "name": "it's", "secret": "x"}
     run(change("cart", data=one), change("other", data={"id": "9"}), "{bad")
@@ -107,15 +134,17 @@ def test_dimension_job_follows_its_configuration(spark):
     state["columns"] = "id,name,secret"
     run(change("cart", "delete", one, 3))
 
-    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/dim_cart")
-    assert set(rows.columns) >= {"id", "name", "secret"}
-    order = ["batch_id", "ts"]
-    now = current_dimension(rows, ["id"], order)
-    assert {(r.id, r.name, r.secret) for r in now.collect()} == {("1", "it's", "x"), ("2", None, None)}
-    left = current_dimension(rows, ["id"], order, apply_deletes=True)
-    assert [r.id for r in left.collect()] == ["2"]
-    before = current_dimension(rows.where("batch_id < 2"), ["id"], order)
-    assert {(r.id, r.name) for r in before.collect()} == {("1", None), ("2", None)}
+    rows = dimension_changes(spark, root)
+
+    def current(changes, **options):
+        now = current_dimensions(changes, config(), **options)
+        return dimension_table(now, "dim_cart", ["id", "name", "secret"]).collect()
+
+    assert {(r.id, r.name, r.secret) for r in current(rows)} == {("1", "it's", "x"), ("2", None, None)}
+    assert [r.id for r in current(rows, apply_deletes=True)] == ["2"]
+    before = current(rows.where("batch_id < 2"))
+    assert {(r.id, r.name) for r in before} == {("1", None), ("2", None)}
+    assert spark.table("dims2.dim_cart").columns == ["id", "name"]
     assert [r.value for r in spark.read.parquet(f"{root}/dirty_data").collect()] == ["{bad"]
 
 

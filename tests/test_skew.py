@@ -85,11 +85,17 @@ def test_lookup_join_beyond_the_limit(spark):
     dim = [("hot", "H")] + [(f"k{i}", f"K{i}") for i in range(25)]
     a = spark.createDataFrame(rows, "a string, x int")
     d = spark.createDataFrame(dim, "code string, name string")
-    small = skew.lookup_join(a, d, ("a", "code"))
-    large = skew.lookup_join(a, d, ("a", "code"), max_rows=5)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert Counter(map(tuple, small.collect())) == Counter(map(tuple, large.collect()))
-    assert not skew.is_small(d, 5) and skew.is_small(d, 26)
+    values = ", ".join(map(str, dim))
+    known = spark.sql(f"SELECT * FROM VALUES {values} AS d(code, name)")
+    small = skew.lookup_join(a, known, ("a", "code"))
+    large = skew.lookup_join(a, known, ("a", "code"), max_bytes=5)
+    unknown = skew.lookup_join(a, d, ("a", "code"))
+    assert "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in unknown._jdf.queryExecution().analyzed().toString()
+    found = Counter(map(tuple, small.collect()))
+    assert found == Counter(map(tuple, large.collect())) == Counter(map(tuple, unknown.collect()))
+    assert 0 < skew.estimated_bytes(known) < 10_000 < skew.estimated_bytes(d)
 
 
 def test_few_keys_are_collected(spark):
