@@ -14,11 +14,13 @@ band; a set is indexed under its own band and the next, which partners have in c
 2. The prefix is extended by an eighth of the set, so partners share more than one of its tokens.
    Rare tokens meet once, packed into buckets by their hash: those of a single document go, and the
    others learn in how many documents they are. A document that shares too few is done with; the
-   others keep as many of their shared tokens as they must, the rarest.
-3. In each bucket of the index the least document is compared with the others. Of the components
-   that these links make, only documents that a bucket holds from different ones are compared
-   further, each of those outside the least document's component with the rest of the bucket. So
-   all pairs that could still join two components are verified, and no pairs within a component.
+   others keep as many of their shared tokens as they must, the rarest. Tokens that are not shared
+   bound the overlap with any partner, and with it the size of partners: many documents can only
+   be the larger one of a pair, and two of them are never compared.
+3. In each bucket of the index the least document that can be the smaller one is compared with the
+   others. Of the components that these links make, only documents that a bucket holds from
+   different ones are compared further. So all pairs that could still join two components are
+   verified, and no pairs within a component.
 
 Documents with the same set are one node. Rows of one id are one document; a null id has no component
 and is linked with nothing. Empty or null texts, or those without words, have no tokens and no links.
@@ -78,6 +80,7 @@ def _pair_keys(tokens: np.ndarray, groups: np.ndarray, band: int) -> np.ndarray:
 def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Keys under which a set is indexed: of rare tokens, and all others; and whether the rare ones do.
 
+    A set of too few rare tokens has all of them, and pairs of frequent ones for the rest of its prefix.
     Keys of single tokens are even, keys of pairs odd. ``classes`` has the tokens' classes.
     """
     n = len(tokens)
@@ -88,7 +91,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.
     if n < SMALL:
         return single[order[: min(need, rare)]], single[order[rare:need]], need <= rare
     others = [single[order[rare:need]]] if 3 * n < 4 * SMALL else []
-    need += n // EXTRA
+    alone = need + n // EXTRA <= rare
     if need > rare:
         rest = tokens[order[rare:]]
         band = int(np.log(n) / np.log(4 / 3) + 1e-9)
@@ -100,7 +103,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.
             end = int(np.searchsorted(stands_for, need - rare)) + 1
             others.append(_pair_keys(rest[:end], groups[:end], b))
     rest = np.unique(np.concatenate(others)) if others else tokens[:0]
-    return single[order[: min(need, rare)]], rest, need <= rare
+    return single[order[: need + n // EXTRA if alone else rare]], rest, alone
 
 
 def fewest(n: np.ndarray) -> np.ndarray:
@@ -129,13 +132,16 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SETS = "id long, n long, set1 long, set2 long"
-PACKED = "bucket long, rare boolean, keys binary, ids binary, sizes binary, alone binary"
-SHARED = "id long, key long, held long, n long, rare boolean"
+PACKED = "bucket long, rare boolean, keys binary, ids binary, sizes binary, tried binary"
+SHARED = "id long, key long, held long, n long, tried long, alone boolean"
+#: Stands for the number of documents of keys that were not counted.
+_MANY = 1 << 40
 
 
 def _pack(classes: np.ndarray, buckets: int):
-    """Keys, ids, set sizes and ``alone`` flags of a piece of texts, packed by bucket.
+    """Keys, ids, set sizes and numbers of rare keys of a piece of texts, packed by bucket.
 
+    The number is negative, and less by one, for sets that have other keys as well.
     Rare tokens are dealt by key, to meet; the other keys by document, as they need not meet yet.
     """
 
@@ -149,12 +155,13 @@ def _pack(classes: np.ndarray, buckets: int):
             for row, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                 if start < end:
                     rare, others, alone = index_keys(tokens[start:end], class_of[start:end])
+                    tried = len(rare) if alone else -len(rare) - 1
                     for kind, keys in zip(kinds, (rare, others)):
-                        kind.append((keys, np.full(len(keys), row), np.full(len(keys), alone)))
+                        kind.append((keys, np.full(len(keys), row), np.full(len(keys), tried, np.int32)))
             for is_rare, kind in zip((True, False), kinds):
                 if not kind:
                     continue
-                keys, rows, alone = (np.concatenate(x) for x in zip(*kind))
+                keys, rows, tried = (np.concatenate(x) for x in zip(*kind))
                 dealt = mix(keys.copy()) if is_rare else mix(ids[rows].view(np.uint64).copy())
                 bucket = (dealt % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((keys, bucket))
@@ -168,7 +175,7 @@ def _pack(classes: np.ndarray, buckets: int):
                                 "keys": [keys[some].tobytes()],
                                 "ids": [ids[rows[some]].tobytes()],
                                 "sizes": [counts[rows[some]].astype(np.uint32).tobytes()],
-                                "alone": [alone[some].tobytes()],
+                                "tried": [tried[some].tobytes()],
                             }
                         )
 
@@ -180,14 +187,14 @@ def _meet(table: pa.Table) -> pa.Table:
     parts = []
     for is_rare in (True, False):
         some = table.filter(pa.compute.equal(table.column("rare"), is_rare))
-        kinds = (("keys", np.uint64), ("ids", np.int64), ("sizes", np.uint32), ("alone", bool))
-        keys, ids, sizes, alone = (
+        kinds = (("keys", np.uint64), ("ids", np.int64), ("sizes", np.uint32), ("tried", np.int32))
+        keys, ids, sizes, tried = (
             np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in kinds
         )
-        held = np.full(len(keys), 1 << 40)
+        held = np.full(len(keys), _MANY)
         if is_rare:
             order = np.lexsort((ids, keys))
-            keys, ids, sizes, alone = keys[order], ids[order], sizes[order], alone[order]
+            keys, ids, sizes, tried = keys[order], ids[order], sizes[order], tried[order]
             new = np.ones(len(keys), bool)
             new[1:] = keys[1:] != keys[:-1]
             first = np.flatnonzero(new)
@@ -197,7 +204,7 @@ def _meet(table: pa.Table) -> pa.Table:
             number = np.add.reduceat(other, first) if len(first) else first
             held = np.repeat(number, np.diff(np.append(first, len(keys))))
             keep = held > 1
-            keys, ids, sizes, alone, held = keys[keep], ids[keep], sizes[keep], alone[keep], held[keep]
+            keys, ids, sizes, tried, held = keys[keep], ids[keep], sizes[keep], tried[keep], held[keep]
         parts.append(
             pa.table(
                 {
@@ -205,7 +212,8 @@ def _meet(table: pa.Table) -> pa.Table:
                     "key": pa.array(keys.view(np.int64)),
                     "held": pa.array(held, pa.int64()),
                     "n": pa.array(sizes.astype(np.int64)),
-                    "rare": pa.array(alone),
+                    "tried": pa.array(np.where(tried < 0, -tried - 1, tried).astype(np.int64)),
+                    "alone": pa.array(tried >= 0),
                 }
             )
         )
@@ -213,20 +221,30 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _selected(shared: DataFrame) -> DataFrame:
-    """(key, id, n) of the documents that may have partners, under as few keys as they need.
+    """(key, id, n, most) of the documents that may have partners, under as few keys as they need.
 
     A document indexed by rare tokens alone shares at least ``fewest`` of them with any partner: it
-    needs its rarest ones, all but that many and one. Others keep all their keys.
+    needs its rarest ones, all but that many and one. Others keep all their keys. ``most`` is the
+    size of the largest partner: an overlap of n less the tokens that are not shared allows no more.
     """
     least = F.when(3 * F.col("n") < 4 * SMALL, 1).otherwise(
         1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / EXTRA)
     )
     keys = F.array_sort(F.collect_set(F.struct("held", "key")))
-    by_set = shared.groupBy("id", "n", "rare").agg(keys.alias("keys"))
-    kept = F.when(F.col("rare"), F.size("keys") - least + 1).otherwise(F.size("keys")).cast("int")
-    by_set = by_set.withColumn("kept", kept).where("kept > 0")
+    by_set = shared.groupBy("id", "n", "tried", "alone").agg(keys.alias("keys"))
+    used = F.size(F.filter("keys", lambda k: k["held"] < _MANY))
+    missing = F.greatest(F.col("tried") - used, F.lit(0))
+    kept = F.when(F.col("alone"), F.size("keys") - least + 1).otherwise(F.size("keys")).cast("int")
+    by_set = by_set.select(
+        "id",
+        "n",
+        "keys",
+        kept.alias("kept"),
+        F.floor((7 * (F.col("n") - missing) - 3 * F.col("n")) / 3).alias("most"),
+    )
+    by_set = by_set.where("kept > 0 and 4 * most >= 3 * n")
     some = F.explode(F.slice("keys", F.lit(1), F.col("kept")))
-    return by_set.select("id", "n", some.alias("k")).select("k.key", "id", "n")
+    return by_set.select("id", "n", "most", some.alias("k")).select("k.key", "id", "n", "most")
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +291,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_compare, "a long, b long")
 
 
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the documents x and y of each row, if their sizes allow the similarity."""
+    fits = (
+        "4 * x.high >= 3 * y.low and 4 * y.high >= 3 * x.low and x.low <= y.most and y.low <= x.most"
+    )
+    return rows.where(fits).selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row; the key is a 64-bit integer."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -287,35 +313,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     packed = texts.where("id is not null").mapInArrow(_pack(classes, buckets), PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_meet, SHARED)
     index = _selected(shared).join(nodes.where("id = node").select("id"), "id", "left_semi")
-    bucket = index.groupBy("key", "id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    bucket = index.groupBy("key", "id").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most")
+    )
     bucket = written(bucket, "buckets")
-    first = bucket.groupBy("key").agg(F.min_by(F.struct("id", "low", "high"), "id").alias("f"))
-    star = bucket.join(first, "key").where("id != f.id").select("key", "id", "low", "high", "f")
-    star = written(star, "stars")
-    direct = star.where("4 * high >= 3 * f.low and 4 * f.high >= 3 * low").select(F.col("f.id").alias("a"), F.col("id").alias("b"))
-    links = written(verified(direct.distinct(), texts), "links")
+    smaller = bucket.where("most >= low")
+    first = smaller.groupBy("key").agg(F.min_by(F.struct("id", "low", "high", "most"), "id").alias("f"))
+    star = bucket.join(first, "key").where("id != f.id")
+    star = written(star.select("key", "id", "low", "high", "most", "f"), "stars")
+    direct = star.select(F.struct("id", "low", "high", "most").alias("x"), F.col("f").alias("y"))
+    links = written(verified(_pairs_of(direct), texts), "links")
     label = components(links)
     # What may still join two components: members outside the component of their bucket's first.
-    labelled = star.join(label.withColumnRenamed("node", "id").withColumnRenamed("component", "c"), "id", "left")
-    heads = label.select(F.col("node").alias("head"), F.col("component").alias("head_c"))
-    labelled = (
-        labelled.withColumn("head", F.col("f.id"))
-        .join(heads, "head", "left")
-        .select(
-            "key", "id", "low", "high",
-            F.coalesce("c", "id").alias("c"),
-            F.coalesce("head_c", "head").alias("head_c"),
-        )
-    )
-    labelled = written(labelled, "labelled")
-    outside = labelled.where("c != head_c")
-    x, y = outside.alias("x"), labelled.alias("y")
-    more = (
-        x.join(y, F.expr("x.key = y.key and x.c != y.c and (y.c = y.head_c or x.id < y.id)"))
-        .where("4 * x.high >= 3 * y.low and 4 * y.high >= 3 * x.low")
-        .select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
-        .distinct()
+    labelled = star.join(label.toDF("id", "c"), "id", "left")
+    labelled = labelled.join(label.toDF("head", "head_c"), F.col("f.id") == F.col("head"), "left")
+    mine, theirs = F.coalesce("c", "id"), F.coalesce("head_c", "f.id")
+    labelled = written(
+        labelled.select(
+            "key",
+            F.struct("id", "low", "high", "most").alias("x"),
+            mine.alias("c"),
+            (mine != theirs).alias("outside"),
+        ),
+        "labelled",
     )
+    outside, small = labelled.where("outside"), labelled.where("x.most >= x.low")
+    more = None
+    for left, right in ((small.where("outside"), labelled), (small.where("not outside"), outside)):
+        other = right.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
+        found = _pairs_of(left.join(other, "key").where("c != d"))
+        more = found if more is None else more.unionByName(found)
+    more = more.distinct()
     links = links.unionByName(verified(more, texts))
     equal = nodes.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     label = components(links.unionByName(equal))
