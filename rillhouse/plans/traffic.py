@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rillhouse.operators.routing import route_log
-from rillhouse.operators.visits import fix_is_new, unique_visitor, user_jump
+from rillhouse.operators.visits import fix_is_new
 from rillhouse.sources.records import parse_log, split_log
 
 
@@ -18,6 +18,3 @@ def log_outputs(raw: DataFrame, tz: str | None = None) -> dict[str, DataFrame]:
     """All outputs of the log split by name, dirty text included."""
     log, dirty = clean_log(raw)
     return {**route_log(fix_is_new(log, tz=tz)), "dirty": dirty}
-
-
-__all__ = ["clean_log", "log_outputs", "unique_visitor", "user_jump"]

@@ -10,7 +10,7 @@ from rillhouse.operators import visits
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.plans import trade, traffic
 from rillhouse.sinks.tables import VersionLog, committed, last_commit
-from rillhouse.sinks.topics import stream_files
+from rillhouse.sinks.topics import as_topic, stream_files, to_topics
 from rillhouse.sources.streams import file_text, parquet_rows
 from rillhouse.streaming import jobs, processors
 from rillhouse.workspace import new_folder
@@ -146,6 +146,22 @@ def test_text_files_as_source(spark):
     assert got == traffic.clean_log(bindings.log_text(spark, SF))[1].count()
 
 
+def test_jobs_take_a_sink(spark):
+    folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+    bindings.log_text(spark, SF).select("value").write.text(folder)
+    names = []
+
+    def sink(rows, name, checkpoint):
+        names.append(name)
+        return stream_files(as_topic(rows, name), f"{root}/elsewhere", checkpoint)
+
+    jobs.start_dirty(file_text(spark, folder), root, sink=sink).awaitTermination()
+    rows = spark.read.parquet(f"{root}/elsewhere")
+    assert names == [schemas.LOG_TOPICS["dirty"]] == [r.topic for r in rows.select("topic").distinct().collect()]
+    writer = to_topics("host:9092")(file_text(spark, folder), "topic", f"{root}/ck")
+    assert hasattr(writer, "trigger")
+
+
 def order_log(spark):
     """The order change log in four arrivals, some rows split at random."""
     log = bindings.order_changes(spark, SF)
