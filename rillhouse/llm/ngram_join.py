@@ -12,9 +12,10 @@ band; a set is indexed under its own band and the next, which partners have in c
 1. A fixed-size sketch of all tokens says which are frequent; it errs only towards frequent, which
    costs work but loses nothing.
 2. The prefix is extended by an eighth of the set, so partners share more than one of its tokens.
-   Rare tokens meet once, packed into buckets by their hash: those of a single document go, and the
-   others learn in how many documents they are. A document that shares too few is done with; the
-   others keep as many of their shared tokens as they must, the rarest. Tokens that are not shared
+   Rare tokens meet, packed into buckets by their hash: those of a single document go, and the
+   others learn in how many documents they are. A document that shares too few is done with. All
+   tokens of those that are left meet once more, and these documents keep as few of their shared
+   tokens as they must, the rarest. Tokens that are not shared
    bound the overlap with any partner, and with it the size of partners: many documents can only
    be the larger one of a pair, and two of them are never compared.
 3. In each bucket of the index the least document that can be the smaller one is compared with the
@@ -77,9 +78,13 @@ def _pair_keys(tokens: np.ndarray, groups: np.ndarray, band: int) -> np.ndarray:
     return np.concatenate(found) | np.uint64(1)
 
 
-def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+def index_keys(
+    tokens: np.ndarray, classes: np.ndarray, whole: bool = False
+) -> tuple[np.ndarray, np.ndarray, bool]:
     """Keys under which a set is indexed: of rare tokens, and all others; and whether the rare ones do.
 
+    ``whole`` gives all rare tokens instead of a prefix.
+
     A set of too few rare tokens has all of them, and pairs of frequent ones for the rest of its prefix.
     Keys of single tokens are even, keys of pairs odd. ``classes`` has the tokens' classes.
     """
@@ -89,9 +94,10 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.
     rare = int((classes == 0).sum())
     single = tokens & ~np.uint64(1)
     if n < SMALL:
-        return single[order[: min(need, rare)]], single[order[rare:need]], need <= rare
+        return single[order[: rare if whole else min(need, rare)]], single[order[rare:need]], need <= rare
     others = [single[order[rare:need]]] if 3 * n < 4 * SMALL else []
-    alone = need + n // EXTRA <= rare
+    extended = need if whole else need + n // EXTRA
+    alone = extended <= rare
     if need > rare:
         rest = tokens[order[rare:]]
         band = int(np.log(n) / np.log(4 / 3) + 1e-9)
@@ -103,7 +109,7 @@ def index_keys(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.
             end = int(np.searchsorted(stands_for, need - rare)) + 1
             others.append(_pair_keys(rest[:end], groups[:end], b))
     rest = np.unique(np.concatenate(others)) if others else tokens[:0]
-    return single[order[: need + n // EXTRA if alone else rare]], rest, alone
+    return single[order[: extended if alone and not whole else rare]], rest, alone
 
 
 def fewest(n: np.ndarray) -> np.ndarray:
@@ -138,7 +144,7 @@ SHARED = "id long, key long, held long, n long, tried long, alone boolean"
 _MANY = 1 << 40
 
 
-def _pack(classes: np.ndarray, buckets: int):
+def _pack(classes: np.ndarray, buckets: int, whole: bool):
     """Keys, ids, set sizes and numbers of rare keys of a piece of texts, packed by bucket.
 
     The number is negative, and less by one, for sets that have other keys as well.
@@ -154,7 +160,7 @@ def _pack(classes: np.ndarray, buckets: int):
             kinds: tuple[list, list] = ([], [])
             for row, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                 if start < end:
-                    rare, others, alone = index_keys(tokens[start:end], class_of[start:end])
+                    rare, others, alone = index_keys(tokens[start:end], class_of[start:end], whole)
                     tried = len(rare) if alone else -len(rare) - 1
                     for kind, keys in zip(kinds, (rare, others)):
                         kind.append((keys, np.full(len(keys), row), np.full(len(keys), tried, np.int32)))
@@ -220,12 +226,14 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def _selected(shared: DataFrame) -> DataFrame:
+def _selected(shared: DataFrame, whole: bool) -> DataFrame:
     """(key, id, n, most) of the documents that may have partners, under as few keys as they need.
 
-    A document indexed by rare tokens alone shares at least ``fewest`` of them with any partner: it
-    needs its rarest ones, all but that many and one. Others keep all their keys. ``most`` is the
-    size of the largest partner: an overlap of n less the tokens that are not shared allows no more.
+    A document indexed by rare tokens alone needs its rarest shared ones. Of a prefix, it shares at
+    least ``fewest`` with any partner: all but that many and one suffice. Of its ``whole`` rare
+    tokens, n // 4 may be missing, and those that are not shared are. Others keep all their keys.
+    ``most`` is the size of the largest partner: an overlap of n less the tokens that are not shared
+    allows no more.
     """
     least = F.when(3 * F.col("n") < 4 * SMALL, 1).otherwise(
         1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / EXTRA)
@@ -234,7 +242,9 @@ def _selected(shared: DataFrame) -> DataFrame:
     by_set = shared.groupBy("id", "n", "tried", "alone").agg(keys.alias("keys"))
     used = F.size(F.filter("keys", lambda k: k["held"] < _MANY))
     missing = F.greatest(F.col("tried") - used, F.lit(0))
-    kept = F.when(F.col("alone"), F.size("keys") - least + 1).otherwise(F.size("keys")).cast("int")
+    needed = F.floor(F.col("n") / 4) + 1 - missing if whole else F.size("keys") - least + 1
+    kept = F.when(F.col("alone"), needed).when(missing > F.floor(F.col("n") / 4), 0)
+    kept = kept.otherwise(F.size("keys")).cast("int")
     by_set = by_set.select(
         "id",
         "n",
@@ -280,8 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = sifted(texts, "id", sieve(wanted, "id")).join(wanted, "id", "left_semi")
-    few = written(few.distinct(), "texts")
+    few = texts.join(wanted, "id", "left_semi")
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
     dealt = pairs.join(spread, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     theirs = dealt.join(few.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
@@ -310,9 +319,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nodes = written(known.join(same, ["set1", "set2"]).select("id", "node").distinct(), "nodes")
 
     buckets = max(1, total * 3 // 8 // BUCKET)
-    packed = texts.where("id is not null").mapInArrow(_pack(classes, buckets), PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_meet, SHARED)
-    index = _selected(shared).join(nodes.where("id = node").select("id"), "id", "left_semi")
+
+    def index_of(some: DataFrame, whole: bool) -> DataFrame:
+        packed = some.mapInArrow(_pack(classes, buckets, whole), PACKED)
+        shared = packed.groupBy("bucket").applyInArrow(_meet, SHARED)
+        return _selected(shared, whole)
+
+    alive = index_of(texts.where("id is not null"), whole=False).select("id").distinct()
+    alive = written(alive.join(nodes.where("id = node").select("id"), "id", "left_semi"), "alive")
+    few = sifted(texts, "id", sieve(alive, "id")).join(alive, "id", "left_semi")
+    few = written(few.distinct(), "texts")
+    index = index_of(few, whole=True)
     bucket = index.groupBy("key", "id").agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most")
     )
@@ -322,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     star = bucket.join(first, "key").where("id != f.id")
     star = written(star.select("key", "id", "low", "high", "most", "f"), "stars")
     direct = star.select(F.struct("id", "low", "high", "most").alias("x"), F.col("f").alias("y"))
-    links = written(verified(_pairs_of(direct), texts), "links")
+    links = written(verified(_pairs_of(direct), few), "links")
     label = components(links)
     # What may still join two components: members outside the component of their bucket's first.
     labelled = star.join(label.toDF("id", "c"), "id", "left")
@@ -344,7 +361,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         found = _pairs_of(left.join(other, "key").where("c != d"))
         more = found if more is None else more.unionByName(found)
     more = more.distinct()
-    links = links.unionByName(verified(more, texts))
+    links = links.unionByName(verified(more, few))
     equal = nodes.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     label = components(links.unionByName(equal))
     label = label.withColumnRenamed("node", "id")

@@ -90,6 +90,8 @@ def test_partners_share_a_key():
             continue
         for pick in (lambda t: 0, class_of.get, lambda t: 3):
             classes = [np.array([pick(t) for t in s.tolist()]) for s in (x, y)]
+            keys = [np.concatenate(J.index_keys(s, c, True)[:2]) for s, c in zip((x, y), classes)]
+            assert len(np.intersect1d(*keys)), (len(x), len(y), both)
             keys = [np.concatenate(J.index_keys(s, c)[:2]) for s, c in zip((x, y), classes)]
             shared = np.intersect1d(*keys)
             assert len(shared), (len(x), len(y), both)
