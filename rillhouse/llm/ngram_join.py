@@ -300,12 +300,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_compare, "a long, b long")
 
 
-def _pairs_of(rows: DataFrame) -> DataFrame:
+def _pairs_of(rows: DataFrame, also: str = "true") -> DataFrame:
     """Distinct (a, b) of the documents x and y of each row, if their sizes allow the similarity."""
     fits = (
         "4 * x.high >= 3 * y.low and 4 * y.high >= 3 * x.low and x.low <= y.most and y.low <= x.most"
     )
-    return rows.where(fits).selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
+    return rows.where(f"{fits} and {also}").selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,20 +345,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labelled = star.join(label.toDF("id", "c"), "id", "left")
     labelled = labelled.join(label.toDF("head", "head_c"), F.col("f.id") == F.col("head"), "left")
     mine, theirs = F.coalesce("c", "id"), F.coalesce("head_c", "f.id")
-    labelled = written(
-        labelled.select(
-            "key",
-            F.struct("id", "low", "high", "most").alias("x"),
-            mine.alias("c"),
-            (mine != theirs).alias("outside"),
-        ),
-        "labelled",
+    labelled = labelled.select(
+        "key",
+        "id",
+        F.struct("id", "low", "high", "most").alias("x"),
+        mine.alias("c"),
+        (mine != theirs).alias("outside"),
     )
-    outside, small = labelled.where("outside"), labelled.where("x.most >= x.low")
+    labelled = written(labelled, "labelled")
+    mixed = labelled.join(labelled.where("outside").select("key").distinct(), "key", "left_semi")
+    # Each document's keys there: a pair is taken at the first one it has in common only.
+    keys = mixed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    mixed = written(mixed.join(keys, "id"), "mixed")
+    outside, small = mixed.where("outside"), mixed.where("x.most >= x.low")
     more = None
-    for left, right in ((small.where("outside"), labelled), (small.where("not outside"), outside)):
-        other = right.select("key", F.col("x").alias("y"), F.col("c").alias("d"))
-        found = _pairs_of(left.join(other, "key").where("c != d"))
+    first_common = "array_min(array_intersect(keys, others)) = key"
+    for left, right in ((small.where("outside"), mixed), (small.where("not outside"), outside)):
+        other = right.select("key", F.col("x").alias("y"), F.col("c").alias("d"), F.col("keys").alias("others"))
+        found = _pairs_of(left.join(other, "key").where("c != d"), first_common)
         more = found if more is None else more.unionByName(found)
     more = more.distinct()
     links = links.unionByName(verified(more, few))
