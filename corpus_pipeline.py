@@ -18,7 +18,7 @@ from rillhouse.llm.sieve import without
 from rillhouse.llm.tables import table, written
 
 #: Least score of a document's language.
-LANGUAGE_SCORE = 0.4
+LANGUAGE_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

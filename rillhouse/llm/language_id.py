@@ -33,6 +33,8 @@ WINDOW = 128
 DOCUMENTS, WINDOWS, TRAINED = 600, 6, 64
 HIDDEN = 12
 EPOCHS, BATCH, RATE = 3, 192, 0.01
+#: Steps of training at least: a small sample is gone through more often.
+STEPS = 240
 _PAD = 256
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = regex.compile(r"\p{L}")
@@ -181,8 +183,10 @@ def train(
         codes[row, : len(window)] = np.frombuffer(window, np.uint8)
     weights = [w for d in (net.forward, net.backward) for w in (d.byte, d.state, d.label)] + [net.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    step, steps = 0, EPOCHS * -(-len(windows) // BATCH)
-    for _ in range(EPOCHS):
+    each = -(-len(windows) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // each))
+    step, steps = 0, epochs * each
+    for _ in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
