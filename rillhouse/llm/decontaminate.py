@@ -1,11 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts are read as words of letters and digits, A-Z in lower case. The seeds of a test item are its
-``SEED``-word sequences; of these, the half that occurs in the fewest documents of the whole corpus
-joins documents to the item. The passages around an item's seeds in a document are aligned with the
-item: a match scores 1, a mismatch or a gap costs ``PENALTY``. A document is contaminated from
-``THRESHOLD`` of the score of an exact copy on, but not below ``LEAST`` points (for short items: below
-``SHORT`` of the exact score); ``RUN`` points are enough however long the item is.
+``SEED``-word sequences; a document that holds any of them, rare or common, is joined to the item. The
+passages around an item's seeds in a document are aligned with the item: a match scores 1, a mismatch
+or a gap costs ``PENALTY``. A document is contaminated from ``THRESHOLD`` of the score of an exact copy
+on, but not below ``LEAST`` points (for short items: below ``SHORT`` of the exact score); ``RUN`` points
+are enough however long the item is. A copy that keeps no ``SEED`` words in a row is not found.
+
+A seed joins all its documents to all its items, so common seeds give many pairs. Most of these end at
+a bound of the score, which costs little and never lies below it; only the others are aligned.
 
 Null and empty texts, and items of fewer words than a seed, match nothing. Rows without an id are left out, as
 the result could not name them; rows with the same ids give one row for each item, the best one.
@@ -20,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rillhouse.llm.arrow import pieces, text_bytes
 from rillhouse.llm.sieve import BITS, sieve, sifted
@@ -108,6 +110,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def bound(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment scores more: words that the other side lacks cost ``PENALTY`` each, others give 1."""
+    most = np.inf
+    for words, others in ((passage, item), (item, passage)):
+        sums = np.cumsum(np.where(np.isin(words, others), 1.0, -PENALTY))
+        before = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+        most = min(most, float((sums - before).max(initial=0.0)))
+    return most
+
+
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         words, items = _words(batch.column("text")), _words(batch.column("item_text"))
@@ -125,7 +137,10 @@ def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Passages: seeds that are no further apart than the item is long.
             for some in np.split(at, np.flatnonzero(np.diff(at) > len(item)) + 1):
                 low = max(0, int(some[0]) - len(item))
-                score, start, end = align(item, mine[low : int(some[-1]) + SEED + len(item)])
+                passage = mine[low : int(some[-1]) + SEED + len(item)]
+                if bound(item, passage) < needed(len(item)):
+                    continue
+                score, start, end = align(item, passage)
                 if score > best[0]:
                     best = (score, low + start, low + end)
             if best[0] >= needed(len(item)):
@@ -157,20 +172,10 @@ def contaminated(
     bitmap = sieve(seeds, "seed", BITS)
     # Pairs of a seed and a document, whatever the number of their occurrences.
     hits = texts.mapInArrow(_hits(bitmap), "seed long, id long").distinct()
-    hits = written(hits.join(seeds.select("seed").distinct(), "seed", "left_semi"), "hits")
-    spread = hits.groupBy("seed").agg(F.count("*").alias("documents"))
-    order = Window.partitionBy("item").orderBy(F.coalesce("documents", F.lit(0)), "seed")
-    whole = Window.partitionBy("item")
-    rare = (
-        seeds.join(spread, "seed", "left")
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("all", F.count("*").over(whole))
-        .where("2 * rank <= all + 1")
-        .select("seed", "item")
-    )
-    pairs = written(hits.join(rare, "seed").select("id", "item").distinct(), "candidates")
-    few = sifted(texts, "id", sieve(pairs, "id")).join(pairs, "id")
-    rows = few.join(items.withColumnRenamed("text", "item_text").distinct(), "item")
+    pairs = written(hits.join(seeds, "seed").select("id", "item").distinct(), "candidates")
+    few = sifted(texts, "id", sieve(pairs, "id"))
+    # Items go to the pairs first: the longer texts of documents are shuffled once, not for each item.
+    rows = few.join(pairs.join(items.withColumnRenamed("text", "item_text").distinct(), "item"), "id")
     found = rows.select("id", "text", "item", "item_text").mapInArrow(
         _align, f"id long, item {kind}, score double, start long, end long"
     )

@@ -77,3 +77,43 @@ def test_empty(spark):
     tests = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert D.contaminated(docs.limit(0), tests).collect() == []
     assert [r.score for r in D.contaminated(docs, tests).collect()] == [1.0]
+
+
+def test_bound():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, rng.integers(1, 30)), rng.integers(0, 9, rng.integers(1, 60))
+        assert D.bound(a, b) >= plain(a, b) - 1e-9
+
+
+def test_every_copy_that_scores_and_shares_a_seed(spark):
+    rng = random.Random(8)
+    new = lambda: "".join(rng.choice("on er ha ti st ka mu".split()) for _ in range(6))
+    items = {i: [new() for _ in range(rng.randrange(16, 56))] for i in range(60)}
+    docs = {}
+    for i, item in items.items():
+        changed = set(range(4, len(item), 5)) if i % 4 == 0 else set(
+            rng.sample(range(len(item)), round(len(item) * (0.15, 0.2, 0.3)[i % 3]))
+        )
+        copy = [new() if k in changed else w for k, w in enumerate(item)]
+        docs[i] = [new() for _ in range(20)] + copy + [new() for _ in range(20)]
+    docs[1000] = [new() for _ in range(9)] + items[7]  # an exact copy beside the edited one
+    seeds = lambda words: {tuple(words[k : k + D.SEED]) for k in range(len(words) - D.SEED + 1)}
+    scores = {
+        (d, i): plain(items[i], words)
+        for d, words in docs.items()
+        for i in items
+        if seeds(items[i]) & seeds(words)
+    }
+    expected = {p for p, score in scores.items() if score >= D.needed(len(items[p[1]]))}
+    assert {(7, 7), (1000, 7), *((i, i) for i in range(0, 60, 4))} <= expected
+    assert len(expected) > 45
+    rows = [(d, " ".join(words)) for d, words in docs.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame(
+        [(i, " ".join(words)) for i, words in items.items()], "item_id long, text string"
+    )
+    found = D.contaminated(frame, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    for r in found:
+        assert abs(r.score * len(items[r.item_id]) - scores[r.doc_id, r.item_id]) < 1e-6
