@@ -13,13 +13,16 @@ is a run of segments, each with its own length in front::
 
 A block subtracts its minimum, packs at the width that a percentile of its values needs, and keeps
 the high bits of wider values in the exception list. The block index lets a reader decode any range
-of tokens by itself. Files are committed by Spark's writer and read whole by its binary reader, so
+of tokens by itself. The ids are those of the tokenizer as its file has it, without special tokens at
+the ends; where a text holds an added token such as ``<|endoftext|>``, it has that token's id, as the
+library gives it. Files are committed by Spark's writer and read whole by its binary reader, so
 they may lie in any store; their names and order are free, since ids order them.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -49,6 +52,8 @@ SEGMENT_BYTES = 2 << 20
 NO_ID = -(1 << 63)
 _LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
 _MARK = np.array([i < 127 and chr(i).isprintable() and not chr(i).isalnum() and i != 32 for i in range(256)])
+#: Changes the hashes of added tokens.
+_ADDED = np.uint64(0x5851F42D4C957F2D)
 _HEAD = struct.Struct("<4s4I")
 _BLOCK_HEAD = struct.Struct("<I2HB3x")
 MAGIC = b"PFR1"
@@ -143,9 +148,7 @@ def tokens_at(data: memoryview, start: int, stop: int) -> np.ndarray:
 
 @functools.cache
 def _tokenizer(vocabulary: str) -> Tokenizer:
-    found = Tokenizer.from_file(vocabulary)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(vocabulary)
 
 
 def _mark_after_letter(data: np.ndarray) -> np.ndarray:
@@ -159,7 +162,9 @@ def _mark_after_letter(data: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids of texts whose tokenizer lower-cases and never joins characters across white space.
 
-    Nor does it join a letter and the mark behind it, so words are cut there too. Each distinct word
+    Nor does it join a letter and the mark behind it, so words are cut there too. Added tokens are
+    words by themselves, as written; if the tokenizer has any that are looked for in the normalized
+    text, take in neighbours or hold white space, all texts are encoded whole. Each distinct word
     goes through the tokenizers library once; the ids of at most ``limit`` words
     are remembered by the word's 64-bit hash. A hash stands for its word, so two words of one
     worker's memory that share it would share ids: at the limit the odds are under one in 10**8.
@@ -167,6 +172,12 @@ class WordIds:
 
     def __init__(self, vocabulary: str, limit: int = REMEMBERED):
         self.tokenizer, self.limit = _tokenizer(vocabulary), limit
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = any(
+            t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added
+        )
+        contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
         self.keys = np.empty(0, np.uint64)
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
@@ -196,10 +207,30 @@ class WordIds:
         self.keys, self.starts = self.keys[:0], self.starts[:0]
         self.counts, self.ids = self.counts[:0], self.ids[:0]
 
+    def _added(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """The spans of added tokens in the texts."""
+        if self.added is None or not self.added.search(data):
+            return []
+        bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+        return [found.span() for a, b in bounds for found in self.added.finditer(data, a, b)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and their number in each text."""
+        if self.whole:
+            found = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+            tokens = np.array([x for ids in found for x in ids], np.uint32)
+            return tokens, np.array([len(ids) for ids in found], np.int64)
         data, offsets = text_bytes(texts)
-        words = words_of(data, offsets, lower=True, cut=_mark_after_letter(data))
+        cut = _mark_after_letter(data)
+        added = self._added(data, offsets)
+        for start, end in added:
+            cut[start] = True
+            cut[start + 1 : end] = False
+            cut[end : end + 1] = True
+        cut[:1] = False
+        words = words_of(data, offsets, lower=True, cut=cut)
+        # Apart from words that differ in case only.
+        words.hashes[np.searchsorted(words.starts, [start for start, _ in added])] ^= _ADDED
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         known = at < len(self.keys)

@@ -67,3 +67,65 @@ def test_memory_of_words_is_bounded():
         tokens, counts = encoder.encode(pa.array(texts))
         assert tokens.tolist() == [x for t in texts for x in expected(t)[:-1]]
         assert counts.sum() == len(tokens)
+
+
+ADDED = [
+    "a <|endoftext|> b",
+    "<|endoftext|>",
+    "word<|endoftext|>'s and<|startoftext|><|endoftext|>!! x",
+    "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>\n<|startoftext|>\n",
+    "cut off here <|endof",  # no token spans two texts
+    "text|> and on",
+    None,
+    "",
+    "e<|endoftext|>́ <<|endoftext|>> <|endoftext |> İ<|endoftext|>Σ",
+    "<|endoftext|>" * 300,
+]
+
+
+@pytest.mark.parametrize("limit", [3, T.REMEMBERED])
+def test_added_tokens_as_the_library_has_them(limit):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(T.VOCABULARY)
+    encoder = T.WordIds(T.VOCABULARY, limit=limit)
+    for texts in (ADDED, ADDED[::-1], ["plain"], []):
+        ids = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+        tokens, counts = encoder.encode(pa.array(texts, pa.string()))
+        assert tokens.tolist() == [x for some in ids for x in some]
+        assert counts.tolist() == [len(some) for some in ids]
+    assert fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+
+
+@pytest.mark.parametrize("kind", [{"normalized": True}, {"lstrip": True}, {"single_word": True}, {}])
+def test_other_added_tokens(tmp_path, kind):
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    fresh = Tokenizer.from_file(T.VOCABULARY)
+    fresh.add_tokens([AddedToken("[PAD1]", **({"normalized": False} | kind))])
+    path = str(tmp_path / "other.json")
+    fresh.save(path)
+    texts = ["a  [PAD1] b[PAD1]c [pad1] [Pad1]", "[pad1] [PAD1]", None, "[pad1]<|endoftext|>"]
+    encoder = T.WordIds(path)
+    assert encoder.whole == bool(kind)
+    ids = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    tokens, counts = encoder.encode(pa.array(texts))
+    assert tokens.tolist() == [x for some in ids for x in some]
+    assert counts.tolist() == [len(some) for some in ids]
+
+
+def test_files_with_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(T.VOCABULARY)
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    T.write(docs, str(tmp_path / "out"), files=2)
+    start = 0
+    for row in sorted(T.read(spark, str(tmp_path / "out")).collect(), key=lambda r: r.start):
+        ids = np.frombuffer(row.tokens, "<u4").tolist()
+        assert ids == [*fresh.encode(ADDED[row.id] or "", add_special_tokens=False).ids, T.END_ID]
+        assert row.start == start
+        start += len(ids)
+    assert start > 300
