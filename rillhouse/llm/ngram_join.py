@@ -23,8 +23,9 @@ band; a set is indexed under its own band and the next, which partners have in c
    different ones are compared further. So all pairs that could still join two components are
    verified, and no pairs within a component.
 
-Documents with the same set are one node. Rows of one id are one document; a null id has no component
-and is linked with nothing. Empty or null texts, or those without words, have no tokens and no links.
+Documents with the same set are one node. Rows of one id are one document: different texts of an id are
+compared each by itself, under a 64-bit hash of the id and the text, and their links are the id's. A null
+id has no component and is linked with nothing. Empty or null texts, or those without words, have no tokens and no links.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def fewest(n: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of tokens and two hashes of each set."""
+    """Number of tokens and two hashes of each set; the tag is passed on."""
     for batch in pieces(batches):
         tokens, counts = _tokens(batch)
         rows = np.repeat(np.arange(len(counts)), counts)
@@ -129,15 +130,16 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
+                batch.column("tag"),
                 pa.array(counts, pa.int64()),
                 pa.array(one.view(np.int64)),
                 pa.array(two.view(np.int64)),
             ],
-            names=["id", "n", "set1", "set2"],
+            names=["id", "tag", "n", "set1", "set2"],
         )
 
 
-SETS = "id long, n long, set1 long, set2 long"
+SETS = "id long, tag long, n long, set1 long, set2 long"
 PACKED = "bucket long, rare boolean, keys binary, ids binary, sizes binary, tried binary"
 SHARED = "id long, key long, held long, n long, tried long, alone boolean"
 #: Stands for the number of documents of keys that were not counted.
@@ -312,8 +314,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_shingles, component_id) of each row; the key is a 64-bit integer."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     classes, total = frequency_classes(texts, _hashes, SIGMAS, LEAST)
-    light = written(texts.mapInArrow(_sets, SETS), "sets")
+    tag = F.xxhash64("id", "text").alias("tag")
+    light = written(texts.select("id", "text", tag).mapInArrow(_sets, SETS), "sets")
     known = light.where("id is not null and n > 0")
+    # Texts of an id that has several go by their tags from here on.
+    tags = F.min("tag").alias("least"), F.max("tag").alias("most")
+    several = light.where("id is not null").groupBy("id").agg(*tags).where("least < most")
+    several = written(several.select("id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:
+        owners = written(light.join(several, "id").select("tag", F.col("id").alias("owner")).distinct(), "owners")
+        bitmap = sieve(several, "id")
+
+        def by_tag(rows: DataFrame) -> DataFrame:
+            """The rows, the tag in place of each id that has several texts."""
+            its = F.when(F.col("owner").isNotNull(), F.col("tag")).otherwise(F.col("id")).alias("id")
+            columns = [its if c == "id" else F.col(c) for c in rows.columns if c != "tag"]
+            some = several.select("id", F.col("id").alias("owner"))
+            suspects = sifted(rows, "id", bitmap).join(some, "id", "left").select(*columns)
+            return sifted(rows, "id", bitmap, out=True).drop("tag").unionByName(suspects)
+
+        known = by_tag(known)
+        texts = by_tag(texts.select("id", "text", tag))
     # The least document that has the same set stands for all of them.
     same = known.groupBy("set1", "set2").agg(F.min("id").alias("node"))
     nodes = written(known.join(same, ["set1", "set2"]).select("id", "node").distinct(), "nodes")
@@ -367,7 +389,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     more = more.distinct()
     links = links.unionByName(verified(more, few))
     equal = nodes.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    label = components(links.unionByName(equal))
+    links = links.unionByName(equal)
+    if repeated:
+        for end in ("a", "b"):
+            owner = owners.withColumnRenamed("tag", end)
+            other = "b" if end == "a" else "a"
+            links = links.join(owner, end, "left").select(F.coalesce("owner", end).alias(end), other)
+    label = components(links)
     label = label.withColumnRenamed("node", "id")
     return light.join(label, "id", "left").select(
         F.col("id").alias(key),

@@ -124,3 +124,39 @@ def test_sieve_keeps_all_that_are_in_it(spark):
     rows = spark.range(10_000).selectExpr("if(id = 9999, null, id) as id", "'x' as text")
     kept = {r.id for r in sieve.sifted(rows, "id", sieve.sieve(ids, "id", 1 << 16)).collect()}
     assert {r.id for r in ids.collect()} <= kept and len(kept) < 1000 and None not in kept
+
+
+def repeated_ids(seed):
+    """Near pairs whose texts share their ids with other texts, of equal or of different size."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for pair in range(60):
+        n = rng.choice([14, 18, 40, 120])
+        base = text(n)
+        copy = list(base)
+        copy[rng.randrange(n)] = rng.choice(vocabulary)
+        passage = base[: n // 3]
+        rows += [(2 * pair, base), (2 * pair + 1, copy)]
+        for i in (2 * pair, 2 * pair + 1):
+            size = rng.choice([n, n, 3 * n, 400])
+            # Some hold a passage of the pair, so that they meet under its keys as well.
+            other = text(size) if rng.random() < 0.4 else passage + text(size - len(passage))
+            rows += [(i, other)] * rng.choice([0, 1, 1, 2])
+            if rng.random() < 0.3:
+                rows += [(500 + rng.randrange(40), other[:-1]), (i, [])]
+    rng.shuffle(rows)
+    return [(i, " ".join(words)) for i, words in rows]
+
+
+@pytest.mark.parametrize(("seed", "least"), [(3, 64), (4, 1)])
+def test_ids_with_several_texts(spark, monkeypatch, seed, least):
+    if least == 1:
+        monkeypatch.setattr(J, "LEAST", least)
+        monkeypatch.setattr(J, "SIGMAS", 0.0)
+        monkeypatch.setattr(J, "PARTNERS", 3)
+    rows = repeated_ids(seed) + [(None, "a b c d e f g"), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = J.near_duplicates(docs).collect()
+    assert sorted(str(tuple(r)) for r in found) == plain(rows)
