@@ -1,13 +1,16 @@
-"""Every registered query against its SQL, on whole tables."""
+"""Every query of the warehouse against its SQL, on whole tables."""
+
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from rillhouse import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLE = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +46,17 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry_module.queries()) == set(QUERIES)
+    assert set(entry_module.oracle_sql()) == set(ORACLE)
+
+
 # Row counts at sf0.01 that the bindings are meant to give.
 COUNTS = {
     "trade_order_pre_process": 110_345,
