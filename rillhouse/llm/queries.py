@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillhouse.llm import byte_bpe, decontaminate, language_id, ngram_join, quality_rules, secret_scan, substring_dedup, token_files, toxicity, url_rules
+from rillhouse.llm import byte_bpe, collocations, decontaminate, language_id, merkle, ngram_join, quality_rules, secret_scan, simhash, substring_dedup, token_files, toxicity, url_rules
 from rillhouse.llm.tables import table
 from rillhouse.workspace import new_folder
 
@@ -186,11 +186,139 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_LEVELS = 5
+
+
+def _merkle_levels(name: str, first: str, levels: int) -> str:
+    """Levels 0.. of the trees over ``first`` (g, i, h), and the text beside each node in its run."""
+    parts = [f"{name}0 AS (SELECT * FROM {first})"]
+    for k in range(levels):
+        run = "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        parts.append(f"""{name}{k}b AS (
+  SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n,
+    coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{k})""")
+        parts.append(f"""{name}{k + 1} AS (
+  SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+  FROM {name}{k}b GROUP BY g, i // 16)""")
+    return ",\n".join(parts)
+
+
+def _merkle_climb(name: str, levels: int, before: str, group: str) -> str:
+    """Proof and folded digest of every row of ``before`` (doc_id, g, i, ..., proof, fold), level by level."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"""{name}_up{k} AS (
+  SELECT x.* REPLACE (x.proof || CASE WHEN n > 1 THEN l || r ELSE '' END AS proof,
+    CASE WHEN n > 1 THEN sha256(l || fold || r) ELSE fold END AS fold, x.{group} // 16 AS {group})
+  FROM {before} x JOIN {name}{k}b y ON x.{"g" if name == "leaf" else "top"} = y.g AND x.{group} = y.i)""")
+        before = f"{name}_up{k}"
+    return ",\n".join(parts)
+
+
+OP11_SQL = rf"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)::BIGINT[]), lambda c, _:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+rows AS (
+  SELECT *, coalesce('=' || source, '') AS g,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 5 = 0 AS tampered,
+    translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low
+  FROM documents, crc_table),
+texts AS (
+  SELECT doc_id, g, tampered, concat(
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head, text, low
+  FROM rows),
+leaves AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE leaf END AS fold
+  FROM texts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves),
+firsts AS (SELECT g, i, leaf AS h FROM ranked),
+{_merkle_levels("leaf", "firsts", _LEVELS)},
+subroots AS (SELECT g AS s, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS j FROM leaf{_LEVELS}),
+tops AS (SELECT '' AS g, j AS i, subroot AS h FROM subroots),
+{_merkle_levels("top", "tops", _LEVELS)},
+start AS (SELECT doc_id, g, i, leaf, subroot, j, '' AS top, '' AS proof, fold FROM ranked JOIN subroots ON g = s),
+{_merkle_climb("leaf", _LEVELS, "start", "i")},
+{_merkle_climb("top", _LEVELS, f"leaf_up{_LEVELS - 1}", "j")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+FROM top_up{_LEVELS - 1}, top{_LEVELS}
+"""
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, folded with the document as found: some were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_digest({c: F.col(c) for c in merkle.COLUMNS} | {"text": lower})
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    shown = F.when(hit, tampered).otherwise(merkle.leaf_digest())
+    manifest = merkle.build(docs, carried={"shown": shown})
+    proofs = merkle.prove(manifest, manifest.leaves)
+    return proofs.select(
+        F.col("id").alias("doc_id"),
+        F.col("found").alias("leaf"),
+        "subroot",
+        F.lit(manifest.root).cast("string").alias("root"),
+        merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded("shown").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+counted AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+common AS (SELECT * FROM counted WHERE a >= 100),
+cuts AS (
+  SELECT c.*, cut, string_split(phrase, ' ') AS w FROM common c, range(1, 5) t(cut) WHERE cut < k),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n,
+    ((1000::HUGEINT * c.a::HUGEINT * n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN sizes USING (lang)
+  JOIN common x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN common y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, k, string_split(phrase, ' ') AS w, a FROM common WHERE k > 2), range(1, 5) s(i), range(2, 5) t(m)
+  WHERE m < k AND i + m - 1 <= k),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (
+  SELECT 1 FROM inside x WHERE x.lang = b.lang AND x.phrase = b.phrase AND x.a >= b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and its component of near fingerprints."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_token_files, op4_toxicity, op5_ngram_join, op6_quality_rules, op7_byte_bpe, op8_url_rules, op9_secret_scan, op10_decontaminate, op11_merkle_manifest, op12_collocations, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op1_substring_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL, "op8_url_rules": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_ngram_join": OP5_SQL, "op8_url_rules": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_collocations": OP12_SQL}

@@ -1,0 +1,136 @@
+"""Manifests and proofs against a plain tree."""
+
+import random
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillhouse.llm import merkle
+
+COLUMNS = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def digest(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(row):
+    texts = [None if v is None else str(v) for v in row[:5]]
+    return digest(*("-" if t is None else f"{len(t.encode())}:{t}" for t in texts))
+
+
+def levels(nodes):
+    found = [nodes]
+    while len(found[-1]) > 1:
+        last = found[-1]
+        found.append([digest(*last[i : i + 16]) for i in range(0, len(last), 16)])
+    return found
+
+
+def siblings(tree, at):
+    found = []
+    for level in tree[:-1]:
+        run = at - at % 16
+        found += [x for i, x in enumerate(level[run : run + 16], run) if i != at]
+        at //= 16
+    return found
+
+
+def plain(rows):
+    """(root, {leaf row: (subroot, proof digest)}) of all rows."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in order:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[g] = levels([leaf(r) for r in groups[g]])
+    top = levels([trees[g][-1][0] for g in order])
+    proofs = []
+    for j, g in enumerate(order):
+        for i, row in enumerate(groups[g]):
+            way = siblings(trees[g], i) + siblings(top, j)
+            proofs.append((row[0], leaf(row), trees[g][-1][0], digest(*way)))
+    return top[-1][0], proofs
+
+
+def corpus(seed, sizes):
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for source, size in sizes.items():
+        for _ in range(size):
+            text = rng.choice([None, "", "Ünï ÇÖDE", "Upper lower", "x" * 70_000, str(rng.random())])
+            rows.append((n, source, rng.choice([None, "en"]), rng.choice([None, 5]), text))
+            n += 1
+    rng.shuffle(rows)
+    return rows
+
+
+def found_proofs(manifest):
+    proofs = merkle.prove(manifest, manifest.leaves)
+    rows = proofs.select(
+        "id", "leaf", "found", "subroot", merkle.proof_digest().alias("p"), merkle.folded("leaf").alias("root")
+    ).collect()
+    assert all(r.leaf == r.found for r in rows)
+    assert {r.root for r in rows} <= {manifest.root}
+    return sorted((str(r.id), r.found, r.subroot, r.p) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {None: 3, "": 1, "b": 17, "a": 300, "é": 16, "z": 1},
+        {f"s{i}": i % 3 + 1 for i in range(40)},
+        {"only": 1},
+        {"only": 20},
+    ],
+)
+def test_against_a_plain_tree(spark, sizes):
+    rows = corpus(len(sizes), sizes)
+    if len(rows) > 20:
+        # Rows of one id, rows without an id, a row that occurs twice.
+        rows += [(rows[0][0], rows[0][1], "fr", 1, "again"), (None, "a", None, None, "x"), (None, "a", None, None, "y")]
+        rows += [rows[1]]
+    docs = spark.createDataFrame(rows, COLUMNS).withColumn("leaf", F.lit("clash")).withColumn("path", F.lit(1))
+    manifest = merkle.build(docs.repartition(3))
+    root, expected = plain(rows)
+    assert manifest.root == root
+    assert found_proofs(manifest) == sorted((str(i), *rest) for i, *rest in expected)
+
+
+def test_records_are_stored_once(spark):
+    rows = [(7, s, "en", 1, "same") for s in ("a", "b") for _ in range(64)]
+    manifest = merkle.build(spark.createDataFrame([(*r, "other") for r in rows], COLUMNS + ", x string"), group="x")
+    assert manifest.leaves.count() == 128
+    records = manifest.records.collect()
+    assert len(records) == len({r.digest for r in records})
+    assert all(r.digest == digest(*r.children) for r in records)
+
+
+def test_some_requests(spark):
+    rows = corpus(3, {"a": 100, "b": 20})
+    manifest = merkle.build(spark.createDataFrame(rows, COLUMNS))
+    wanted = manifest.leaves.where("id in (3, 50, 111)")
+    got = merkle.prove(manifest, wanted.unionByName(wanted.where("id = 3"))).collect()
+    assert sorted(r.id for r in got) == [3, 3, 50, 111]
+    nowhere = wanted.withColumn("path", F.lit("0fff"))
+    assert merkle.prove(manifest, nowhere).count() == 0
+
+
+def test_tampering_shows(spark):
+    rows = corpus(4, {"a": 40, None: 2})
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shown = merkle.leaf_digest({c: F.col(c) for c in merkle.COLUMNS} | {"text": lower})
+    manifest = merkle.build(spark.createDataFrame(rows, COLUMNS), carried={"shown": shown})
+    got = merkle.prove(manifest, manifest.leaves).select("id", (merkle.folded("shown") == manifest.root).alias("same"))
+    text = {r[0]: r[4] for r in rows}
+    for r in got.collect():
+        assert r.same == (text[r.id] is None or not any("A" <= c <= "Z" for c in text[r.id]))
+
+
+def test_empty_table(spark):
+    manifest = merkle.build(spark.createDataFrame([], COLUMNS))
+    assert manifest.root is None and manifest.records.count() == 0
+    assert found_proofs(manifest) == []
