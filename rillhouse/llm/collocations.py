@@ -6,7 +6,7 @@ and tabs into words; phrases lie within a piece. Everything is counted for each
 Words of at least ``LEAST`` occurrences are numbered by falling frequency, and texts become number
 sequences. A pair of neighbours is a cell of a square tile of 256 by 256 numbers; tasks count the
 cells of a well-filled tile with a dense ``bincount`` and the others as sorted coordinates, and the
-counts of a tile meet in a shuffle. Pairs of at least ``LEAST`` occurrences are numbered by falling
+counts of a cell meet in a shuffle. Pairs of at least ``LEAST`` occurrences are numbered by falling
 frequency in turn, and paired with the word behind them: so three words are counted, then four, then
 five. A longer phrase is only looked for where its first and its last words are a frequent phrase.
 
@@ -29,11 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import binaries, pieces, text_bytes
+from rillhouse.llm.arrow import pieces, text_bytes
 from rillhouse.llm.sieve import BITS
 from rillhouse.llm.tables import written
 from rillhouse.llm.words import mix, window_hashes, words_of
@@ -47,19 +46,15 @@ LONGEST = 5
 TOP = 2000
 #: Words, and phrases of each length, that get a number.
 NUMBERED = 1 << 20
-#: Bits of a number within its tile.
-SIDE = 8
+#: Bits of a number, and of its place within its tile.
+NUMBER_BITS, SIDE = 20, 8
 CELLS = 1 << 2 * SIDE
 #: Cells of a tile from which a batch of them is counted densely.
 DENSE = CELLS // 16
 #: Dense tiles that a task keeps at once, and pairs it gathers before it counts them.
 KEPT_TILES = 64
-PAIRS = 1 << 21
-_TILE_BITS = 22
-_SALTS = 16
-_TEXT_BYTES = 4 << 20
-_TILES = "lang string, tile long, salt int, cells binary, counts binary"
-_FOUND = "lang string, one long, two long, a long"
+PAIRS = 1 << 20
+_TEXT_BYTES = 2 << 20
 
 _AS_SPACE = np.arange(256, dtype=np.uint8)
 _AS_SPACE[list(b".,;:!?")] = 32
@@ -96,7 +91,7 @@ def tokens_of(column: pa.Array) -> Tokens:
     data, offsets = text_bytes(column)
     words = words_of(_AS_SPACE[data], offsets, lower=True)
     rows = words.rows
-    breaks = np.cumsum(_BREAK[data], dtype=np.int64)[words.starts] if len(words.starts) else words.starts
+    breaks = np.searchsorted(np.flatnonzero(_BREAK[data]), words.starts)
     fresh = np.ones(len(rows), bool)
     fresh[1:] = (breaks[1:] != breaks[:-1]) | (rows[1:] != rows[:-1])
     return Tokens(_LOWER[data], words.starts, words.ends, words.hashes, rows, fresh)
@@ -145,9 +140,11 @@ class Numbers:
     """Numbers of the words, or of the phrases of one length, by language: sorted keys and their numbers.
 
     The key of a word is its hash; that of a longer phrase holds the number of all but its last
-    word and the number of that. ``whole`` tells that no frequent one is without a number.
+    word and the number of that. ``whole`` tells that no frequent one is without a number; ``langs``
+    are the languages with a numbered word.
     """
 
+    langs: list[str] = field(default_factory=list)
     keys: dict[str, np.ndarray] = field(default_factory=dict)
     numbers: dict[str, np.ndarray] = field(default_factory=dict)
     whole: bool = True
@@ -161,12 +158,16 @@ class Numbers:
         return np.where(known[at] == keys, self.numbers[lang][at], -1)
 
 
+#: Bits of a pair of numbers; those above hold the language's place.
+_PAIR = (1 << 2 * NUMBER_BITS) - 1
+
+
 def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return one << 32 | two
+    return one << NUMBER_BITS | two
 
 
-def _numbered(found: DataFrame, key: list[str], limit: int) -> tuple[Numbers, DataFrame]:
-    """Numbers for the most frequent rows, and (lang, number, phrase) as a table.
+def _numbered(found: DataFrame, words: Numbers | None, limit: int) -> tuple[Numbers, DataFrame]:
+    """Numbers for the most frequent rows, and (place, lang, number, phrase) as a table.
 
     At most ``limit`` rows reach the driver, whatever the corpus.
     """
@@ -181,24 +182,28 @@ def _numbered(found: DataFrame, key: list[str], limit: int) -> tuple[Numbers, Da
         lowest = row.height
     numbers = Numbers(whole=held <= limit)
     first = found.where(height >= lowest) if lowest is not None else found.where("false")
-    rows = first.select("lang", "phrase", "a", *key).toArrow().combine_chunks()
+    if limit > 1 << NUMBER_BITS:
+        raise ValueError(f"at most {1 << NUMBER_BITS} numbers")
+    rows = first.select("lang", "phrase", "a", *(["pair"] if words else [])).toArrow().combine_chunks()
     rows = rows.sort_by([("a", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
     langs = rows.column("lang").combine_chunks().dictionary_encode()
     place = langs.indices.to_numpy(zero_copy_only=False)
     rank = np.zeros(len(rows), np.int64)
+    numbers.langs = langs.dictionary.to_pylist() if words is None else words.langs
     for i, lang in enumerate(langs.dictionary.to_pylist()):
         its = np.flatnonzero(place == i)
         rank[its] = np.arange(len(its))
-        if key:
-            keys = _pair(*(rows.column(c).to_numpy()[its] for c in key))
+        if words is not None:
+            keys = rows.column("pair").to_numpy()[its] & _PAIR
         else:
             data, offsets = text_bytes(rows.column("phrase").combine_chunks().take(pa.array(its)))
             keys = words_of(data, offsets, lower=True).hashes
         order = np.argsort(keys)
         numbers.keys[lang], numbers.numbers[lang] = keys[order], rank[its][order]
-    table = pa.table({"lang": rows.column("lang"), "number": pa.array(rank), "phrase": rows.column("phrase")})
-    empty = "lang string, number long, phrase string"
-    frame = spark.createDataFrame(table) if len(table) else spark.createDataFrame([], empty)
+    places = np.array([numbers.langs.index(lang) for lang in langs.dictionary.to_pylist()], np.int64)
+    table = {"place": places[place], "lang": rows.column("lang"), "number": rank, "phrase": rows.column("phrase")}
+    columns = "place long, lang string, number long, phrase string"
+    frame = spark.createDataFrame(pa.table(table)) if len(rows) else spark.createDataFrame([], columns)
     return numbers, written(frame, "numbers")
 
 
@@ -239,161 +244,92 @@ def _encode(words: Numbers, docs: DataFrame) -> DataFrame:
 # --- tiles ----------------------------------------------------------------------------
 
 
-def _tile(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (one >> SIDE) << _TILE_BITS | two >> SIDE
+_LOW = (1 << SIDE) - 1
+_TILE_BITS = NUMBER_BITS - SIDE
 
 
-def _cell(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    low = (1 << SIDE) - 1
-    return (one & low) << SIDE | two & low
+def _code(place: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Language, tile and cell of each pair, in this order of bits."""
+    tile = place << 2 * _TILE_BITS | one >> SIDE << _TILE_BITS | two >> SIDE
+    return tile << 2 * SIDE | (one & _LOW) << SIDE | two & _LOW
 
 
-def _numbers(tile: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two numbers of each cell of a tile."""
-    one, two = tile >> _TILE_BITS, tile & (1 << _TILE_BITS) - 1
-    return (one << SIDE) + (cells >> SIDE), (two << SIDE) + (cells & (1 << SIDE) - 1)
+def _counts(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Counted codes as rows of a language's place, a pair and its count."""
+    tile = codes >> 2 * SIDE
+    one = (tile >> _TILE_BITS & (1 << _TILE_BITS) - 1) << SIDE | codes >> SIDE & _LOW
+    two = (tile & (1 << _TILE_BITS) - 1) << SIDE | codes & _LOW
+    pair = (tile >> 2 * _TILE_BITS) << 2 * NUMBER_BITS | _pair(one, two)
+    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts)], names=["pair", "n"])
 
 
 class Tiles:
-    """Counts of pairs of numbers, tile by tile, that leave as rows of cells and their counts."""
+    """Counts of pairs of numbers, tile by tile, that leave as rows of a pair and its count."""
 
-    def __init__(self, salt: int):
-        self.salt = salt
-        self.dense: dict[tuple[str, int], np.ndarray] = {}
-        self.waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    def __init__(self) -> None:
+        self.dense: dict[int, np.ndarray] = {}
+        self.waiting: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, lang: str, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.waiting.setdefault(lang, []).append((one, two))
+    def add(self, place: int, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes in pairs of a language; their numbers are below 2 to the power ``NUMBER_BITS``."""
+        self.waiting.append(_code(place, one, two))
         self.size += len(one)
         if self.size >= PAIRS:
             yield from self._count()
 
     def _count(self) -> Iterator[pa.RecordBatch]:
-        for lang, parts in self.waiting.items():
-            one, two = (np.concatenate(p) for p in zip(*parts))
-            codes = np.sort(_tile(one, two) << 2 * SIDE | _cell(one, two))
-            tiles = codes >> 2 * SIDE
-            starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])
-            sizes = np.diff(np.append(starts, len(tiles)))
-            rest = np.ones(len(tiles), bool)
-            for start, size in zip(starts[sizes >= DENSE].tolist(), sizes[sizes >= DENSE].tolist()):
-                tile = (lang, int(tiles[start]))
-                if tile not in self.dense and len(self.dense) == KEPT_TILES:
-                    continue
-                counts = np.bincount(codes[start : start + size] & (CELLS - 1), minlength=CELLS)
-                self.dense[tile] = self.dense[tile] + counts if tile in self.dense else counts
-                rest[start : start + size] = False
-            codes = codes[rest]
-            if len(codes):
-                new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                counts = np.diff(np.append(new, len(codes)))
-                yield _tile_rows(lang, self.salt, codes[new] >> 2 * SIDE, codes[new] & (CELLS - 1), counts)
-        self.waiting, self.size = {}, 0
+        if not self.size:
+            return
+        codes = np.sort(np.concatenate(self.waiting))
+        self.waiting, self.size = [], 0
+        tiles = codes >> 2 * SIDE
+        starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])
+        sizes = np.diff(np.append(starts, len(tiles)))
+        full = sizes >= DENSE
+        rest = np.ones(len(codes), bool)
+        for start, size in zip(starts[full].tolist(), sizes[full].tolist()):
+            tile = int(tiles[start])
+            if tile not in self.dense and len(self.dense) == KEPT_TILES:
+                continue
+            counts = np.bincount(codes[start : start + size] & CELLS - 1, minlength=CELLS)
+            self.dense[tile] = self.dense[tile] + counts if tile in self.dense else counts
+            rest[start : start + size] = False
+        codes = codes[rest]
+        if len(codes):
+            new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            yield _counts(codes[new], np.diff(np.append(new, len(codes))))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         """What has not left yet."""
         yield from self._count()
-        for (lang, tile), counts in self.dense.items():
+        for tile, counts in self.dense.items():
             cells = np.flatnonzero(counts)
-            yield _tile_rows(lang, self.salt, np.full(len(cells), tile), cells, counts[cells])
-
-
-def _tile_rows(lang: str, salt: int, tiles: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row a tile of sorted cells."""
-    starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])
-    sizes = np.diff(np.append(starts, len(tiles)))
-    columns = [
-        pa.array([lang] * len(starts), pa.string()),
-        pa.array(tiles[starts]),
-        pa.array(np.full(len(starts), salt, np.int32)),
-        binaries(cells.astype(np.int32), sizes).cast(pa.binary()),
-        binaries(counts.astype(np.int64), sizes).cast(pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "tile", "salt", "cells", "counts"])
-
-
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, tile, cells, counts) of rows that are sorted by tile, one tile after another."""
-    now, dense, some = None, None, []
-
-    def total() -> tuple[str, int, np.ndarray, np.ndarray]:
-        if dense is not None:
-            cells = np.flatnonzero(dense)
-            return *now, cells, dense[cells]
-        cells = np.concatenate([c for c, _ in some])
-        cells, place = np.unique(cells, return_inverse=True)
-        sums = np.zeros(len(cells), np.int64)
-        np.add.at(sums, place, np.concatenate([n for _, n in some]))
-        return *now, cells, sums
-
-    held = 0
-    for batch in batches:
-        columns = (batch.column(c) for c in ("lang", "tile", "cells", "counts"))
-        for lang, tile, cells, counts in zip(*(c.to_pylist() for c in columns)):
-            if (lang, tile) != now:
-                if now:
-                    yield total()
-                now, dense, some, held = (lang, tile), None, [], 0
-            some.append((np.frombuffer(cells, np.int32), np.frombuffer(counts, np.int64)))
-            held += len(some[-1][0])
-            if held >= DENSE:
-                dense = np.zeros(CELLS, np.int64) if dense is None else dense
-                for where, n in some:
-                    dense[where] += n
-                some, held = [], 0
-            elif dense is not None:
-                where, n = some.pop()
-                dense[where] += n
-    if now:
-        yield total()
-
-
-def _halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, tile, cells, counts in _summed(batches):
-        yield _tile_rows(lang, 0, np.full(len(cells), tile), cells, counts)
-
-
-def _frequent(least: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, tile, cells, counts in _summed(batches):
-            often = counts >= least
-            cells = cells[often].astype(np.int64)
-            one, two = _numbers(tile, cells)
-            if len(cells):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(cells), pa.string()), pa.array(one), pa.array(two), pa.array(counts[often])],
-                    names=["lang", "one", "two", "a"],
-                )
-
-    return run
-
-
-def _sorted_by_tile(rows: DataFrame, *salt: str) -> DataFrame:
-    return rows.repartition("lang", "tile", *salt).sortWithinPartitions("lang", "tile", *salt)
+            yield _counts(tile << 2 * SIDE | cells, counts[cells])
 
 
-def frequent_pairs(encoded: DataFrame, levels: list[Numbers], least: int) -> DataFrame:
-    """(lang, one, two, a): frequent phrases of one word more than the last level's.
+def frequent_pairs(encoded: DataFrame, levels: list[Numbers], words: Numbers, least: int) -> DataFrame:
+    """(pair, a): frequent phrases of one word more than the last level's.
 
-    ``one`` is the number of all but the last word, ``two`` that of the last word.
+    ``pair`` holds the place of the language, the number of all but the last word, and that of the
+    last word.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(levels)
+    shared = encoded.sparkSession.sparkContext.broadcast((levels, words.langs))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles, words = Tiles(TaskContext.get().partitionId() % _SALTS), len(shared.value) + 1
+        levels, langs = shared.value
+        tiles, size, places = Tiles(), len(levels) + 1, {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
-            for lang, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "ids"))):
-                ids = np.frombuffer(ids, np.int32).astype(np.int64)
-                phrase = _chain(lang, ids, shared.value, words)
+            for lang, ids in zip(batch.column("lang").to_pylist(), batch.column("ids")):
+                ids = np.frombuffer(ids.as_buffer(), np.int32).astype(np.int64)
+                phrase = _chain(lang, ids, levels, size)
                 at = np.flatnonzero((phrase[:-1] >= 0) & (phrase[1:] >= 0))
                 if len(at):
-                    yield from tiles.add(lang, phrase[at], ids[at + words])
+                    yield from tiles.add(places[lang], phrase[at], ids[at + size])
         yield from tiles.rest()
 
-    # A tile's rows meet in several tasks first, so that none gets those of all tasks.
-    halves = _sorted_by_tile(encoded.mapInArrow(count, _TILES), "salt").mapInArrow(_halves, _TILES)
-    return _sorted_by_tile(halves).mapInArrow(_frequent(least), _FOUND)
+    counted = encoded.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("a"))
+    return counted.where(F.col("a") >= least)
 
 
 # --- phrases without numbers ------------------------------------------------------------
@@ -473,23 +409,32 @@ def phrases(
     counts = written(word_counts(texts), "words")
     sizes = written(counts.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
     often = written(counts.where(F.col("a") >= least), "frequent-1")
-    words, word_names = _numbered(often, [], numbered)
+    words, word_names = _numbered(often, None, numbered)
     encoded = written(_encode(words, texts), "encoded")
     names, levels, found, whole = word_names, [], often.select("lang", F.lit(1).alias("words"), "phrase", "a"), words.whole
     shorter = often
     for size in range(2, LONGEST + 1):
-        pairs = frequent_pairs(encoded, levels, least)
-        one = names.select("lang", F.col("number").alias("one"), F.col("phrase").alias("_one"))
-        two = word_names.select("lang", F.col("number").alias("two"), F.col("phrase").alias("_two"))
-        pairs = pairs.join(one, ["lang", "one"]).join(two, ["lang", "two"])
-        pairs = written(pairs.select("lang", F.concat_ws(" ", "_one", "_two").alias("phrase"), "a", "one", "two"), f"frequent-{size}")
+        pairs = frequent_pairs(encoded, levels, words, least)
+        number = F.lit((1 << NUMBER_BITS) - 1)
+        pairs = pairs.withColumns(
+            {
+                "place": F.shiftright("pair", 2 * NUMBER_BITS),
+                "one": F.shiftright("pair", NUMBER_BITS).bitwiseAND(number),
+                "two": F.col("pair").bitwiseAND(number),
+            }
+        )
+        one = names.select("place", "lang", F.col("number").alias("one"), F.col("phrase").alias("_one"))
+        two = word_names.select("place", F.col("number").alias("two"), F.col("phrase").alias("_two"))
+        pairs = pairs.join(one, ["place", "one"]).join(two, ["place", "two"])
+        phrase = F.concat_ws(" ", "_one", "_two").alias("phrase")
+        pairs = written(pairs.select("lang", phrase, "a", "pair"), f"frequent-{size}")
         longer = pairs.select("lang", "phrase", "a")
         if not whole:
             rest = written(_by_text(texts, words, levels, shorter, least), f"rest-{size}")
             longer = longer.unionByName(rest.select("lang", "phrase", "a"))
         found = found.unionByName(longer.select("lang", F.lit(size).alias("words"), "phrase", "a"))
         if size < LONGEST:
-            more, names = _numbered(pairs, ["one", "two"], numbered)
+            more, names = _numbered(pairs, words, numbered)
             levels, shorter, whole = [*levels, more], longer, whole and more.whole
     return written(found, "phrases"), sizes
 

@@ -76,24 +76,20 @@ def test_dense_tiles(spark, monkeypatch):
     monkeypatch.setattr(C, "PAIRS", 40)
     monkeypatch.setattr(C, "KEPT_TILES", 2)
     rng = np.random.default_rng(3)
-    tiles = C.Tiles(0)
-    one, two = rng.zipf(1.3, 5000) % 2000, rng.zipf(1.3, 5000) % 2000
-    batches = []
-    for i in range(0, 5000, 37):
-        batches += tiles.add("en", one[i : i + 37], two[i : i + 37])
-    batches += tiles.rest()
-    rows = sorted(
-        (r for b in batches for r in b.to_pylist()), key=lambda r: r["tile"]
-    )
+    tiles = C.Tiles()
+    place, one, two = rng.integers(0, 3, 5000), rng.zipf(1.3, 5000) % 2000, rng.zipf(1.3, 5000) % (1 << C.NUMBER_BITS)
+    rows = []
+    for p in range(3):
+        its = np.flatnonzero(place == p)
+        for i in range(0, len(its), 37):
+            some = its[i : i + 37]
+            rows += [r for b in tiles.add(p, one[some], two[some]) for r in b.to_pylist()]
+    rows += [r for b in tiles.rest() for r in b.to_pylist()]
     got = Counter()
-    import pyarrow as pa
-
-    table = pa.Table.from_pylist(rows, batches[0].schema)
-    for lang, tile, cells, counts in C._summed(table.to_batches(max_chunksize=7)):
-        a, b = C._numbers(tile, cells.astype(np.int64))
-        assert not set(zip(a.tolist(), b.tolist())) & set(got)
-        got.update(dict(zip(zip(a.tolist(), b.tolist()), counts.tolist())))
-    assert got == Counter(zip(one.tolist(), two.tolist()))
+    for r in rows:
+        got[r["pair"]] += r["n"]
+    pairs = (place << 2 * C.NUMBER_BITS | one << C.NUMBER_BITS | two).tolist()
+    assert got == Counter(pairs)
 
 
 def test_scores_beyond_64_bits(spark):
