@@ -192,6 +192,40 @@ def order_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: How much later than its line each coupon of ``horizon_changes`` comes, per coupon number.
+COUPON_LAG_DAYS = 60
+
+
+def horizon_changes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The order change log with coupons that come later than their lines, some very late."""
+    log = order_changes(spark, sf_dir)
+    late = F.col("data")["coupon_id"].cast("bigint") * (COUPON_LAG_DAYS * 86400)
+    coupons = log["order_detail_coupon"]
+    ts = (F.col("ts").cast("bigint") + late).cast("string")
+    return log | {"order_detail_coupon": coupons.withColumn("ts", ts)}
+
+
+def by_time(log: dict[str, DataFrame], parts: int) -> list[dict[str, DataFrame]]:
+    """A change log in parts that follow one another in event time, which all tables share."""
+    at, spans = F.col("ts").cast("bigint"), None
+    for rows in log.values():
+        span = rows.agg(F.min(at).alias("low"), F.max(at).alias("high"))
+        spans = span if spans is None else spans.unionAll(span)
+    low, high = spans.agg(F.min("low"), F.max("high")).first()
+    low, high = low or 0, (high or 0) + 1
+    part = F.floor((at - low) * parts / F.lit(high - low))
+    return [{name: rows.where(part == i) for name, rows in log.items()} for i in range(parts)]
+
+
+def heartbeats(spark: SparkSession, log: dict[str, DataFrame], ts: int) -> dict[str, DataFrame]:
+    """One record a table that meets no other: it moves the event time on."""
+    rows = {}
+    for name, changes in log.items():
+        texts = {f: F.lit(f"{name}-heartbeat") for f in changes.schema["data"].dataType.names}
+        rows[name] = _envelope(spark.range(1), name, F.lit("insert"), _typed(**texts), _no_map(), F.lit(ts))
+    return rows
+
+
 def as_envelopes(changes: DataFrame) -> DataFrame:
     """Change records with their typed payload turned into a text map."""
     names = changes.schema["data"].dataType.names

@@ -125,9 +125,12 @@ def skew_join(
     how: str = "inner",
     hot_left: Mapping[str | None, int] | None = None,
     hot_right: Mapping[str | None, int] | None = None,
+    also: Column | None = None,
 ) -> DataFrame:
     """Equi-join on differently named key columns, balanced for the hot keys given.
 
+    ``also`` is a further condition of an inner join.
+
     ``how`` is "inner" or "left". The right key column is kept in the result.
     Without hot keys this is the plain join, and AQE may still turn it into a
     broadcast join when a side proves small. For a left join ``hot_right`` must
@@ -135,6 +138,9 @@ def skew_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
+    if also is not None and how != "inner":
+        raise ValueError("a further condition needs an inner join")
+    also = F.lit(True) if also is None else also
     key_l, key_r = on
     if how == "inner":
         left, right = left.where(F.col(key_l).isNotNull()), right.where(F.col(key_r).isNotNull())
@@ -143,7 +149,7 @@ def skew_join(
         hot_left.pop(None, None)
     hot_right.pop(None, None)  # a null right key meets nothing
     if not hot_left and not hot_right:
-        return left.join(right, F.col(key_l) == F.col(key_r), how)
+        return left.join(right, (F.col(key_l) == F.col(key_r)) & also, how)
 
     grid = _grid(left.sparkSession, hot_left, hot_right)
     dealt_l = _deal(left, key_l, grid, "_l", "_r")
@@ -154,7 +160,8 @@ def skew_join(
         dealt_r,
         (F.col(key_l) == F.col(key_r))
         & (F.col("_cell_l") == F.col("_at_l"))
-        & (F.col("_cell_r") == F.col("_at_r")),
+        & (F.col("_cell_r") == F.col("_at_r"))
+        & also,
         how,
     )
     if how == "left":

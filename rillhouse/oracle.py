@@ -102,6 +102,17 @@ pay AS (
 )
 """
 
+#: Distance in event time up to which the bounded stream joins match.
+HORIZON_DAYS = 365
+_FAR = f"CAST({{}} AS BIGINT) - CAST({{}} AS BIGINT)) <= {HORIZON_DAYS} * 86400"
+
+# Coupons come 60 days later for each coupon number.
+_TRADE_HORIZON = (
+    _TRADE.replace("JOIN oi ON od.order_id = oi.oi_id", f"JOIN oi ON od.order_id = oi.oi_id AND abs({_FAR.format('oi_ts', 'od_ts')}")
+    .replace("ON od.id = cou.cou_id", f"ON od.id = cou.cou_id AND CAST(coupon_id AS BIGINT) * 60 <= {HORIZON_DAYS}")
+    .replace("JOIN detail d ON pi.order_id = d.order_id", f"JOIN detail d ON pi.order_id = d.order_id AND abs({_FAR.format('pi.ts', 'd.ts')}")
+)
+
 _CART = """
 dic(dic_code, dic_name) AS (
   VALUES ('A', 'search'), ('N', 'promotion'), ('1-URGENT', 'wallet'), ('2-HIGH', 'card')
@@ -461,6 +472,8 @@ UNION ALL SELECT 'dirty', NULL, NULL, seq, value FROM dirty_log""",
         "stream_pay_detail_latest": batch["trade_pay_detail_latest"],
         "stream_order_detail_latest": batch["trade_order_detail"],
         "stream_cancel_detail_latest": batch["trade_cancel_detail"],
+        "stream_order_horizon": f"WITH {_TRADE_HORIZON} SELECT * FROM pre",
+        "stream_pay_horizon": f"WITH {_TRADE_HORIZON} SELECT * EXCLUDE (paid) FROM pay",
         "stream_dim_upsert": _DIMENSIONS,
     }
 

@@ -90,17 +90,21 @@ def order_events(cdc: ChangeLog) -> DataFrame:
     )
 
 
-def activity_inserts(cdc: ChangeLog) -> DataFrame:
-    """Promotions applied to order lines."""
+def activity_inserts(cdc: ChangeLog, ts: str | None = None) -> DataFrame:
+    """Promotions applied to order lines; ``ts`` names a column for the time of the change."""
     return changes_of(cdc, "order_detail_activity").where(F.col("type") == "insert").select(
-        _data("order_detail_id").alias("act_id"), *fields(F.col("data"), "activity_id", "activity_rule_id")
+        _data("order_detail_id").alias("act_id"),
+        *fields(F.col("data"), "activity_id", "activity_rule_id"),
+        *([F.col("ts").alias(ts)] if ts else []),
     )
 
 
-def coupon_inserts(cdc: ChangeLog) -> DataFrame:
-    """Coupons used on order lines."""
+def coupon_inserts(cdc: ChangeLog, ts: str | None = None) -> DataFrame:
+    """Coupons used on order lines; ``ts`` names a column for the time of the change."""
     return changes_of(cdc, "order_detail_coupon").where(F.col("type") == "insert").select(
-        _data("order_detail_id").alias("cou_id"), *fields(F.col("data"), "coupon_id")
+        _data("order_detail_id").alias("cou_id"),
+        *fields(F.col("data"), "coupon_id"),
+        *([F.col("ts").alias(ts)] if ts else []),
     )
 
 

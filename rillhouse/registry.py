@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +14,14 @@ from rillhouse.functions import dates
 from rillhouse.operators import dimensions, routing, visits
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.operators.skew import find_hot_keys, lookup_join, skew_join
-from rillhouse.oracle import WITHIN_MS
+from rillhouse.oracle import HORIZON_DAYS, WITHIN_MS
 from rillhouse.plans import trade, traffic
-from rillhouse.sinks.tables import (
-    committed,
-    current_dimension,
-    current_dimensions,
-    dimension_changes,
-    last_commit,
-)
+from rillhouse.sinks.tables import current_dimension, current_dimensions, dimension_changes
 from rillhouse.sinks.topics import stream_files
 from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
+from rillhouse.streaming import trade as trade_jobs
 from rillhouse.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,71 +336,118 @@ def stream_user_jump_closed(spark, sf_dir):
     return spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail").select("mid", "ts", "seq")
 
 
-_TRADE_ROOTS: dict[tuple[str, str], str] = {}
+#: Micro-batches in which the registered trade jobs take in their change log.
+ARRIVALS = 6
 
 
-def _trade_root(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the trade tables, worked off once a session for all queries that read them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    root = _TRADE_ROOTS.get(key)
-    if root is None or last_commit(spark, root) != 2:
-        root = _TRADE_ROOTS[key] = _run_trade_job(spark, sf_dir)
-    return root
+def _append(root: str, changes: dict[str, DataFrame], files: int) -> None:
+    """Append change records to the folders of their tables, in some files each."""
+    jobs.together(
+        *[
+            partial(bindings.as_envelopes(rows).repartition(files).write.mode("append").parquet, f"{root}/topic_db/{name}")
+            for name, rows in changes.items()
+        ]
+    )
+
+
+def _topic(spark: SparkSession, root: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """One stream a source table, of one file a micro-batch."""
+    return {
+        name: parquet_rows(spark, f"{root}/topic_db/{name}", schemas.CDC_ENVELOPE, files_per_batch=1)
+        for name in names
+    }
+
 
+def _table(spark: SparkSession, root: str, name: str, columns: list[str], stream: bool = False) -> DataFrame:
+    return parquet_rows(spark, f"{root}/{name}", schemas.table_schema(columns), stream)
 
-def _run_trade_job(spark: SparkSession, sf_dir: str) -> str:
-    """Orders come first, then promotions and first payments, then all later changes.
 
-    The state is merged in the last of the three batches.
-    """
+def _order_job(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
+    """Folder of the tables, and change log, of a finished order job; records arrive in no order."""
     root = new_folder(spark, "trade")
     log = bindings.order_changes(spark, sf_dir)
-    info, pay = log["order_info"], log["payment_info"]
-    arrivals = [
-        [log["order_detail"], info.where("type = 'insert'")],
-        [log["order_detail_activity"], pay.where("type = 'insert'")],
-        [log["order_detail_coupon"], info.where("type = 'update'"), pay.where("type = 'update'")],
-    ]
-    for changes in arrivals:
-        for part in changes:
-            bindings.as_envelopes(part).write.mode("append").parquet(f"{root}/topic_db")
-        job = jobs.TradeJob(spark, root, lambda: bindings.base_dic(spark), buckets=8, merge_every=2)
-        job.start(parquet_rows(spark, f"{root}/topic_db", schemas.CDC_ENVELOPE)).awaitTermination()
-    return root
+    _append(root, log, ARRIVALS)
+    cdc = _topic(spark, root, log)
+    trade_jobs.start_order_pre_process(cdc, root, bindings.base_dic(spark)).awaitTermination()
+    return root, cdc
 
 
-def _trade_rows(spark: SparkSession, sf_dir: str, table: str, columns: list[str]) -> DataFrame:
-    """A table of the trade job, as a reader without the job sees it."""
-    root = _trade_root(spark, sf_dir)
-    return committed(spark, root, table, columns)
+def _order_stream(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, root, "dwd_trade_order_pre_process", schemas.ORDER_PRE_PROCESS, stream=True)
 
 
 @_query
 def stream_order_pre_process_latest(spark, sf_dir):
-    rows = _trade_rows(spark, sf_dir, "dwd_trade_order_pre_process", schemas.ORDER_PRE_PROCESS)
-    rows = rows.withColumn("_v", F.col("oi_ts").cast("bigint"))
-    newest = latest_by_key(rows, ["id"], ["_v", *ORDER_TIES, "batch_id"])
-    return newest.withColumn("old", F.to_json("old")).drop("_v", "batch_id", "row_op_ts")
+    root, _ = _order_job(spark, sf_dir)
+    rows = _table(spark, root, "dwd_trade_order_pre_process", schemas.ORDER_PRE_PROCESS)
+    rows = rows.withColumns({"_v": F.col("oi_ts").cast("bigint"), "_p": trade_jobs.most_promoted()})
+    newest = latest_by_key(rows, ["id"], ["_v", *ORDER_TIES, "_p"])
+    return newest.withColumn("old", F.to_json("old")).drop("_v", "_p", "row_op_ts")
+
+
+def _most_promoted(rows: DataFrame) -> DataFrame:
+    newest = latest_by_key(rows.withColumn("_p", trade_jobs.most_promoted()), ["id"], ["_p"])
+    return newest.drop("_p", "row_op_ts")
 
 
 @_query
 def stream_order_detail_latest(spark, sf_dir):
-    rows = _trade_rows(spark, sf_dir, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
-    return latest_by_key(rows, ["id"], ["batch_id"]).drop("batch_id", "row_op_ts")
+    root, _ = _order_job(spark, sf_dir)
+    trade_jobs.start_order_detail(_order_stream(spark, root), root).awaitTermination()
+    return _most_promoted(_table(spark, root, "dwd_trade_order_detail", schemas.ORDER_DETAIL))
 
 
 @_query
 def stream_cancel_detail_latest(spark, sf_dir):
-    rows = _trade_rows(spark, sf_dir, "dwd_trade_cancel_detail", schemas.CANCEL_DETAIL)
-    return latest_by_key(rows, ["id"], ["batch_id"]).drop("batch_id", "row_op_ts")
+    root, _ = _order_job(spark, sf_dir)
+    trade_jobs.start_cancel_detail(_order_stream(spark, root), root).awaitTermination()
+    return _most_promoted(_table(spark, root, "dwd_trade_cancel_detail", schemas.CANCEL_DETAIL))
 
 
 @_query
 def stream_pay_detail_latest(spark, sf_dir):
-    rows = _trade_rows(spark, sf_dir, "dwd_trade_pay_detail_suc", schemas.PAY_DETAIL)
-    rows = rows.withColumn("_v", F.col("ts").cast("bigint"))
-    newest = latest_by_key(rows, ["order_detail_id"], ["_v", *PAY_TIES, "batch_id"])
-    return newest.drop("_v", "batch_id", "row_op_ts")
+    root, cdc = _order_job(spark, sf_dir)
+    trade_jobs.start_order_detail(_order_stream(spark, root), root).awaitTermination()
+    placed = _table(spark, root, "dwd_trade_order_detail", schemas.ORDER_DETAIL, stream=True)
+    trade_jobs.start_pay_detail(cdc, placed, root, bindings.base_dic(spark)).awaitTermination()
+    rows = _table(spark, root, "dwd_trade_pay_detail_suc", schemas.PAY_DETAIL)
+    rows = rows.withColumns({"_v": F.col("ts").cast("bigint"), "_p": trade_jobs.most_promoted()})
+    newest = latest_by_key(rows, ["order_detail_id"], ["_v", *PAY_TIES, "_p"])
+    return newest.drop("_v", "_p", "row_op_ts")
+
+
+def _horizon_root(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
+    """Folder and change log of a finished order job whose rows meet within the horizon only."""
+    root = new_folder(spark, "horizon")
+    log = bindings.horizon_changes(spark, sf_dir)
+    # A last record a table, far ahead, lets the watermark pass all rows.
+    for changes in [*bindings.by_time(log, ARRIVALS), bindings.heartbeats(spark, log, 4_000_000_000)]:
+        _append(root, changes, 1)
+    cdc = _topic(spark, root, log)
+    trade_jobs.start_order_pre_process(
+        cdc, root, bindings.base_dic(spark), join_horizon=f"{HORIZON_DAYS} days"
+    ).awaitTermination()
+    return root, cdc
+
+
+@_query
+def stream_order_horizon(spark, sf_dir):
+    """Order lines and what lies within a horizon of their time, from joins whose state is bounded."""
+    root, _ = _horizon_root(spark, sf_dir)
+    rows = _table(spark, root, "dwd_trade_order_pre_process", schemas.ORDER_PRE_PROCESS)
+    return rows.withColumn("old", F.to_json("old")).drop("row_op_ts")
+
+
+@_query
+def stream_pay_horizon(spark, sf_dir):
+    """Payments of placed lines within the horizon, the second join of the chain."""
+    root, cdc = _horizon_root(spark, sf_dir)
+    trade_jobs.start_order_detail(_order_stream(spark, root), root).awaitTermination()
+    placed = _table(spark, root, "dwd_trade_order_detail", schemas.ORDER_DETAIL, stream=True)
+    # Placed lines leave their job out of event-time order, by up to the whole span of the data.
+    mode = {"join_horizon": f"{HORIZON_DAYS} days", "delay": "10000 days"}
+    trade_jobs.start_pay_detail(cdc, placed, root, bindings.base_dic(spark), **mode).awaitTermination()
+    return _table(spark, root, "dwd_trade_pay_detail_suc", schemas.PAY_DETAIL).drop("row_op_ts")
 
 
 @_query

@@ -1,24 +1,21 @@
-"""Table sinks: append change logs, and keyed tables read as their latest rows.
+"""Keyed tables: change logs read as their latest rows, and the creation of dimension tables.
 
-Parquet has no in-place update, so a table is a log of versions, one folder per
-micro-batch, and a keyed table is read through ``latest_by_key``. A batch that is
-replayed overwrites its own folder, which makes every write idempotent.
+Parquet has no in-place update, so a keyed table is an append log of versions and is
+read through ``latest_by_key``. Tables written by batch have one folder per micro-batch;
+a replayed batch overwrites its own folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rillhouse.functions.values import split_list
 from rillhouse.operators.dimensions import with_defaults
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.operators.skew import collect_small
-from rillhouse.schemas import table_schema
 
 
 def current_dimension(
@@ -69,124 +66,6 @@ def dimension_table(current: DataFrame, sink_table: str, columns: Sequence[str])
     return own.select(*[F.col("data")[c].alias(c) for c in columns])
 
 
-def commit(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Marks a batch as complete; written last."""
-    folder = f"{root}/commits/batch_id={batch_id}"
-    spark.range(1).coalesce(1).write.mode("overwrite").parquet(folder)
-
-
-def last_commit(spark: SparkSession, root: str) -> int | None:
-    """The newest complete batch below ``root``, or None."""
-    try:
-        commits = spark.read.schema("id bigint, batch_id bigint").parquet(f"{root}/commits")
-    except AnalysisException:
-        return None
-    return commits.agg(F.max("batch_id")).first()[0]
-
-
-def committed(spark: SparkSession, root: str, name: str, columns: list[str]) -> DataFrame:
-    """Rows of all complete batches of a table, with their ``batch_id``, for any reader."""
-    log = VersionLog(spark, f"{root}/{name}", table_schema(columns), merge_every=None)
-    last = last_commit(spark, root)
-    return log.read(-1 if last is None else last)
-
-
-class VersionLog:
-    """Rows of successive micro-batches, optionally bucketed by a key.
-
-    Folders: ``delta/batch_id=<n>`` holds the rows of batch n. Before batch n,
-    for every n that is a multiple of ``merge_every``, all older rows are written
-    once more as ``base/upto=<n>``. A reader at batch n thus opens one base and
-    fewer than ``merge_every`` deltas, whatever the age of the stream, and knows
-    their names without listing the table. Superseded folders are never read
-    again and may be removed by the operator of the store.
-
-    With a ``key``, rows are laid out in ``buckets`` folders by its hash, so a
-    reader can skip the buckets a micro-batch does not touch. ``current_by``
-    names a column of which only the rows of its newest batch still matter; a
-    merge leaves the others behind. With ``merge_every=None`` the log is only
-    ever appended to, and a reader takes the folders it finds.
-    """
-
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        schema: T.StructType,
-        key: str | None = None,
-        buckets: int = 64,
-        merge_every: int | None = 100,
-        current_by: str | None = None,
-    ):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.key, self.buckets, self.merge_every = key, buckets, merge_every
-        self.current_by = current_by
-
-    def bucket(self, key: Column | None = None) -> Column:
-        """Bucket number of a key value."""
-        value = F.col(self.key) if key is None else key
-        return F.pmod(F.xxhash64(value), F.lit(self.buckets)).cast("int")
-
-    def _save(self, rows: DataFrame, folder: str) -> None:
-        if self.key is None:
-            rows.write.mode("overwrite").parquet(folder)
-            return
-        # Rebalancing gathers a bucket into few files yet splits an oversized one.
-        placed = rows.withColumn("bucket", self.bucket()).hint("rebalance", F.col("bucket"))
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-
-    def _load(self, folders: list[str], root: str, number: str) -> DataFrame:
-        """Rows of the folders; partition folders below ``root`` become columns."""
-        layout = [T.StructField("bucket", T.IntegerType())] if self.key else []
-        schema = T.StructType([*self.schema.fields, T.StructField(number, T.LongType()), *layout])
-        return self.spark.read.schema(schema).option("basePath", root).parquet(*folders)
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        """Store the rows of a batch, replacing those of an earlier attempt."""
-        if self.merge_every and batch_id and batch_id % self.merge_every == 0:
-            self._save(self._merged(batch_id), f"{self.path}/base/upto={batch_id}")
-        fields = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
-        self._save(rows.select(*fields), f"{self.path}/delta/batch_id={batch_id}")
-
-    def _merged(self, batch_id: int) -> DataFrame:
-        rows = self.read(batch_id - 1)
-        if self.current_by:
-            rows = self.newest(rows)
-        return rows.drop("bucket").withColumnRenamed("batch_id", "at_batch")
-
-    def read(self, upto: int, buckets: Sequence[int] | None = None) -> DataFrame:
-        """Rows of all batches up to and including ``upto``, with their ``batch_id``."""
-        delta = f"{self.path}/delta"
-        if self.merge_every is None:
-            if upto < 0:
-                return self.spark.createDataFrame([], self.schema).withColumn("batch_id", F.lit(0))
-            return self._load([delta], delta, "batch_id").where(F.col("batch_id") <= upto)
-        start = upto - upto % self.merge_every
-        folders = [f"{delta}/batch_id={n}" for n in range(start, upto + 1)]
-        rows = self._load(folders, delta, "batch_id")
-        if start:
-            base = f"{self.path}/base/upto={start}"
-            old = self._load([base], base, "at_batch")
-            rows = rows.unionByName(old.withColumnRenamed("at_batch", "batch_id"))
-        if self.key and buckets is not None:
-            rows = rows.where(F.col("bucket").isin(list(buckets)))
-        return rows
-
-    def batch(self, batch_id: int) -> DataFrame:
-        """Rows of one batch."""
-        delta = f"{self.path}/delta"
-        return self._load([f"{delta}/batch_id={batch_id}"], delta, "batch_id")
-
-    def newest(self, rows: DataFrame) -> DataFrame:
-        """Of the rows of each ``current_by`` value, those of its newest batch."""
-        last = rows.groupBy(self.current_by).agg(F.max("batch_id").alias("batch_id"))
-        return rows.join(last, [self.current_by, "batch_id"], "left_semi").select(*rows.columns)
-
-    def touched(self, keys: DataFrame) -> list[int]:
-        """Buckets of a frame of keys: at most ``buckets`` numbers."""
-        return [r[0] for r in keys.select(self.bucket(F.col(keys.columns[0]))).distinct().collect()]
-
-
 def create_dimension_tables(spark: SparkSession, ddl: DataFrame, column: str = "ddl") -> int:
     """Run the create-table text of every configuration row; returns their number."""
     statements = [r[0] for r in collect_small(ddl.select(column).distinct())]

@@ -1,15 +1,11 @@
 """Streaming forms against their batch counterparts, over several micro-batches."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
 from rillhouse import bindings, schemas
 from rillhouse.operators import visits
-from rillhouse.operators.latest import latest_by_key
-from rillhouse.plans import trade, traffic
-from rillhouse.sinks.tables import VersionLog, committed, last_commit
+from rillhouse.plans import traffic
 from rillhouse.sinks.topics import as_topic, stream_files, to_topics
 from rillhouse.sources.streams import file_text, parquet_rows
 from rillhouse.streaming import jobs, processors
@@ -162,96 +158,6 @@ def test_jobs_take_a_sink(spark):
     assert hasattr(writer, "trigger")
 
 
-def order_log(spark):
-    """The order change log in four arrivals, some rows split at random."""
-    log = bindings.order_changes(spark, SF)
-    rng = random.Random(1)
-    frames = [bindings.as_envelopes(f) for f in log.values()]
-    everything = frames[0]
-    for frame in frames[1:]:
-        everything = everything.unionAll(frame)
-    seed = rng.randrange(1000)
-    part = F.pmod(F.xxhash64("table", "type", "ts", F.to_json("data"), F.lit(seed)), F.lit(4))
-    return everything, [everything.where(part == i) for i in range(4)]
-
-
-def test_trade_job_in_any_order_with_merges_and_replay(spark):
-    """Records in random order, logs merged every second batch, a batch run twice."""
-    everything, parts = order_log(spark)
-    job = jobs.TradeJob(
-        spark, new_folder(spark, "trade"), lambda: bindings.base_dic(spark), buckets=4, merge_every=2
-    )
-    for n, part in enumerate(parts):
-        part = part.persist()
-        job.process(part, n)
-        if n in (1, 2):
-            job.process(part, n)
-        part.unpersist()
-
-    pre = trade.order_pre_process(everything, bindings.base_dic(spark))
-    version = F.col("oi_ts").cast("bigint").alias("v")
-
-    def final(rows, *order):
-        newest = latest_by_key(rows.withColumn("v", version), ["id", "type"], ["v", *order])
-        return rows_of(newest, "id", "type", "activity_id", "coupon_id", "user_id", "order_status")
-
-    got = job.pre_process.read(job.last)
-    assert final(got, "batch_id") == final(pre)
-    assert got.count() >= pre.count()
-
-    placed = trade.order_detail(pre)
-    paid = trade.pay_detail(everything, placed, bindings.base_dic(spark))
-    pays = job.pay_detail.read(job.last)
-    columns = ("order_detail_id", "ts", "activity_id", "coupon_id", "payment_type_name")
-    newest = latest_by_key(pays, ["order_detail_id", "ts"], ["batch_id"])
-    assert rows_of(newest, *columns) == rows_of(
-        latest_by_key(paid, ["order_detail_id", "ts"], ["row_op_ts"]), *columns
-    )
-    # Another reader, without the job: what is committed, and no more.
-    seen = committed(spark, job.root, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
-    assert last_commit(spark, job.root) == job.last == 3
-    assert rows_of(seen, "id", "batch_id") == rows_of(job.order_detail.read(3), "id", "batch_id")
-    job.order_detail.write(job.order_detail.batch(3).drop("batch_id"), 4)  # a batch that broke off
-    again = committed(spark, job.root, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
-    assert again.agg(F.max("batch_id")).first()[0] == 3
-    with pytest.raises(ValueError, match="after batch"):
-        job.process(everything, 0)
-    cancelled = rows_of(job.cancel_detail.read(job.last).select("id", "ts").distinct(), "id", "ts")
-    assert cancelled == rows_of(trade.cancel_detail(pre), "id", "ts")
-
-
-@pytest.mark.parametrize("key", [None, "k"])
-def test_version_log(spark, key):
-    schema = "k string, v int"
-    log = VersionLog(
-        spark, new_folder(spark, "log"), spark.createDataFrame([], schema).schema, key, 4, 3, "k"
-    )
-    for n in range(8):
-        log.write(spark.createDataFrame([(f"k{i}", n) for i in range(n % 4 + 1)], schema), n)
-    log.write(spark.createDataFrame([("k0", 70)], schema), 7)  # batch 7 again
-    batch = spark.createDataFrame([("k0",), ("k1",)], "k string")
-    rows = log.read(7)
-    assert rows_of(log.newest(rows), "k", "v") == [("k0", 70), ("k1", 6), ("k2", 6), ("k3", 3)]
-    assert rows_of(log.batch(7), "k", "v", "batch_id") == [("k0", 70, 7)]
-    # Base of 6 batches plus two deltas: superseded versions are gone.
-    assert rows_of(rows, "batch_id")[0][0] == 3
-    if key:
-        buckets = log.touched(batch)
-        kept = log.read(7, buckets)
-        assert {"k0", "k1"} <= {r.k for r in kept.collect()}
-        assert len(kept.inputFiles()) > 0
-
-
-def test_bucketed_read_skips_folders(spark):
-    schema = spark.createDataFrame([], "k string").schema
-    log = VersionLog(spark, new_folder(spark, "log"), schema, "k", 16)
-    log.write(spark.range(1000).select(F.col("id").cast("string").alias("k")), 0)
-    one = log.read(0, log.touched(spark.createDataFrame([("7",)], schema)))
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
-    assert one.count() < 200
-
-
 def test_envelope_schema_reads_back(spark):
-    everything, _ = order_log(spark)
+    everything = bindings.as_envelopes(bindings.order_changes(spark, SF)["order_info"])
     assert [f.name for f in everything.schema] == [f.name for f in schemas.CDC_ENVELOPE]
