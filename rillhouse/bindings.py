@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rillhouse import schemas
 from rillhouse.operators.skew import lookup_join
+from rillhouse.sinks.topics import as_upserts
 from rillhouse.sources.streams import parquet_rows
 
 
@@ -455,6 +456,39 @@ def config_text(
     return events(spark, sf_dir).select(value.alias("value"), n.alias("seq"))
 
 
+#: Steps by which the records of ``routed_history`` lie behind their event.
+HISTORY_STEP_MS = 6 * 3600 * 1000
+
+
+def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration change log of ``config_text`` with the times of its events."""
+    kind = F.col("event_type")
+    return events(spark, sf_dir).select(
+        F.concat(F.lit("src_"), "user_id").alias("source_table"),
+        F.concat(F.lit("dim_"), "user_id", F.lit("_"), kind).alias("sink_table"),
+        sink_columns_of(kind).alias("sink_columns"),
+        F.lit(None).cast("string").alias("sink_pk"),
+        F.lit(None).cast("string").alias("sink_extend"),
+        (kind == "error").alias("deleted"),
+        F.col("ms").alias("ts_ms"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def routed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change records of the tables of ``config_log``, some at the time of a change, some later."""
+    at = F.col("ms") + F.col("event_id") % 5 * HISTORY_STEP_MS
+    rows = _envelope(
+        wide_payloads(spark, sf_dir).join(events(spark, sf_dir).select("event_id", "user_id", "ms"), "event_id"),
+        "",
+        F.lit("update"),
+        F.col("data"),
+        _no_map(),
+        at,
+    )
+    return rows.withColumn("table", F.concat(F.lit("src_"), F.col("data")["sku_id"]))
+
+
 def sink_columns_of(kind: Column) -> Column:
     return (
         F.when(kind == "view", "id,name")
@@ -477,3 +511,18 @@ def wide_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             price=F.floor("value"),
         ).alias("data"),
     )
+
+
+def customer_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an upsert topic of customers, with deletes, and every third record read twice."""
+    changes = dimension_changes(spark, sf_dir).where(F.col("table") == "customer")
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment"]
+    records = None
+    for step in ("1", "2", "3"):
+        rows = changes.where(F.col("ts") == step).select("type", *[F.col("data")[c].alias(c) for c in columns])
+        some = as_upserts(rows, "dim_customer", columns[:1], columns, F.col("type") == "delete")
+        number = F.get_json_object("key", "$.c_custkey").cast("bigint")
+        some = some.withColumn("seq", number + int(step) * 100_000_000)
+        records = some if records is None else records.unionAll(some)
+    records = records.withColumn("partition", F.pmod(F.crc32("key"), F.lit(4)).cast("int"))
+    return records.unionAll(records.where("seq % 3 = 0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rillhouse.functions.values import split_list
@@ -46,6 +46,75 @@ def route_dimensions(changes: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+# --- configuration as of each change ----------------------------------------------
+
+#: Versions of one source table that are searched together.
+HISTORY_BLOCK = 1024
+
+
+def _position(starts: Column, at: Column) -> Column:
+    """How many of the ascending ``starts`` lie at or before ``at``, by binary search."""
+    # Steps of falling powers of two, the first of which reaches over half the array.
+    bits = F.length(F.bin(F.size(starts).cast("bigint")))
+    steps = F.transform(F.sequence(F.lit(1), bits), lambda i: F.pow(F.lit(2), bits - i).cast("int"))
+
+    def step(found: Column, width: Column) -> Column:
+        further = found + width
+        reached = (further <= F.size(starts)) & (F.get(starts, further - 1) <= at)
+        return F.when(reached, further).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def config_history(changes: DataFrame, block: int = HISTORY_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The versions of the configuration, from its change log: (blocks, index).
+
+    A version lasts from the time ``ts_ms`` of its change to that of the next one of
+    its source table; of several changes of one time the last counts, by their place
+    (``partition`` and ``seq``). ``blocks`` has up to ``block`` successive versions a
+    row and ``index`` the first time of each of a table's blocks, so no row grows with
+    the length of a history. A change without a time is refused by an error.
+    """
+    refused = F.raise_error(F.lit("a configuration change without a time")).cast("bigint")
+    timed = changes.withColumn("_since", F.coalesce(F.col("ts_ms").cast("bigint"), refused))
+    places = [c for c in ("partition", "seq") if c in changes.columns]
+    if places:
+        timed = latest_by_key(timed, ["source_table", "_since"], places)
+    number = F.row_number().over(Window.partitionBy("source_table").orderBy("_since"))
+    version = F.struct(
+        F.col("_since").alias("since"), "sink_table", "sink_columns", F.coalesce("deleted", F.lit(False)).alias("deleted")
+    )
+    numbered = timed.withColumns({"_block": F.floor((number - 1) / block).cast("int"), "_version": version})
+    blocks = numbered.groupBy("source_table", "_block").agg(F.array_sort(F.collect_list("_version")).alias("_versions"))
+    blocks = blocks.withColumn("_first", F.get("_versions", F.lit(0))["since"])
+    index = blocks.groupBy("source_table").agg(F.array_sort(F.collect_list("_first")).alias("_firsts"))
+    key = F.concat_ws("/", "_block", "source_table").alias("_history")
+    return blocks.select(key, "_versions"), index
+
+
+def route_dimensions_as_of(
+    changes: DataFrame, history: tuple[DataFrame, DataFrame], at: Column
+) -> DataFrame:
+    """Change records routed by the configuration that was valid at their own time ``at``.
+
+    ``at`` has the unit of the configuration's ``ts_ms``. A record of the very time of a
+    configuration change is routed by the new version; one before the first version, or
+    while the configuration is deleted, or without a time, is left out.
+    """
+    blocks, index = history
+    placed = changes.withColumn("_at", at.cast("bigint"))
+    placed = lookup_join(placed, index, ("table", "source_table"), "inner")
+    block = _position(F.col("_firsts"), F.col("_at")) - 1
+    placed = placed.withColumn("_at_block", F.concat_ws("/", block, "table")).drop("_firsts", "source_table")
+    met = lookup_join(placed, blocks, ("_at_block", "_history"), "inner")
+    version = F.get("_versions", _position(F.col("_versions")["since"], F.col("_at")) - 1)
+    met = met.withColumn("_version", version).where("not _version.deleted")
+    kept = keep_columns(F.col("data"), F.col("_version.sink_columns"))
+    return met.withColumns({"data": kept, "sink_table": F.col("_version.sink_table")}).drop(
+        "_at", "_at_block", "_history", "_versions", "_version"
+    )
+
+
 def create_table_text(prefix: str = "") -> Column:
     """``CREATE TABLE`` text of a configuration row with its defaults filled in.
 

@@ -427,6 +427,24 @@ SELECT event_id, concat('{',
       ELSE concat('"sku_id":"', user_id, '"') END, '}') AS data
 FROM events""",
         "dim_routed_rows": f"WITH {_CUSTOMERS}, {_DIM} SELECT * FROM changes",
+        "dim_routed_as_of": """
+WITH ev AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events),
+versions AS (
+  SELECT user_id, event_type, ms FROM ev
+  QUALIFY row_number() OVER (PARTITION BY user_id, ms ORDER BY event_id DESC) = 1),
+records AS (
+  SELECT event_id, user_id, event_type AS name, value, ms + event_id % 5 * 21600000 AS at FROM ev)
+SELECT concat('src_', r.user_id) AS source_table, concat('dim_', r.user_id, '_', v.event_type) AS sink_table,
+       CAST(r.at AS VARCHAR) AS ts, concat('{',
+    CASE v.event_type
+      WHEN 'view' THEN concat('"id":"', event_id, '","name":"', name, '"')
+      WHEN 'click' THEN concat('"sku_id":"', r.user_id, '","sku_name":"sku-', r.user_id, '"')
+      WHEN 'signup' THEN concat('"sku_id":"', r.user_id, '","sku_name":"sku-', r.user_id,
+                                '","price":"', CAST(floor(value) AS BIGINT), '"')
+      ELSE concat('"sku_id":"', r.user_id, '"') END, '}') AS data
+FROM records r ASOF JOIN versions v ON r.user_id = v.user_id AND r.at >= v.ms
+WHERE v.event_type <> 'error'""",
+        "upsert_topic_latest": f"{_CUSTOMER_LATEST} AND type <> 'delete'",
         "dim_upsert_latest": _CUSTOMER_LATEST,
         "dim_upsert_deletes": f"{_CUSTOMER_LATEST} AND type <> 'delete'",
         "log_page": f"WITH {_LOG} SELECT * FROM page_log",
@@ -466,12 +484,14 @@ def _streams() -> dict[str, str]:
         "stream_log_split": f"""WITH {_LOG} {outputs}
 UNION ALL SELECT 'dirty', NULL, NULL, seq, value FROM dirty_log""",
         "stream_unique_visitor": batch["traffic_unique_visitor"],
+        "stream_day_visit": f"SELECT mid, dt, ts, seq FROM ({batch['traffic_unique_visitor']})",
         "stream_user_jump_closed": f"""SELECT mid, ts, seq FROM (
 {_jumps(_VIEWS, "views", "all", closed)})""",
         "stream_order_pre_process_latest": batch["trade_order_pre_process_latest"],
         "stream_pay_detail_latest": batch["trade_pay_detail_latest"],
         "stream_order_detail_latest": batch["trade_order_detail"],
         "stream_cancel_detail_latest": batch["trade_cancel_detail"],
+        "stream_order_detail_from_topic": batch["trade_order_detail"],
         "stream_order_horizon": f"WITH {_TRADE_HORIZON} SELECT * FROM pre",
         "stream_pay_horizon": f"WITH {_TRADE_HORIZON} SELECT * EXCLUDE (paid) FROM pay",
         "stream_dim_upsert": _DIMENSIONS,

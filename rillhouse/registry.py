@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from rillhouse import bindings, schemas
 from rillhouse.functions import dates
 from rillhouse.operators import dimensions, routing, visits
-from rillhouse.operators.latest import latest_by_key
+from rillhouse.operators.latest import latest_by_key, latest_of_topic
 from rillhouse.operators.skew import find_hot_keys, lookup_join, skew_join
 from rillhouse.oracle import HORIZON_DAYS, WITHIN_MS
 from rillhouse.plans import trade, traffic
 from rillhouse.sinks.tables import current_dimension, current_dimensions, dimension_changes
-from rillhouse.sinks.topics import stream_files
-from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config
+from rillhouse.sinks.topics import as_topic, start_table, stream_files
+from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config, topic_rows
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
 from rillhouse.streaming import trade as trade_jobs
@@ -160,6 +160,23 @@ def dim_routed_rows(spark, sf_dir):
     )
 
 
+@_query
+def dim_routed_as_of(spark, sf_dir):
+    """Records routed by the configuration of their own time; it changes all along."""
+    history = dimensions.config_history(bindings.config_log(spark, sf_dir))
+    changes = bindings.routed_history(spark, sf_dir)
+    return dimensions.route_dimensions_as_of(changes, history, F.col("ts")).select(
+        F.col("table").alias("source_table"), "sink_table", "ts", F.to_json("data").alias("data")
+    )
+
+
+@_query
+def upsert_topic_latest(spark, sf_dir):
+    newest = latest_of_topic(bindings.customer_topic(spark, sf_dir))
+    rows, _ = topic_rows(newest, schemas.text_struct("c_custkey", "c_nationkey", "c_mktsegment"))
+    return rows.drop("partition", "seq")
+
+
 def _customers(spark: SparkSession, sf_dir: str, apply_deletes: bool) -> DataFrame:
     columns = ["c_custkey", "c_nationkey", "c_mktsegment"]
     rows = dimensions.dimension_rows(_routed(spark, sf_dir), "dim_customer", columns)
@@ -322,6 +339,15 @@ def stream_unique_visitor(spark, sf_dir):
     return spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail")
 
 
+@_query
+def stream_day_visit(spark, sf_dir):
+    """First visits of each day by the job whose state expires."""
+    root = new_folder(spark, "day-visit")
+    pages = bindings.page_views(spark, sf_dir, stream=True).withColumn("value", F.col("last_page_id"))
+    jobs.start_day_visit(pages, root).awaitTermination()
+    return spark.read.parquet(f"{root}/dwd_traffic_day_visit").drop("value")
+
+
 @_query
 def stream_user_jump_closed(spark, sf_dir):
     """Pages arrive in several files and micro-batches, some of them late."""
@@ -416,6 +442,23 @@ def stream_pay_detail_latest(spark, sf_dir):
     return newest.drop("_v", "_p", "row_op_ts")
 
 
+@_query
+def stream_order_detail_from_topic(spark, sf_dir):
+    """Placed lines from the JSON text of the order topic, which has malformed records."""
+    root = new_folder(spark, "topic")
+    rows = _pre_process(spark, sf_dir)
+    text = as_topic(rows, "dwd_trade_order_pre_process").select("value")
+    number = F.pmod(F.xxhash64("value"), F.lit(5))
+    broken = text.where(number == 0).select(F.expr("left(value, length(value) - 1)").alias("value"))
+    text.unionAll(broken).unionAll(spark.range(1).select(F.lit("[1]"))).write.parquet(f"{root}/topic")
+    stream = parquet_rows(spark, f"{root}/topic", schemas.text_struct("value"))
+    usable, dirty = topic_rows(stream, schemas.table_schema(schemas.ORDER_PRE_PROCESS))
+    start_table(dirty, "dirty_data", root, jobs.NOW).awaitTermination()
+    trade_jobs.start_order_detail(usable, root).awaitTermination()
+    placed = _table(spark, root, "dwd_trade_order_detail", schemas.ORDER_DETAIL)
+    return placed.drop("row_op_ts")
+
+
 def _horizon_root(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame]]:
     """Folder and change log of a finished order job whose rows meet within the horizon only."""
     root = new_folder(spark, "horizon")

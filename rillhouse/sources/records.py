@@ -55,6 +55,21 @@ def split_cdc(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, dirty.select("value", *(["seq"] if "seq" in parsed.columns else []))
 
 
+def topic_rows(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows of a JSON topic under its declared schema, text of unusable records).
+
+    The place in the source (``partition`` and ``seq``, as far as known) stays with the rows. Text
+    that is no JSON object, or has a field that does not fit its type, is unusable; a missing field
+    is null, and a field that is not declared is ignored. A record without text is unusable too.
+    """
+    corrupt = T.StructField("_corrupt_record", T.StringType())
+    parsed = parse_once(raw, "_rec", F.from_json("value", T.StructType([*schema.fields, corrupt])))
+    place = [c for c in ("partition", "seq") if c in raw.columns]
+    usable = F.col("_rec").isNotNull() & F.col("_rec._corrupt_record").isNull() & F.col("value").rlike(r"^\s*\{")
+    rows = parsed.where(usable).select(*[F.col(f"_rec.{f.name}") for f in schema.fields], *place)
+    return rows, parsed.where(~F.coalesce(usable, F.lit(False))).select("value", *place)
+
+
 def split_config(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(configuration change log, text of unusable records) from change-record text.
 

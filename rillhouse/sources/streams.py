@@ -19,10 +19,13 @@ def kafka_text(
     starting: str | None = None,
     max_per_batch: int = 50_000_000,
     with_partition: bool = False,
+    since_ms: int | None = None,
+    with_key: bool = False,
 ) -> DataFrame:
-    """Records of a topic as ``value`` text with ``seq``, the offset.
+    """Records of a topic as ``value`` text with ``seq``, the offset; ``with_key`` adds the ``key`` text.
 
-    Offsets order the records of one partition only; ``with_partition`` adds its number.
+    ``since_ms`` starts at the first record of that time or later instead of ``starting``; a
+    partition without one starts at its end. Offsets order the records of one partition only; ``with_partition`` adds its number.
 
     Progress lives in the query checkpoint, not in a consumer group, so two jobs
     on one topic both read everything. ``starting`` applies to the first start.
@@ -31,8 +34,14 @@ def kafka_text(
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": starting or ("latest" if streaming else "earliest"),
     }
+    if since_ms is None:
+        options["startingOffsets"] = starting or ("latest" if streaming else "earliest")
+    elif starting is not None:
+        raise ValueError("either a place or a time to start from")
+    else:
+        options["startingTimestamp"] = str(since_ms)
+        options["startingOffsetsByTimestampStrategy"] = "latest"
     if streaming:
         options["maxOffsetsPerTrigger"] = str(max_per_batch)
     return (
@@ -43,6 +52,7 @@ def kafka_text(
             F.col("value").cast("string").alias("value"),
             F.col("offset").alias("seq"),
             *(["partition"] if with_partition else []),
+            *([F.col("key").cast("string").alias("key")] if with_key else []),
         )
     )
 
