@@ -99,6 +99,40 @@ def test_unique_visitor_over_restarts(spark, page_text):
     assert got == rows_of(visits.unique_visitor(page_text), "mid", "dt")
 
 
+@pytest.mark.parametrize("held", [processors.HELD_ROWS, 2])
+def test_first_of_task(spark, monkeypatch, held):
+    monkeypatch.setattr(processors, "HELD_ROWS", held)
+    rows = [("hot", i % 3, i * 7919 % 1000, i % 11, None) for i in range(2000)] + [(f"m{i}", 0, 5, i, "x") for i in range(40)]
+    frame = spark.createDataFrame(rows, "mid string, day int, ts bigint, seq bigint, last_page_id string").coalesce(2)
+    got = [tuple(r) for r in processors.first_of_task(frame, ["mid", "day"]).collect()]
+    least = {}
+    for row in rows:
+        least[row[:2]] = min(row[2:4], least.get(row[:2], row[2:4]))
+    assert {k: min(r[2:4] for r in got if r[:2] == k) for k in least} == least
+    if held > 2:
+        assert len(got) <= 40 + 2 * 3
+    assert processors.first_of_task(frame.limit(0), ["mid"]).collect() == []
+
+
+def test_one_device_has_nearly_all_rows(spark):
+    """Rows that claim nothing go by the state; flags and visitors are those of the batch form."""
+    text = bindings.log_text(spark, SF)
+    hot = F.regexp_replace("value", '"mid":"[0-8][^"]*"', '"mid":"hot"').alias("value")
+    text = text.select(F.when(F.col("seq") % 10 > 0, hot).otherwise(F.col("value")).alias("value"), "seq")
+    folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+    feed(text, folder, lambda: jobs.start_log_split(parquet_rows(spark, folder, text.schema), root))
+    batch = traffic.log_outputs(text)
+    tables = jobs.log_tables(root)
+    for name in ("page", "error"):
+        got = rows_of(spark.read.parquet(tables[name]), "mid", "is_new", "seq")
+        assert got == rows_of(batch[name], "mid", "is_new", "seq"), name
+    pages = bindings.page_views(spark, SF).withColumn("mid", F.lit("hot"))
+    folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+    feed(pages, folder, lambda: jobs.start_unique_visitor(parquet_rows(spark, folder, pages.schema), root))
+    got = rows_of(spark.read.parquet(f"{root}/dwd_traffic_unique_visitor_detail"), "mid", "dt", "ts")
+    assert got == rows_of(visits.unique_visitor(pages), "mid", "dt", "ts")
+
+
 def test_day_visit_with_expiring_state(spark, page_text):
     processors.use_rocksdb(spark)
     folder, root = new_folder(spark, "in"), new_folder(spark, "out")
