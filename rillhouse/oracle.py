@@ -224,6 +224,8 @@ dirty_log AS (
 WITHIN_MS = 6 * 3600 * 1000
 #: Lag of the late pages, and the watermark's delay.
 LAG_MS = 3 * 3600 * 1000
+#: A delay that is too short for the late pages.
+LATE_MS = 3600 * 1000
 
 _VIEWS = """
 views AS (
@@ -491,6 +493,15 @@ UNION ALL SELECT 'dirty', NULL, NULL, seq, value FROM dirty_log""",
         "stream_pay_detail_latest": batch["trade_pay_detail_latest"],
         "stream_order_detail_latest": batch["trade_order_detail"],
         "stream_cancel_detail_latest": batch["trade_cancel_detail"],
+        "stream_late_rows": f"""WITH {_VIEWS},
+arrived AS (
+  SELECT ts, (ts + CASE WHEN seq % 7 = 0 THEN {LAG_MS} ELSE 0 END - low) * 5 // (high - low) AS arrival
+  FROM views, (SELECT min(ts) AS low, max(ts) + {LAG_MS} + 1 AS high FROM views)),
+marks AS (
+  SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATE_MS} AS mark
+  FROM arrived GROUP BY arrival)
+SELECT CAST(arrival AS INTEGER) AS arrival, count(*) AS pages, count(*) FILTER (WHERE ts <= mark) AS dropped
+FROM arrived JOIN marks USING (arrival) GROUP BY arrival""",
         "stream_order_detail_from_topic": batch["trade_order_detail"],
         "stream_order_horizon": f"WITH {_TRADE_HORIZON} SELECT * FROM pre",
         "stream_pay_horizon": f"WITH {_TRADE_HORIZON} SELECT * EXCLUDE (paid) FROM pay",

@@ -14,7 +14,7 @@ from rillhouse.functions import dates
 from rillhouse.operators import dimensions, routing, visits
 from rillhouse.operators.latest import latest_by_key, latest_of_topic
 from rillhouse.operators.skew import find_hot_keys, lookup_join, skew_join
-from rillhouse.oracle import HORIZON_DAYS, WITHIN_MS
+from rillhouse.oracle import HORIZON_DAYS, LATE_MS, WITHIN_MS
 from rillhouse.plans import trade, traffic
 from rillhouse.sinks.tables import current_dimension, current_dimensions, dimension_changes
 from rillhouse.sinks.topics import as_topic, start_table, stream_files
@@ -22,6 +22,7 @@ from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, s
 from rillhouse.sources.streams import parquet_rows
 from rillhouse.streaming import jobs
 from rillhouse.streaming import trade as trade_jobs
+from rillhouse.streaming.progress import dropped_rows
 from rillhouse.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,6 +363,22 @@ def stream_user_jump_closed(spark, sf_dir):
     return spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail").select("mid", "ts", "seq")
 
 
+@_query
+def stream_late_rows(spark, sf_dir):
+    """Pages per arrival, and those that the watermark dropped as too late."""
+    root = new_folder(spark, "late")
+    folder, counts = f"{root}/pages", []
+    for i, part in enumerate(bindings.page_arrivals(spark, sf_dir)):
+        rows = part.withColumn("value", F.to_json(F.struct("mid", "ts")))
+        rows.write.mode("append").parquet(folder)
+        pages = parquet_rows(spark, folder, rows.schema)
+        query = jobs.start_user_jump(pages, root, WITHIN_MS, delay=f"{LATE_MS} milliseconds")
+        query.awaitTermination()
+        taken = sum(p.numInputRows for p in query.recentProgress)
+        counts.append((i, taken, dropped_rows(query)))
+    return spark.createDataFrame(counts, "arrival int, pages long, dropped long")
+
+
 #: Micro-batches in which the registered trade jobs take in their change log.
 ARRIVALS = 6
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillhouse.functions.values import split_list
-from rillhouse.operators.dimensions import with_defaults
+from rillhouse.operators.dimensions import create_table_text, sink_layouts, with_defaults
 from rillhouse.operators.latest import latest_by_key
 from rillhouse.operators.skew import collect_small
 
@@ -66,9 +66,39 @@ def dimension_table(current: DataFrame, sink_table: str, columns: Sequence[str])
     return own.select(*[F.col("data")[c].alias(c) for c in columns])
 
 
-def create_dimension_tables(spark: SparkSession, ddl: DataFrame, column: str = "ddl") -> int:
-    """Run the create-table text of every configuration row; returns their number."""
-    statements = [r[0] for r in collect_small(ddl.select(column).distinct())]
-    for statement in statements:
+def _active_columns(spark: SparkSession, name: str) -> str | None:
+    """The columns in use, as the table's property has them."""
+    found = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'active_columns'").first()
+    return found and found["value"]
+
+
+def sync_dimension_tables(spark: SparkSession, config: DataFrame, prefix: str = "") -> list[str]:
+    """Bring the catalogue in line with a configuration; returns the statements run.
+
+    Absent tables are created. A table whose configuration has gained columns gets them, null in
+    older rows. A column that the configuration has lost stays, since its old values cannot be
+    dropped from files, but is no longer among the table's ``active_columns``, a table property in the
+    order of the configuration. Running it again changes nothing.
+    """
+    rows = with_defaults(config).withColumn("ddl", create_table_text(prefix))
+    routes = collect_small(rows.select("sink_table", "sink_columns", "ddl").orderBy("sink_table", "source_table"))
+    statements = []
+
+    def run(statement: str) -> None:
         spark.sql(statement)
-    return len(statements)
+        statements.append(statement)
+
+    created = {r["sink_table"]: r["ddl"] for r in reversed(routes)}
+    for table, columns in sink_layouts(routes).items():
+        name = f"{prefix}{table}"
+        if not spark.catalog.tableExists(name):
+            run(created[table])
+        known = {c.lower() for c in spark.table(name).columns}
+        missing = [c for c in columns if c.lower() not in known]
+        if missing:
+            added = ", ".join(f"`{c}` STRING" for c in missing)
+            run(f"ALTER TABLE {name} ADD COLUMNS ({added})")
+        active = ",".join(columns)
+        if _active_columns(spark, name) != active:
+            run(f"ALTER TABLE {name} SET TBLPROPERTIES ('active_columns' = '{active}')")
+    return statements

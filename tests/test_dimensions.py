@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from rillhouse import schemas
 from rillhouse.operators import dimensions
 from rillhouse.sinks.tables import (
-    create_dimension_tables,
     current_dimensions,
     dimension_changes,
     dimension_table,
+    sync_dimension_tables,
 )
 from rillhouse.sinks.topics import as_topic
 from rillhouse.sources.records import cdc_envelope, config_changes, split_cdc, split_config
@@ -105,9 +105,9 @@ def test_tables_are_created_once(spark):
         ("b", "dim_b", "b_id, b_name", "b_id", "COMMENT 'kept'"),
     ]
     config = dimensions.with_defaults(spark.createDataFrame(rows, schemas.TABLE_PROCESS))
-    ddl = config.select(dimensions.create_table_text("dims.").alias("ddl"))
-    assert create_dimension_tables(spark, ddl) == 2
-    assert create_dimension_tables(spark, ddl) == 2
+    created = sync_dimension_tables(spark, config, "dims.")
+    assert sum(text.startswith("CREATE") for text in created) == 2
+    assert sync_dimension_tables(spark, config, "dims.") == []
     assert spark.table("dims.dim_b").dtypes == [("b_id", "string"), ("b_name", "string")]
     properties = dict(spark.sql("SHOW TBLPROPERTIES dims.dim_a").collect())
     assert properties["primary_key"] == "id"
@@ -144,7 +144,7 @@ def test_dimension_job_follows_its_configuration(spark):
     assert [r.id for r in current(rows, apply_deletes=True)] == ["2"]
     before = current(rows.where("batch_id < 2"))
     assert {(r.id, r.name) for r in before} == {("1", None), ("2", None)}
-    assert spark.table("dims2.dim_cart").columns == ["id", "name"]
+    assert spark.table("dims2.dim_cart").columns == ["id", "name", "secret"]
     assert [r.value for r in spark.read.parquet(f"{root}/dirty_data").collect()] == ["{bad"]
 
 
@@ -167,3 +167,29 @@ def test_topic_records(spark):
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert new_folder(spark, "x").startswith(shared_folder(spark))
+
+
+def test_a_table_follows_its_configuration(spark):
+    """Columns gained and lost between two batches of the job; the catalogue shows both."""
+    spark.sql("create database if not exists follow")
+    root, now = new_folder(spark, "dim"), {}
+
+    def config(columns):
+        rows = [("user", "dim_user", columns, "id", None), ("person", "dim_user", "id", "id", None)]
+        return spark.createDataFrame(rows, schemas.TABLE_PROCESS)
+
+    job = jobs.DimensionJob(spark, root, lambda: config(now["columns"]), create="follow.")
+
+    def properties():
+        return {r["key"]: r["value"] for r in spark.sql("show tblproperties follow.dim_user").collect()}
+
+    for n, columns in enumerate(["id, name", "id,name,Age", "age,id"]):
+        now["columns"] = columns
+        frame = spark.createDataFrame([('{"table":"user","type":"insert","ts":"1","data":{"id":"%d"}}' % n,)], "value string")
+        job.process(cdc_envelope(frame), n)
+        if n == 0:
+            spark.sql("insert into follow.dim_user values ('1', 'n')")
+    assert spark.table("follow.dim_user").columns == ["id", "name", "Age"]
+    assert [tuple(r) for r in spark.table("follow.dim_user").collect()] == [("1", "n", None)]
+    assert properties()["active_columns"] == "id,age" and properties()["primary_key"] == "id"
+    spark.sql("drop database follow cascade")

@@ -1,5 +1,7 @@
 """Streaming forms against their batch counterparts, over several micro-batches."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from rillhouse.plans import traffic
 from rillhouse.sinks.topics import as_topic, stream_files, to_topics
 from rillhouse.sources.streams import file_text, parquet_rows
 from rillhouse.streaming import jobs, processors
+from rillhouse.streaming.progress import dropped_rows, watch
 from rillhouse.workspace import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -73,6 +76,27 @@ def test_user_jump_keeps_ties_and_lagging_rows(spark):
         processors.user_jump_stream(spark.createDataFrame([], schema), 10_000, "0 seconds")
 
 
+def test_dropped_rows_are_counted(spark):
+    """Rows that lag further than the delay are dropped, and a listener tells how many."""
+    schema = "mid string, last_page_id string, ts bigint, seq bigint, value string"
+    folder, root, listener = new_folder(spark, "in"), new_folder(spark, "out"), watch(spark)
+    late = []
+    for rows in ([("a", 100_000)], [("a", 101_000), ("b", 98_999), ("c", 99_500), ("d", 99_000)], [("a", 1)]):
+        frame = spark.createDataFrame([(m, None, t, i, "v") for i, (m, t) in enumerate(rows)], schema)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        pages = parquet_rows(spark, folder, frame.schema)
+        query = jobs.start_user_jump(pages, root, 10_000, delay="1 second")
+        query.awaitTermination()
+        late.append(dropped_rows(query))
+    assert late == [0, 2, 1]
+    for _ in range(50):
+        if sum(listener.rows.values()) == 3:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert listener.rows == {str(query.id): 3}
+
+
 def test_unique_visitor_forgets_no_late_row(spark):
     schema = "mid string, last_page_id string, ts bigint, seq bigint"
     day, folder, root = 86_400_000, new_folder(spark, "in"), new_folder(spark, "out")
