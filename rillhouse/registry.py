@@ -542,10 +542,10 @@ def dim_config_by_time(spark, sf_dir):
 
 @_query
 def traffic_user_jump_skewed(spark, sf_dir):
-    """Half of all pages on one device, its time line in many slices."""
+    """Half of all pages on one device, which is found and whose time line is cut into slices."""
     pages = bindings.page_views(spark, sf_dir)
     mid = F.when(F.col("seq") % 2 == 0, "hot").otherwise(F.col("mid"))
-    return visits.user_jump(pages.withColumn("mid", mid), WITHIN_MS, hot={"hot": 64})
+    return visits.user_jump(pages.withColumn("mid", mid), WITHIN_MS)
 
 
 @_query
