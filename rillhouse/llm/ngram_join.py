@@ -18,10 +18,13 @@ band; a set is indexed under its own band and the next, which partners have in c
    tokens as they must, the rarest. Tokens that are not shared
    bound the overlap with any partner, and with it the size of partners: many documents can only
    be the larger one of a pair, and two of them are never compared.
-3. In each bucket of the index the least document that can be the smaller one is compared with the
-   others. Of the components that these links make, only documents that a bucket holds from
-   different ones are compared further. So all pairs that could still join two components are
-   verified, and no pairs within a component.
+3. In each bucket of the index the document with the fewest tokens that no other has, its pivot, is
+   compared with the others. Of the components that these links make, only documents that a bucket
+   holds outside its pivot's are compared further: by bitmaps first, in which each token flips one
+   bit, so that the bits in which two differ are a lower bound of the tokens that only one of them
+   has. Each is verified with the nearest document of another component, and then with all others
+   that the bound leaves. So every pair that could still join two components is verified or ruled
+   out, and no pair within a component. Texts are read only for pairs that the bitmaps leave.
 
 Documents with the same set are one node. Rows of one id are one document: different texts of an id are
 compared each by itself, under a 64-bit hash of the id and the text, and their links are the id's. A null
@@ -38,7 +41,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import lists, pieces, text_bytes
+from rillhouse.llm.arrow import binaries, pieces, text_bytes
 from rillhouse.llm.components import components
 from rillhouse.llm.sieve import sieve, sifted, without
 from rillhouse.llm.sketch import classes_of, frequency_classes
@@ -56,6 +59,8 @@ GROUP, EXTRA = 16, 8
 BUCKET = 500_000
 #: Partners that one task compares with a document.
 PARTNERS = 256
+#: Documents of one bucket that one task holds to compare others with, about, and bits of a bitmap.
+BLOCK, BITS = 1024, 1024
 
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +234,13 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _selected(shared: DataFrame, whole: bool) -> DataFrame:
-    """(key, id, n, most) of the documents that may have partners, under as few keys as they need.
+    """(key, id, n, most, missing) of the documents that may have partners, under as few keys as they need.
 
     A document indexed by rare tokens alone needs its rarest shared ones. Of a prefix, it shares at
     least ``fewest`` with any partner: all but that many and one suffice. Of its ``whole`` rare
     tokens, n // 4 may be missing, and those that are not shared are. Others keep all their keys.
-    ``most`` is the size of the largest partner: an overlap of n less the tokens that are not shared
-    allows no more.
+    ``missing`` counts the tokens that are not shared, and ``most`` is the size of the largest
+    partner: an overlap of n less ``missing`` allows no more.
     """
     least = F.when(3 * F.col("n") < 4 * SMALL, 1).otherwise(
         1 + F.floor(F.floor((3 * F.col("n") + 3) / 4) / EXTRA)
@@ -253,10 +258,11 @@ def _selected(shared: DataFrame, whole: bool) -> DataFrame:
         "keys",
         kept.alias("kept"),
         F.floor((7 * (F.col("n") - missing) - 3 * F.col("n")) / 3).alias("most"),
+        missing.alias("missing"),
     )
     by_set = by_set.where("kept > 0 and 4 * most >= 3 * n")
     some = F.explode(F.slice("keys", F.lit(1), F.col("kept")))
-    return by_set.select("id", "n", "most", some.alias("k")).select("k.key", "id", "n", "most")
+    return by_set.select("id", "n", "most", "missing", some.alias("k")).select("k.key", "id", "n", "most", "missing")
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +308,157 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_compare, "a long, b long")
 
 
-def _pairs_of(rows: DataFrame, also: str = "true") -> DataFrame:
+_MEMBER = "struct(id, low, high, most)"
+
+
+def _pairs_of(rows: DataFrame) -> DataFrame:
     """Distinct (a, b) of the documents x and y of each row, if their sizes allow the similarity."""
     fits = (
         "4 * x.high >= 3 * y.low and 4 * y.high >= 3 * x.low and x.low <= y.most and y.low <= x.most"
     )
-    return rows.where(f"{fits} and {also}").selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
+    return rows.where(fits).selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()
+
+
+def _star(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The documents x of each bucket beside its pivot y.
+
+    The pivot is the document with the fewest tokens that no other has: near copies of a text are
+    closest to the one with the fewest changes. All buckets order documents alike, so those of one
+    group of copies mostly agree on the pivot, and its pairs are the same there.
+    """
+    pivot = F.min_by(F.expr(_MEMBER), F.struct("missing", "id")).alias("y")
+    pivots = pivots.where("most >= low").groupBy("key").agg(pivot)
+    return rows.join(pivots, "key").where("id != y.id").withColumn("x", F.expr(_MEMBER))
+
+
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents of buckets that hold some outside the component of their pivot, the ``head``.
+
+    ``c`` is the component, and ``outside`` says that it is not the pivot's.
+    """
+    label = components(links)
+    rows = members.join(label.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    rows = rows.join(label.toDF("head", "home"), "head", "left")
+    rows = rows.withColumn("outside", F.col("c") != F.coalesce("home", "head")).drop("home")
+    rows = written(rows, "labelled")
+    return rows.join(rows.where("outside").select("key").distinct(), "key", "left_semi")
+
+
+def _parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bitmap of each text, in which each token flips one bit."""
+    for batch in pieces(batches):
+        tokens, counts = _tokens(batch)
+        at = (tokens >> np.uint64(20)) % np.uint64(BITS)
+        word = np.repeat(np.arange(len(counts)) * (BITS // 64), counts) + (at >> np.uint64(6)).astype(np.int64)
+        found = np.zeros(len(counts) * (BITS // 64), np.uint64)
+        np.bitwise_xor.at(found, word, np.uint64(1) << (at & np.uint64(63)))
+        flips = binaries(found, np.full(len(counts), BITS // 64)).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), flips], names=["id", "bits"])
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of tokens that only one of two texts has, by the bitmaps of each x and y."""
+    return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+
+
+def _close(nearest: bool):
+    """Pairs of a block of outside documents and members of their bucket that may be similar.
+
+    Rows come by bucket and block, the outside documents first. Texts of n and m tokens are similar
+    only if at most (n + m) / 7 tokens are in just one of them. With ``nearest``, each outside
+    document has only its nearest such member, of equals the least.
+    """
+    columns = ("id", "low", "high", "most", "c")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block, best = None, [], None
+
+        def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+            )
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                some = best[0] < _MANY
+                yield found(block[0]["id"][some], best[1][some])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in columns}
+            data, _ = text_bytes(batch.column("bits"))
+            rows["bits"] = data.reshape(len(batch), -1).view(np.uint64)
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
+            member = batch.column("member").to_numpy(zero_copy_only=False)
+            new = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (member[1:] != member[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+            for start, end in zip(cuts, cuts[1:]):
+                group = (key[start], salt[start])
+                if group != current:
+                    yield from finished()
+                    current, block, best = group, [], None
+                some = {c: v[start:end] for c, v in rows.items()}
+                if not member[start]:
+                    block.append(some)
+                    continue
+                if len(block) > 1:
+                    block = [{c: np.concatenate([x[c] for x in block]) for c in some}]
+                x = {c: v if c == "bits" else v[:, None] for c, v in block[0].items()}
+                if nearest and best is None:
+                    best = np.full(len(x["id"]), _MANY), np.zeros(len(x["id"]), np.int64)
+                step = max(1, (1 << 16) // len(x["id"]))
+                for at in range(0, end - start, step):
+                    y = {c: v[at : at + step] for c, v in some.items()}
+                    apart = differences(x["bits"], y["bits"])
+                    fits = (x["c"] != y["c"]) & (7 * apart <= x["high"] + y["high"])
+                    fits &= (4 * x["high"] >= 3 * y["low"]) & (4 * y["high"] >= 3 * x["low"])
+                    fits &= (x["low"] <= y["most"]) & (y["low"] <= x["most"])
+                    if not nearest:
+                        i, j = np.nonzero(fits)
+                        yield found(block[0]["id"][i], y["id"][j])
+                        continue
+                    apart[~fits] = _MANY
+                    least = apart.min(1)
+                    ids = np.where(apart == least[:, None], y["id"], np.iinfo(np.int64).max).min(1)
+                    better = (least < best[0]) | ((least == best[0]) & (ids < best[1]))
+                    best[0][better], best[1][better] = least[better], ids[better]
+        yield from finished()
+
+    return run
+
+
+def _close_pairs(mixed: DataFrame, bits: DataFrame, nearest: bool) -> DataFrame:
+    """Distinct pairs (a, b) of different components that bitmaps cannot tell apart.
+
+    The outside documents of a bucket are dealt over blocks of ``BLOCK``, and each block meets all
+    members of the bucket; one task holds one block and reads the members one after another.
+    """
+    blocks = mixed.where("outside").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = mixed.join(blocks, "key")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    mine = rows.where("outside").withColumn("salt", F.pmod(F.xxhash64("id"), "blocks"))
+    theirs = rows.withColumn("salt", every)
+    columns = "id", "key", "salt", "member", "low", "high", "most", "c"
+    both = mine.withColumn("member", F.lit(False)).select(*columns)
+    both = both.unionByName(theirs.withColumn("member", F.lit(True)).select(*columns)).join(bits, "id")
+    ordered = both.repartition("key", "salt").sortWithinPartitions("key", "salt", "member")
+    return ordered.mapInArrow(_close(nearest), "a long, b long").distinct()
+
+
+def _links(bucket: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all documents which some path of links joins."""
+    star = written(_star(bucket, bucket), "stars")
+    links = written(verified(_pairs_of(star), texts), "links")
+    members = star.select("key", F.col("y.id").alias("head"), "id", "low", "high", "most")
+    mixed = written(_mixed(members, links), "mixed")
+    ids = written(mixed.select("id").distinct(), "mixed-ids")
+    some = sifted(texts, "id", sieve(ids, "id")).join(ids, "id", "left_semi")
+    bits = written(some.mapInArrow(_parities, "id long, bits binary"), "bits")
+    near = verified(_close_pairs(mixed, bits, nearest=True), texts)
+    links = written(links.unionByName(near), "links")
+    mixed = written(_mixed(mixed.drop("c", "outside"), links), "mixed")
+    return links.unionByName(verified(_close_pairs(mixed, bits, nearest=False), texts))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,41 +504,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     few = written(few.distinct(), "texts")
     index = index_of(few, whole=True)
     bucket = index.groupBy("key", "id").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("most").alias("most")
-    )
-    bucket = written(bucket, "buckets")
-    smaller = bucket.where("most >= low")
-    first = smaller.groupBy("key").agg(F.min_by(F.struct("id", "low", "high", "most"), "id").alias("f"))
-    star = bucket.join(first, "key").where("id != f.id")
-    star = written(star.select("key", "id", "low", "high", "most", "f"), "stars")
-    direct = star.select(F.struct("id", "low", "high", "most").alias("x"), F.col("f").alias("y"))
-    links = written(verified(_pairs_of(direct), few), "links")
-    label = components(links)
-    # What may still join two components: members outside the component of their bucket's first.
-    labelled = star.join(label.toDF("id", "c"), "id", "left")
-    labelled = labelled.join(label.toDF("head", "head_c"), F.col("f.id") == F.col("head"), "left")
-    mine, theirs = F.coalesce("c", "id"), F.coalesce("head_c", "f.id")
-    labelled = labelled.select(
-        "key",
-        "id",
-        F.struct("id", "low", "high", "most").alias("x"),
-        mine.alias("c"),
-        (mine != theirs).alias("outside"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.max("most").alias("most"),
+        F.min("missing").alias("missing"),
     )
-    labelled = written(labelled, "labelled")
-    mixed = labelled.join(labelled.where("outside").select("key").distinct(), "key", "left_semi")
-    # Each document's keys there: a pair is taken at the first one it has in common only.
-    keys = mixed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    mixed = written(mixed.join(keys, "id"), "mixed")
-    outside, small = mixed.where("outside"), mixed.where("x.most >= x.low")
-    more = None
-    first_common = "array_min(array_intersect(keys, others)) = key"
-    for left, right in ((small.where("outside"), mixed), (small.where("not outside"), outside)):
-        other = right.select("key", F.col("x").alias("y"), F.col("c").alias("d"), F.col("keys").alias("others"))
-        found = _pairs_of(left.join(other, "key").where("c != d"), first_common)
-        more = found if more is None else more.unionByName(found)
-    more = more.distinct()
-    links = links.unionByName(verified(more, few))
+    links = _links(written(bucket, "buckets"), few)
     equal = nodes.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     links = links.unionByName(equal)
     if repeated:

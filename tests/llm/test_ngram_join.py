@@ -63,12 +63,58 @@ def test_against_all_pairs(spark, monkeypatch, seed, least):
     if least == 1:
         monkeypatch.setattr(J, "SIGMAS", 0.0)
         monkeypatch.setattr(J, "PARTNERS", 3)
+        monkeypatch.setattr(J, "BLOCK", 2)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
     found = J.near_duplicates(docs).collect()
     assert sorted(str(tuple(r)) for r in found) == plain(rows)
 
 
+def near_group(seed):
+    """Many copies of one text, with few to many changes that recur among them."""
+    rng = random.Random(seed)
+    vocabulary = [f"u{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(140)]
+    swaps = [(rng.randrange(140), rng.choice(vocabulary)) for _ in range(60)]
+    texts = []
+    for _ in range(260):
+        copy = list(base)
+        for at, word in rng.sample(swaps, rng.choice([1, 2, 4, 6, 8, 9, 10])):
+            copy[at] = word
+        texts.append(copy)
+    # A chain: each is like the next one only.
+    texts += [base[:20] + texts[0][5 * k : 5 * k + 90] for k in range(8)]
+    return [(i, " ".join(words)) for i, words in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_group_with_recurring_changes(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rows = near_group(6)
+    read = []
+    verified = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, texts: read.append(pairs.count()) or verified(pairs, texts))
+    found = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in found) == plain(rows)
+    assert len({r.component_id for r in found}) > 20
+    assert sum(read) < len(rows) * (len(rows) - 1) // 2 // 5
+
+
+def test_bitmaps_bound_the_difference(spark):
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = docs.mapInArrow(J._parities, "id long, bits binary").where("id is not null and id < 7000").collect()
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(shingles(t))
+    bits = {r.id: np.frombuffer(r.bits, np.uint64) for r in found if len(texts[r.id]) == 1}
+    ids = sorted(bits)
+    some = np.stack([bits[i] for i in ids])
+    least = J.differences(some, some)
+    real = np.array([[len(texts[i][0] ^ texts[j][0]) for j in ids] for i in ids])
+    assert (least <= real).all() and (least[real > 0] > 0).mean() > 0.99 and (least == real).mean() > 0.2
+
+
 def test_empty(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
