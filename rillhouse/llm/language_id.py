@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillhouse.llm.arrow import lists, pieces, text_bytes
+from rillhouse.llm.arrow import PIECE_BYTES, lists, pieces, text_bytes
 
 UNKNOWN = "und"
 #: Bytes of a window when texts are read.
@@ -323,7 +323,8 @@ def keep_known(docs: DataFrame, net: Network, least: float, text: str = "text")
     """The rows, with all columns, whose language is known with at least the score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        # Small pieces: the network's states take some 150 bytes a byte of text.
+        for batch in pieces(batches, text, PIECE_BYTES // 4):
             names, score, _ = label_texts(net, batch.column(text))
             keep = (names != UNKNOWN) & (score >= least)
             if keep.any():

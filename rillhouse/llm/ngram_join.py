@@ -453,7 +453,7 @@ def _links(bucket: DataFrame, texts: DataFrame) -> DataFrame:
     members = star.select("key", F.col("y.id").alias("head"), "id", "low", "high", "most")
     mixed = written(_mixed(members, links), "mixed")
     ids = written(mixed.select("id").distinct(), "mixed-ids")
-    some = sifted(texts, "id", sieve(ids, "id")).join(ids, "id", "left_semi")
+    some = texts.join(ids, "id", "left_semi")
     bits = written(some.mapInArrow(_parities, "id long, bits binary"), "bits")
     near = verified(_close_pairs(mixed, bits, nearest=True), texts)
     links = written(links.unionByName(near), "links")
