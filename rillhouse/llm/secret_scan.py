@@ -4,10 +4,16 @@ Patterns, leftmost and non-overlapping for each kind: ``assign`` (a keyword, ``:
 value of at least 8 characters), ``access`` (``AKIA`` and at least 16 characters in all) and ``hex``
 (at least 32 characters); shorter matches are dropped.
 
-Two first-order character models, one of random strings and one of ordinary identifiers, are counted
-over the whole corpus from the samples that the patterns label: the values they find, and all other
-runs. A run of key characters with a letter and a digit that no pattern covers is ``markov``, a
-secret, if its log-likelihood ratio reaches ``RATIO`` in all and ``MEAN_RATIO`` a character.
+First-order character models of random strings and of ordinary identifiers are compared. The corpus
+trains one of each from the samples that the patterns label: the values they find, and all other runs
+of key characters, which in upper case train one more of identifiers. Drawn strings of the usual key
+alphabets (``ALPHABETS``, and dashed hexadecimal groups) train further models of random strings, and
+counting or repeating characters (``abcdef``, ``0000``) are a last one of identifiers. A run with a
+letter that no pattern covers is ``markov``, a secret, if the best model of random strings leads the
+best one of identifiers by a log-likelihood ratio of ``RATIO`` in all and ``MEAN_RATIO`` a character.
+Dots and dashes belong to a run, but not at its ends. Its length matters by the ratio alone, from
+``COUNTED`` characters on. Identifiers of a form that the corpus hardly has (a version, a dotted name)
+look random to a small corpus.
 
 Spans are in code points, the end exclusive. Null and empty texts have none; repeated rows and null or
 equal ids keep their rows; only the two named columns are read, so others may have any name.
@@ -30,21 +36,38 @@ ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I
 )
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-#: Least run that is judged by the models.
-LEAST = 20
-#: Least run that the models count.
+#: Least run that the models count and judge.
 COUNTED = 6
 #: Log-likelihood ratio, in nats: of the run, and per character.
-RATIO, MEAN_RATIO = 15.0, 0.7
-#: Weight of the uniform distribution in each model.
-SMOOTH = 0.1
+RATIO, MEAN_RATIO = 10.0, 0.5
+#: Weight of the uniform distribution in the models of the corpus (secrets, identifiers), and in drawn ones.
+SMOOTH, DRAWN_SMOOTH = (0.5, 0.1), 0.02
+#: Samples that train the model of each alphabet: strings, and their length.
+STRINGS, LENGTH = 4_000, 40
 SPANS = "array<struct<kind string, start long, end long>>"
 _CODES = np.zeros(256, np.int64)
-_SYMBOLS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
+_SYMBOLS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
+#: Characters of common kinds of keys: hexadecimal, base 32, base 36, letters, base 62 and both base 64.
+ALPHABETS = (
+    _SYMBOLS[52:62] + _SYMBOLS[:6],
+    _SYMBOLS[52:62] + _SYMBOLS[26:32],
+    _SYMBOLS[26:52] + _SYMBOLS[54:60],
+    _SYMBOLS[:26] + _SYMBOLS[52:62],
+    _SYMBOLS[:52],
+    _SYMBOLS[:62],
+    _SYMBOLS[:62] + b"-_",
+    _SYMBOLS[:62] + b"+/",
+)
 _CODES[list(_SYMBOLS)] = np.arange(1, len(_SYMBOLS) + 1)
 N = len(_SYMBOLS) + 1
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b"-.")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[list(_SYMBOLS[:52])] = True
+#: Models of random strings come first: the corpus's, one of each alphabet, dashed groups.
+SECRET_MODELS = len(ALPHABETS) + 2
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b":=")] = True
 
@@ -108,12 +131,24 @@ def _pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return previous * N + codes
 
 
+def _key_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of runs of key characters, without dots and dashes at their ends."""
+    starts, ends = _runs(_CODES[data] > 0, offsets, COUNTED)
+    inner = np.flatnonzero((_CODES[data] > 0) & ~_EDGE[data])
+    if not len(inner):
+        return starts[:0], ends[:0]
+    first = inner[np.minimum(np.searchsorted(inner, starts), len(inner) - 1)]
+    last = inner[np.maximum(np.searchsorted(inner, ends) - 1, 0)] + 1
+    keep = (first >= starts) & (last <= ends) & (last - first >= COUNTED)
+    return first[keep], last[keep]
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, N * N), np.int64)
     for batch in pieces(batches):
         data, offsets = text_bytes(batch.column("text"))
         spans = pattern_spans(data, offsets)
-        starts, ends = _runs(_CODES[data] > 0, offsets, COUNTED)
+        starts, ends = _key_runs(data, offsets)
         free = ~_covered(spans, starts, ends)
         for model, a, b in (
             (0, np.array([s[3] for s in spans], np.int64), np.array([s[2] for s in spans], np.int64)),
@@ -127,8 +162,65 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _chain(counts: np.ndarray, lean: float, uniform: float) -> np.ndarray:
+    """Log probabilities of each character after another (N x N), from counts of pairs.
+
+    A character with few samples leans on the distribution of single characters.
+    """
+    single = counts.sum(0) + 1.0
+    joint = counts + lean * single / single.sum()
+    return np.log((1 - uniform) * joint / joint.sum(1, keepdims=True) + uniform / (N - 1))
+
+
+def _drawn() -> list[np.ndarray]:
+    """Counts of pairs in random strings of each alphabet, and in dashed groups."""
+    rng = np.random.default_rng(0)
+    size = STRINGS * LENGTH
+    samples = [np.frombuffer(a, np.uint8)[rng.integers(0, len(a), size)] for a in ALPHABETS]
+    dashed = samples[0].reshape(STRINGS, LENGTH).copy()
+    dashed[:, [8, 13, 18, 23]] = ord("-")
+    starts = np.arange(STRINGS) * LENGTH
+    ends = [starts + LENGTH] * len(ALPHABETS) + [starts + 36]
+    return [
+        np.bincount(_pairs(x, starts, e), minlength=N * N).reshape(N, N)
+        for x, e in zip([*samples, dashed.ravel()], ends)
+    ]
+
+
+def _in_order() -> np.ndarray:
+    """Counts of pairs where each character follows in order, or repeats."""
+    counts = np.ones((N, N))
+    for group in (range(1, 27), range(27, 53), range(53, 63)):
+        for code in group:
+            counts[code, code] = counts[code, min(code + 1, group[-1])] = 1_000
+    counts[1:, [1, 27, 53]] += 100
+    return counts
+
+
+def models(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities of all models (models x N x N), those of random strings first.
+
+    ``counts`` has the corpus's pairs of characters in the patterns' values and in other runs. Secrets
+    that no pattern finds are among the latter, so rare characters lean the more on the single ones.
+    """
+    secrets, others = counts.reshape(2, N, N)
+    upper = np.arange(N)
+    upper[1:27] += 26
+    shouted = np.zeros((N, N))
+    np.add.at(shouted, (upper[:, None], upper[None, :]), others)
+    return np.stack(
+        [
+            _chain(secrets, 20.0, SMOOTH[0]),
+            *(_chain(x, 20.0, DRAWN_SMOOTH) for x in _drawn()),
+            _chain(others, 5000.0, SMOOTH[1]),
+            _chain(shouted, 5000.0, SMOOTH[1]),
+            _chain(_in_order(), 0.0, DRAWN_SMOOTH),
+        ]
+    )
+
+
 def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log-likelihood ratio of each pair of characters, from counts over all texts.
+    """The models, from counts over all texts.
 
     The counts are a table of two times N * N numbers, whatever the corpus.
     """
@@ -136,46 +228,51 @@ def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
     counts = np.zeros((2, N * N))
     for row in rows.groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():
         counts[row.model, row.pair] = row.n
-    counts = counts.reshape(2, N, N)
-    # A symbol with few samples leans on the model's distribution of single characters, in the
-    # identifier model the more, as secrets that no pattern finds are among its samples.
-    single = counts.sum(1) + 1.0
-    single /= single.sum(1, keepdims=True)
-    joint = counts + np.array([20.0, 5000.0])[:, None, None] * single[:, None, :]
-    joint /= joint.sum(2, keepdims=True)
-    weights = np.array([0.5, SMOOTH])[:, None, None]
-    smooth = (1 - weights) * joint + weights / (N - 1)
-    return np.log(smooth[0]) - np.log(smooth[1])
+    return models(counts)
+
+
+def _random(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chains: np.ndarray) -> np.ndarray:
+    """Which runs are random strings by the log-likelihood ratio."""
+    flat = chains.reshape(len(chains), -1)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    at = np.flatnonzero(letters[ends] > letters[starts])
+    # No ratio exceeds the sum over characters of the best random model against the corpus's identifiers.
+    most = flat[:SECRET_MODELS].max(0) - flat[SECRET_MODELS]
+    for bounds in (most[None], flat):
+        if not len(at):
+            break
+        sizes = ends[at] - starts[at]
+        pairs = _pairs(data, starts[at], ends[at])
+        before = np.cumsum(sizes) - sizes
+        sums = np.stack([np.add.reduceat(x[pairs], before) for x in bounds])
+        ratio = sums[0] if len(bounds) == 1 else sums[:SECRET_MODELS].max(0) - sums[SECRET_MODELS:].max(0)
+        at = at[(ratio >= RATIO) & (ratio >= MEAN_RATIO * sizes)]
+    found = np.zeros(len(starts), bool)
+    found[at] = True
+    return found
 
 
 def all_spans(
-    data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray
+    data: np.ndarray, offsets: np.ndarray, chains: np.ndarray
 ) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes of the patterns' and the models' spans, sorted."""
     spans = pattern_spans(data, offsets)
-    starts, ends = _runs(_CODES[data] > 0, offsets, LEAST)
+    starts, ends = _key_runs(data, offsets)
     free = ~_covered(spans, starts, ends)
     starts, ends = starts[free], ends[free]
+    secret = _random(data, starts, ends, chains)
     found = [s[:3] for s in spans]
-    if len(starts):
-        sizes = ends - starts
-        before = np.cumsum(sizes) - sizes
-        ratio = np.add.reduceat(ratios.ravel()[_pairs(data, starts, ends)], before)
-        secret = (ratio >= RATIO) & (ratio >= MEAN_RATIO * sizes)
-        for a, b in zip(starts[secret].tolist(), ends[secret].tolist()):
-            run = data[a:b].tobytes()
-            if re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run):
-                found.append((a, 3, b))
+    found += [(a, 3, b) for a, b in zip(starts[secret].tolist(), ends[secret].tolist())]
     return sorted(found)
 
 
-def scan(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, chains: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans): the spans of each text by start, then kind in the order of ``KINDS``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = text_bytes(batch.column("text"))
-            found = all_spans(data, offsets, ratios)
+            found = all_spans(data, offsets, chains)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             rows: list[list[dict]] = [[] for _ in range(len(batch))]
             for start, kind, end in found:
@@ -209,7 +306,7 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(
-    docs: DataFrame, ratios: np.ndarray, text: str = "text", mark: str = "[secret]"
+    docs: DataFrame, chains: np.ndarray, text: str = "text", mark: str = "[secret]"
 ) -> DataFrame:
     """The same rows and columns, each secret in the text replaced by ``mark``; overlapping ones by one."""
 
@@ -218,7 +315,7 @@ def redact(
             column = batch.column(text)
             data, offsets = text_bytes(column)
             texts: dict[int, list[tuple[int, int]]] = {}
-            for start, _, end in all_spans(data, offsets, ratios):
+            for start, _, end in all_spans(data, offsets, chains):
                 spans = texts.setdefault(int(np.searchsorted(offsets, start, side="right")) - 1, [])
                 if spans and start < spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(end, spans[-1][1]))

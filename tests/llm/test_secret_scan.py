@@ -3,8 +3,12 @@
 import random
 import re
 import string
+import uuid
+
+import pyarrow as pa
 
 from rillhouse.llm import secret_scan as S
+from rillhouse.llm.arrow import text_bytes
 
 ASSIGN = re.compile(
     r"""(?:[pP][aA][sS]{2}[wW][oO][rR][dD]|[pP][aA][sS]{2}[wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"""
@@ -45,8 +49,8 @@ def test_scan_and_redact(spark):
     texts, planted = corpus()
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, texts[2], "x"), (2, texts[2], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)
-    ratios = S.fit(docs)
-    found = S.scan(docs, ratios).collect()
+    chains = S.fit(docs)
+    found = S.scan(docs, chains).collect()
     assert len(found) == len(rows)
     caught = set()
     for row in found:
@@ -58,7 +62,7 @@ def test_scan_and_redact(spark):
                 assert planted.get(row.doc_id) == text[start:end], text[start:end]
                 caught.add(row.doc_id)
     assert len(caught) >= 0.9 * len(planted)
-    clean = {r.doc_id: r.text for r in S.redact(docs, ratios).collect() if r.doc_id is not None}
+    clean = {r.doc_id: r.text for r in S.redact(docs, chains).collect() if r.doc_id is not None}
     for i in caught:
         assert clean[i] == texts[i].replace(planted[i], "[secret]")
     assert clean[len(texts) - 7] == "" and clean[len(texts) - 8] is None
@@ -68,6 +72,89 @@ def test_scan_and_redact(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    ratios = S.fit(docs)
-    assert S.scan(docs, ratios).collect() == []
-    assert S.redact(docs, ratios).collect() == []
+    chains = S.fit(docs)
+    assert S.scan(docs, chains).collect() == []
+    assert S.redact(docs, chains).collect() == []
+
+
+IDENTIFIERS = """ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 getElementsByTagName MAX_RETRY_COUNT_EXCEEDED
+    internationalization http://www.example.com/en/index.html?id=1 some_long_identifier_name_of_code_2
+    org.apache.spark.sql.functions 2023-01-01T00:00:00.000Z com.example.service.UserAccountManagerImpl
+    NullPointerException v1.2.3-beta.4 XMLHttpRequest aaaaaaaaaaaaaaaaaaaaaaaa 0123456789abcdef
+    ISO-8859-1 utf-8 x86_64-unknown-linux-gnu README.md spark.sql.shuffle.partitions 4785380592391139
+    +49-151-2345-6789 someone.else@mail2.example.com ---------------- .......... ==========""".split()
+
+
+def keys():
+    """Random keys of kinds that no pattern finds."""
+    rng = random.Random(9)
+    kinds = {
+        "long": (string.ascii_letters + string.digits, 40),
+        "short": (string.ascii_letters + string.digits, 16),
+        "url": (string.ascii_letters + string.digits + "-_", 43),
+        "letters": (string.ascii_letters, 24),
+        "upper": (string.ascii_uppercase + "234567", 16),
+        "hex": ("0123456789abcdef", 24),
+    }
+    drawn = {k: ["x" + "".join(rng.choice(a) for _ in range(n)) + "x" for _ in range(300)] for k, (a, n) in kinds.items()}
+    drawn["dashed"] = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(300)]
+    return drawn
+
+
+def ordinary():
+    """Texts with URLs, dotted names, versions and codes, as the models learn them from a corpus."""
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice("the on ing er ti ou ha re and str net site core data".split()) for _ in range(rng.randint(1, 3)))
+    forms = (
+        lambda: f"http://{part()}.example.com/{part()}/{part()}.html",
+        lambda: ".".join(["org", part(), part(), part().title() + part().title()]),
+        lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}-{part()}.{rng.randint(1, 9)}",
+        lambda: f"{part().upper()}-{rng.randint(1, 9000)}-{rng.randint(1, 20)}",
+        lambda: f"x86_{rng.randint(32, 64)}-{part()}-{part()}-{part()}",
+        lambda: f"{part()}.{part()}@mail{rng.randint(1, 9)}.example.com",
+    )
+    return [" ".join(rng.choice(forms)() for _ in range(20)) for _ in range(100)]
+
+
+def marked(texts, chains):
+    """What the models find in each text."""
+    data, offsets = text_bytes(pa.array(texts))
+    found = [[] for _ in texts]
+    for start, kind, end in S.all_spans(data, offsets, chains):
+        if S.KINDS[kind] == "markov":
+            row = next(i for i in range(len(texts)) if offsets[i] <= start < offsets[i + 1])
+            found[row].append(data[start:end].tobytes().decode())
+    return found
+
+
+def test_keys_without_a_pattern(spark):
+    texts = [t for t in corpus()[0] if t and len(t) < 10_000] + ordinary()
+    chains = S.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for kind, samples in keys().items():
+        found = marked([f"see {s}. then" for s in samples], chains)
+        assert sum(f == [s] for f, s in zip(found, samples)) >= 0.9 * len(samples), kind
+    false = [x for f in marked([f"see {s} then" for s in IDENTIFIERS], chains) for x in f]
+    assert len(false) <= 0.1 * len(IDENTIFIERS), false
+
+
+def test_ratio_of_plain_loops(spark):
+    """The prefilter drops no run, and the ratio is that of character by character."""
+    texts = [t for t in corpus()[0] if t and len(t) < 10_000]
+    chains = S.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    runs = [s for samples in keys().values() for s in samples[:40]] + IDENTIFIERS + " ".join(texts[:20]).split()
+    for text, found in zip(runs, marked(runs, chains)):
+        covered = base(text)
+        expected = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+            run = m[0].strip("-.")
+            at = m.start() + m[0].index(run) if run else 0
+            if len(run) < S.COUNTED or not re.search("[A-Za-z]", run):
+                continue
+            if any(a < at + len(run) and at < b for a, _, b in covered):
+                continue
+            codes = [0, *(S._CODES[ord(c)] for c in run)]
+            sums = [sum(c[x, y] for x, y in zip(codes, codes[1:])) for c in chains]
+            ratio = max(sums[: S.SECRET_MODELS]) - max(sums[S.SECRET_MODELS :])
+            if ratio >= S.RATIO and ratio >= S.MEAN_RATIO * len(run):
+                expected.append(run)
+        assert found == expected, text
