@@ -6,6 +6,11 @@ a distribution over the languages from the states of both directions, and a docu
 is the normalised geometric mean of its bytes'. Gates and states use ``x / (1 + |x|)`` in place of
 the exponential functions, which cost most of the time otherwise.
 
+The network always prefers one of its languages, however foreign a text is. ``keep_known`` therefore
+also asks for spelling: the log-likelihood of the pairs of letters, by the best of the languages, must
+come up to what held-back windows of labelled texts show. Random letters and languages of another
+spelling or script do not; one whose spelling is close to a labelled language's does.
+
 A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
 labelled. Equal texts get equal results; null and repeated ids keep their rows; of the input only the
 named columns are read.
@@ -35,7 +40,17 @@ HIDDEN = 12
 EPOCHS, BATCH, RATE = 3, 192, 0.01
 #: Steps of training at least: a small sample is gone through more often.
 STEPS = 240
+#: Spelling: one window in so many is held back, the share of these that may fall short, and how far
+#: below that share (nats a pair) and how many standard errors a text may lie.
+HELD_BACK, SHORT_SHARE, SLACK, ERRORS = 4, 0.001, 0.5, 4.0
 _PAD = 256
+_FOLD = np.full(256, 32, np.uint8)
+_FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
+_FOLD[128:] = np.arange(128, 256)
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -224,12 +239,8 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Network:
-    """Trains on at most ``DOCUMENTS`` documents of each language, ``WINDOWS`` windows of each.
-
-    They are the first by a hash of their id; held-out documents and those without a label or text
-    are left out.
-    """
+def _sample(docs: DataFrame, key: str, text: str, label: str) -> list[tuple[str, bytes]]:
+    """(language, window) of the sample, sorted."""
     rows = docs.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(text).alias("text"))
     rows = rows.where(~held_out("id") & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
@@ -237,7 +248,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     chosen = chosen.where(F.col("rank") <= DOCUMENTS).select(F.col("id").alias("chosen_id")).distinct()
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id"), "left_semi")
     found = sample.select("text", "label").mapInArrow(_cut, "window binary, label string").collect()
-    found = sorted((r.label, bytes(r.window)) for r in found)
+    return sorted((r.label, bytes(r.window)) for r in found)
+
+
+def _network(found: list[tuple[str, bytes]]) -> Network:
     languages = sorted({x for x, _ in found})
     if not languages:
         empty = Direction(*(np.zeros(s, np.float32) for s in ((3, 257), (3, 1), (0, 1))))
@@ -246,6 +260,96 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return train([w for _, w in found], labels, languages)
 
 
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Network:
+    """Trains on at most ``DOCUMENTS`` documents of each language, ``WINDOWS`` windows of each.
+
+    They are the first by a hash of their id; held-out documents and those without a label or text
+    are left out.
+    """
+    return _network(_sample(docs, key, text, label))
+
+
+def fit_known(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang"
+) -> tuple[Network, Spelling]:
+    """The network and the spelling of its languages, from the same sample."""
+    found = _sample(docs, key, text, label)
+    return _network(found), fit_spelling(found)
+
+
+@dataclass
+class Spelling:
+    """Log probabilities of pairs of folded bytes (languages x 65,536), and what a text must reach."""
+
+    pairs: np.ndarray
+    least: float
+    deviation: float
+
+    def means(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-likelihood a pair of each text by its best language, and the number of its pairs."""
+        codes, rows = _letter_pairs(data, offsets)
+        size = np.bincount(rows, minlength=len(offsets) - 1)
+        sums = [np.bincount(rows, table[codes], len(size)) for table in self.pairs]
+        return np.max(sums, 0) / np.maximum(size, 1), size
+
+    def known(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text is spelled like one of the languages; one without a pair passes."""
+        if not len(self.pairs):
+            return np.ones(len(offsets) - 1, bool)
+        mean, size = self.means(data, offsets)
+        return (size == 0) | (mean >= self.least - ERRORS * self.deviation / np.sqrt(np.maximum(size, 1)))
+
+
+def _letter_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a folded byte after another, and their texts.
+
+    A-Z count as a-z and all but letters as a space; pairs of two spaces are left out, and so are
+    tokens with a digit, as numbers and keys belong to no language, unless a text has no others.
+    """
+    folded = _FOLD[data]
+    before = np.empty_like(folded)
+    before[1:] = folded[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = 32
+    gap = _SPACE[data]
+    gap[offsets[:-1][offsets[:-1] < len(data)]] = True
+    token = np.cumsum(gap)
+    coded = np.bincount(token[_DIGIT[data]], minlength=(int(token[-1]) if len(token) else 0) + 1) > 0
+    at = np.flatnonzero((folded != 32) | (before != 32))
+    rows = np.searchsorted(offsets, at, side="right") - 1
+    plain = ~coded[token[at]]
+    plain |= (np.bincount(rows[plain], minlength=len(offsets)) == 0)[rows]
+    at, rows = at[plain], rows[plain]
+    return before[at].astype(np.int64) * 256 + folded[at], rows
+
+
+def fit_spelling(found: list[tuple[str, bytes]]) -> Spelling:
+    """Counts of pairs in each language's windows; those held back set what a text must reach."""
+    tables, held = [], [w for i, (_, w) in enumerate(found) if i % HELD_BACK == 0]
+    for language in sorted({x for x, _ in found}):
+        windows = [w for i, (x, w) in enumerate(found) if x == language and i % HELD_BACK]
+        counts = np.bincount(_letter_pairs(*_joined(windows))[0], minlength=1 << 16).reshape(256, 256)
+        single = counts.sum(0) + 0.5
+        joint = counts + 20 * single / single.sum()
+        tables.append(np.log(0.99 * joint / joint.sum(1, keepdims=True) + 0.01 / 256).ravel())
+    if not tables:
+        return Spelling(np.zeros((0, 1 << 16)), 0.0, 0.0)
+    model = Spelling(np.array(tables), 0.0, 0.0)
+    mean, size = model.means(*_joined(held))
+    mean, size = mean[size > 0], size[size > 0]
+    if not len(mean):
+        return Spelling(np.zeros((0, 1 << 16)), 0.0, 0.0)
+    # Of a single pair, as the windows show it: their own spread, times the root of their size.
+    model.deviation = float(np.sqrt(np.mean(size * (mean - mean.mean()) ** 2)))
+    reached = mean + ERRORS * model.deviation / np.sqrt(size)
+    model.least = float(np.quantile(reached, SHORT_SHARE)) - SLACK
+    return model
+
+
+def _joined(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in windows], dtype=np.int64)]).astype(np.int64)
+    return np.frombuffer(b"".join(windows), np.uint8), offsets
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes (T x N) of all texts' windows, and the text of each window."""
     sizes = np.diff(offsets)
@@ -319,14 +423,14 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
     return found.withColumnRenamed("id", key)
 
 
-def keep_known(docs: DataFrame, net: Network, least: float, text: str = "text") -> DataFrame:
-    """The rows, with all columns, whose language is known with at least the score."""
+def keep_known(docs: DataFrame, net: Network, spelling: Spelling, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose language the network names and the spelling confirms."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Small pieces: the network's states take some 150 bytes a byte of text.
         for batch in pieces(batches, text, PIECE_BYTES // 4):
-            names, score, _ = label_texts(net, batch.column(text))
-            keep = (names != UNKNOWN) & (score >= least)
+            names, _, _ = label_texts(net, batch.column(text))
+            keep = (names != UNKNOWN) & spelling.known(*text_bytes(batch.column(text)))
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
