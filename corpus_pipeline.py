@@ -1,6 +1,6 @@
 """A corpus pipeline: stages over the documents, each written and read again.
 
-Languages that the model cannot tell go, one document of each near-duplicate group stays, documents
+Documents in no labelled language go, one document of each near-duplicate group stays, documents
 with test items go, secrets are blotted out of the texts, and what is left is encoded. Each stage
 works on all rows that the one before it kept. Rows without an id pass the two stages that compare
 documents; an empty table passes all. Input columns beyond those of the documents stay to the end.
@@ -17,13 +17,10 @@ from rillhouse.llm import byte_bpe, decontaminate, language_id, ngram_join, secr
 from rillhouse.llm.sieve import without
 from rillhouse.llm.tables import table, written
 
-#: Least score of a document's language.
-LANGUAGE_SCORE = 0.3
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model tells; those without a letter go."""
-    return language_id.keep_known(docs, language_id.fit(docs), LANGUAGE_SCORE)
+    """Documents in a labelled language; those without a letter or spelled like none of them go."""
+    return language_id.keep_known(docs, *language_id.fit_known(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
