@@ -6,9 +6,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that a batch function works on at once; a longer text comes alone.
 PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker and back, where the session keeps Spark's default.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches hold ``BATCH_BYTES`` or one row, unless it has its own bound."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("b")) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -426,12 +426,15 @@ def predict(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "tex
 def keep_known(docs: DataFrame, net: Network, spelling: Spelling, text: str = "text") -> DataFrame:
     """The rows, with all columns, whose language the network names and the spelling confirms."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        found = [pa.array([], pa.bool_())]
         # Small pieces: the network's states take some 150 bytes a byte of text.
-        for batch in pieces(batches, text, PIECE_BYTES // 4):
-            names, _, _ = label_texts(net, batch.column(text))
-            keep = (names != UNKNOWN) & spelling.known(*text_bytes(batch.column(text)))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+        for piece in pieces([batch], size=PIECE_BYTES // 4):
+            names, _, _ = label_texts(net, piece.column("text"))
+            found.append(pa.array((names != UNKNOWN) & spelling.known(*text_bytes(piece.column("text")))))
+        return pa.concat_arrays(found)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the texts go to the model and only its verdict comes back.
+    return docs.where(known(F.col(text)))
