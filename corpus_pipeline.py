@@ -4,6 +4,9 @@ Documents in no labelled language go, one document of each near-duplicate group
 with test items go, secrets are blotted out of the texts, and what is left is encoded. Each stage
 works on all rows that the one before it kept. Rows without an id pass the two stages that compare
 documents; an empty table passes all. Input columns beyond those of the documents stay to the end.
+
+The first stage bounds the session's Arrow batches by bytes, if the session has no bound of its own:
+whole texts in batches of 10,000 rows take much of an executor's memory on both sides.
 """
 
 from __future__ import annotations
@@ -14,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillhouse.llm import byte_bpe, decontaminate, language_id, ngram_join, secret_scan
+from rillhouse.llm.arrow import small_batches
 from rillhouse.llm.sieve import without
 from rillhouse.llm.tables import table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a labelled language; those without a letter or spelled like none of them go."""
+    small_batches(spark)
     return language_id.keep_known(docs, *language_id.fit_known(docs))
 
 
