@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rillhouse import schemas
+from rillhouse import registry, schemas
 from rillhouse.operators import dimensions
 from rillhouse.sinks.tables import (
     current_dimensions,
@@ -193,3 +193,12 @@ def test_a_table_follows_its_configuration(spark):
     assert [tuple(r) for r in spark.table("follow.dim_user").collect()] == [("1", "n", None)]
     assert properties()["active_columns"] == "id,age" and properties()["primary_key"] == "id"
     spark.sql("drop database follow cascade")
+
+
+def test_change_text_of_one_task_is_read_by_several(spark):
+    """A file holds few rows, so a table that one task writes is not left to one task again."""
+    path = f"{new_folder(spark, 'text')}/topic_db"
+    rows = 2 * registry.ROWS_PER_FILE + 1
+    registry._append_text(spark.range(0, rows, 1, 1).select(F.col("id").cast("string").alias("value")), path)
+    written = spark.read.parquet(path)
+    assert (len(written.inputFiles()), written.count()) == (3, rows)
