@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rillhouse.llm.arrow import pieces
+from rillhouse.llm.arrow import WORDS_BYTES, pieces
 
 #: Counters of the sketch, whatever the corpus.
 COUNTERS = 1 << 20
@@ -43,8 +43,8 @@ def frequency_classes(
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in pieces(batches):
-            counts += np.bincount(_counter(tokens(batch)), minlength=COUNTERS)
+        for batch in pieces(batches, size=WORDS_BYTES):
+            np.add.at(counts, _counter(tokens(batch)), 1)
         if counts.any():
             for i in range(0, COUNTERS, _BLOCK):
                 some = counts[i : i + _BLOCK].tobytes()

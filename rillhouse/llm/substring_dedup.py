@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import lists, pieces, text_bytes
+from rillhouse.llm.arrow import WORDS_BYTES, lists, pieces, rows_of, small_batches, text_bytes
 from rillhouse.llm.automaton import SuffixAutomaton
 from rillhouse.llm.sieve import sieve, sifted
 from rillhouse.llm.sketch import classes_of, frequency_classes
@@ -38,8 +38,8 @@ from rillhouse.llm.words import row_sums, span_hashes, window_hashes, window_sta
 WINDOW, ANCHOR = 50, 8
 #: Windows of a passage at most: the bits of a mask.
 MASK = 62
-#: Passages of one automaton.
-SHARD = 256
+#: Passages of one automaton, and those whose words are held as Python numbers at once.
+SHARD, ROWS = 256, 256
 #: An anchor is frequent if its counter is this far above the mean, in standard deviations and counts.
 SIGMAS, LEAST = 6.0, 32
 
@@ -62,7 +62,7 @@ def _passages(classes: np.ndarray, window: int, anchor: int):
     """The passages of each text: anchor, hash, first word, and windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=WORDS_BYTES):
             words = words_of(*text_bytes(batch.column("text")))
             starts, counts = window_starts(words.bounds, window)
             if not len(starts):
@@ -107,7 +107,7 @@ def _spell(window: int):
     """The words of the chosen passages of each text, as hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=WORDS_BYTES):
             words = words_of(*text_bytes(batch.column("text")))
             out, values = [], []
             for row, chosen in enumerate(batch.column("chosen").to_pylist()):
@@ -149,7 +149,7 @@ def _match(window: int):
                 automaton.finish()
             return [x for x in (stream(*p) for p in own) if x]
 
-        for batch in batches:
+        for batch in rows_of(batches, ROWS):
             found = []
             names = ("anchor", "passage", "first", "shard", "part", "role", "words")
             for a, p, first, shard, part, role, sequence in zip(*(batch.column(c).to_pylist() for c in names)):
@@ -181,7 +181,7 @@ def _cut(window: int):
     """The kept words of each text, joined by one space."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=WORDS_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             words = words_of(data, offsets)
             steps = np.zeros(len(words.hashes) + 1, np.int64)
@@ -277,6 +277,7 @@ def remove_repeats(
     shard: int = SHARD,
 ) -> DataFrame:
     """(key, n_words, n_removed, kept): the kept words of each text, joined by one space."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     texts = texts.withColumn("tag", F.xxhash64("text"))
     classes, _ = frequency_classes(texts, _anchors, SIGMAS, LEAST)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from rillhouse.llm.arrow import PIECE_BYTES
+from rillhouse.llm.arrow import WORDS_BYTES
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
+        size = 1 << max(n - 1, WORDS_BYTES).bit_length()
         tables = []
         for base in (_BASE, _BASE_INVERSE):
             table = np.empty(size, np.uint64)
@@ -107,7 +107,7 @@ def words_of(
     table = _LOWER_BYTES if lower else _BYTES
     at = 0
     while at < len(starts):
-        stop = max(int(np.searchsorted(ends, starts[at] + PIECE_BYTES)), at + 1)
+        stop = max(int(np.searchsorted(ends, starts[at] + WORDS_BYTES)), at + 1)
         base = starts[at]
         block = table[data[base : ends[stop - 1]]]
         hashes[at:stop] = span_hashes(block, starts[at:stop] - base, ends[at:stop] - base)
