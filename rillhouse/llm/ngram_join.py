@@ -41,7 +41,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import binaries, pieces, text_bytes
+from rillhouse.llm.arrow import WORDS_BYTES, binaries, pieces, small_batches, text_bytes
 from rillhouse.llm.components import components
 from rillhouse.llm.sieve import sieve, sifted, without
 from rillhouse.llm.sketch import classes_of, frequency_classes
@@ -125,7 +125,7 @@ def fewest(n: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of tokens and two hashes of each set; the tag is passed on."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, size=WORDS_BYTES):
         tokens, counts = _tokens(batch)
         rows = np.repeat(np.arange(len(counts)), counts)
         spread = mix(tokens)
@@ -160,17 +160,20 @@ def _pack(classes: np.ndarray, buckets: int, whole: bool):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            tokens, counts = _tokens(batch)
-            ids = batch.column("id").to_numpy()
-            ends = np.cumsum(counts)
-            class_of = classes_of(tokens, classes)
+            ids, counts = batch.column("id").to_numpy(), []
             kinds: tuple[list, list] = ([], [])
-            for row, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
-                if start < end:
-                    rare, others, alone = index_keys(tokens[start:end], class_of[start:end], whole)
-                    tried = len(rare) if alone else -len(rare) - 1
-                    for kind, keys in zip(kinds, (rare, others)):
-                        kind.append((keys, np.full(len(keys), row), np.full(len(keys), tried, np.int32)))
+            for some in pieces([batch], size=WORDS_BYTES):
+                tokens, number = _tokens(some)
+                ends = np.cumsum(number)
+                class_of = classes_of(tokens, classes)
+                for row, (start, end) in enumerate(zip((ends - number).tolist(), ends.tolist()), sum(map(len, counts))):
+                    if start < end:
+                        rare, others, alone = index_keys(tokens[start:end], class_of[start:end], whole)
+                        tried = len(rare) if alone else -len(rare) - 1
+                        for kind, keys in zip(kinds, (rare, others)):
+                            kind.append((keys, np.full(len(keys), row), np.full(len(keys), tried, np.int32)))
+                counts.append(number)
+            counts = np.concatenate(counts)
             for is_rare, kind in zip((True, False), kinds):
                 if not kind:
                     continue
@@ -201,8 +204,10 @@ def _meet(table: pa.Table) -> pa.Table:
     for is_rare in (True, False):
         some = table.filter(pa.compute.equal(table.column("rare"), is_rare))
         kinds = (("keys", np.uint64), ("ids", np.int64), ("sizes", np.uint32), ("tried", np.int32))
+        # Straight from the column's buffers: no further copy of a bucket as Python values.
         keys, ids, sizes, tried = (
-            np.frombuffer(b"".join(some.column(c).to_pylist()), kind) for c, kind in kinds
+            np.concatenate([np.empty(0, np.uint8), *(text_bytes(x)[0] for x in some.column(c).chunks)]).view(kind)
+            for c, kind in kinds
         )
         held = np.full(len(keys), _MANY)
         if is_rare:
@@ -268,7 +273,7 @@ def _selected(shared: DataFrame, whole: bool) -> DataFrame:
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among rows sorted by (a, salt, b): the rows without b have the texts of a."""
     current, sets = None, []
-    for batch in pieces(batches):
+    for batch in pieces(batches, size=WORDS_BYTES):
         tokens, counts = _tokens(batch)
         ends = np.cumsum(counts)
         found = []
@@ -346,7 +351,7 @@ def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bitmap of each text, in which each token flips one bit."""
-    for batch in pieces(batches):
+    for batch in pieces(batches, size=WORDS_BYTES):
         tokens, counts = _tokens(batch)
         at = (tokens >> np.uint64(20)) % np.uint64(BITS)
         word = np.repeat(np.arange(len(counts)) * (BITS // 64), counts) + (at >> np.uint64(6)).astype(np.int64)
@@ -463,6 +468,7 @@ def _links(bucket: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of each row; the key is a 64-bit integer."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     classes, total = frequency_classes(texts, _hashes, SIGMAS, LEAST)
     tag = F.xxhash64("id", "text").alias("tag")

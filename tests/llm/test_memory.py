@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from rillhouse.llm import sketch, substring_dedup, words
+from rillhouse.llm import ngram_join, sketch, substring_dedup, words
 
 MB = 1 << 20
 
@@ -53,6 +53,21 @@ def test_matching_holds_few_rows_as_python_numbers():
     assert peak(substring_dedup._match(50), batch) < 10
 
 
+def test_sets_and_keys_hold_little():
+    batch, rare = _batch(4), np.zeros(sketch.COUNTERS, np.uint8)
+    assert peak(ngram_join._sets, batch) < 20
+    assert peak(ngram_join._pack(rare, 38, False), batch) < 20
+
+
+def test_packed_rows_are_numbered_over_small_pieces():
+    batch = _batch(1)
+    packed = pa.Table.from_batches(list(ngram_join._pack(np.zeros(sketch.COUNTERS, np.uint8), 1, True)([batch])))
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in packed.column("ids").to_pylist()])
+    sizes = np.concatenate([np.frombuffer(x, np.uint32) for x in packed.column("sizes").to_pylist()])
+    assert np.array_equal(np.bincount(ids), np.full(len(batch), 246))
+    assert set(sizes.tolist()) == {246}
+
+
 def test_same_hashes_whatever_the_tables():
     data = np.frombuffer(b"one two three " * 60_000, np.uint8)
     offsets = np.array([0, 400_000, len(data)])
