@@ -41,7 +41,7 @@ COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node: one hexadecimal digit.
 FAN = 16
 _LEVELS = 16
-_RECORD = "digest string, children array<string>"
+_RECORD = {"digest": "string", "children": "array<string>"}
 
 
 def leaf_digest(columns: Mapping[str, Column] | Sequence[str] = COLUMNS) -> Column:
@@ -136,7 +136,9 @@ def build(
     placed = lookup_join(leaves, head, ("g", "of"), "inner")
     path = F.concat("head", _digits("rank", "depth")).alias("path")
     placed = placed.select("id", F.col("digest").alias("leaf"), path, *more)
-    stored = reduce(DataFrame.unionByName, records + top_records, spark.createDataFrame([], _RECORD))
+    # Without a Python worker, which local rows would start on each executor.
+    none = spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in _RECORD.items()))
+    stored = reduce(DataFrame.unionByName, records + top_records, none)
     stored = stored.dropDuplicates(["digest"])
     return Manifest(written(placed, "leaves"), written(stored, "records"), root and root.digest, digits)
 

@@ -134,3 +134,18 @@ def test_empty_table(spark):
     manifest = merkle.build(spark.createDataFrame([], COLUMNS))
     assert manifest.root is None and manifest.records.count() == 0
     assert found_proofs(manifest) == []
+
+
+def test_no_rows_from_the_driver(spark, monkeypatch):
+    """Rows made on the driver come through a Python worker on each executor, beside its heap."""
+    rows = spark.range(40).selectExpr(
+        "id as doc_id", "'s' as source", "'en' as lang", "1L as n_chars", "cast(id as string) as text"
+    )
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows made on the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    manifest = merkle.build(rows)
+    assert manifest.records.count() == 4 and manifest.leaves.count() == 40
+    assert merkle.build(rows.where("false")).records.isEmpty()
