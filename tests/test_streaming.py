@@ -97,6 +97,22 @@ def test_dropped_rows_are_counted(spark):
     assert listener.rows == {str(query.id): 3}
 
 
+def test_devices_share_bounce_states(spark):
+    """Many devices are settled in few calls, each by its own rows."""
+    schema = "mid string, last_page_id string, ts bigint, seq bigint, value string"
+    rows = [(f"m{i}", "p" if j else None, 100_000 + 4_000 * j * (i % 2) + 20_000 * j, 2 * i + j, "v") for i in range(1500) for j in (0, 1)]
+    rows += [(f"n{i}", "p" if j else None, 100_000 + 4_000 * j, 4000 + 2 * i + j, "v") for i in range(1500) for j in (0, 1)]
+    folder, root = new_folder(spark, "in"), new_folder(spark, "out")
+    for part in (rows, [("far", None, 900_000, 9, "v")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        query = jobs.start_user_jump(parquet_rows(spark, folder, spark.createDataFrame([], schema).schema), root, 10_000)
+        query.awaitTermination()
+        held = max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+        assert held <= processors.BOUNCE_GROUPS
+    got = rows_of(spark.read.parquet(f"{root}/dwd_traffic_user_jump_detail"), "mid")
+    assert got == sorted((f"m{i}",) for i in range(1500))
+
+
 def test_unique_visitor_forgets_no_late_row(spark):
     schema = "mid string, last_page_id string, ts bigint, seq bigint"
     day, folder, root = 86_400_000, new_folder(spark, "in"), new_folder(spark, "out")
