@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from rillhouse import registry
 from rillhouse.operators import skew
 
 
@@ -102,3 +103,18 @@ def test_few_keys_are_collected(spark):
     """The number of hot keys is bounded by the shuffle width, not by the data."""
     a = spark.range(50_000).select(F.col("id").cast("string").alias("a"))
     assert skew.find_hot_keys(a=(a, F.col("a")))["a"] == {}
+
+
+def test_shuffles_start_with_partitions_of_bounded_size(spark, monkeypatch):
+    """The trade joins of a large table start with more partitions than the session's."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(skew, "SHUFFLE_BYTES", 2_000)
+    try:
+        rows = registry.queries()["trade_order_detail"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name, "1")) > 8
+        placed = rows.collect()
+    finally:
+        spark.conf.unset(name)
+    monkeypatch.undo()
+    again = registry.queries()["trade_order_detail"](spark, "/root/testdata/sf0.001").collect()
+    assert Counter(placed) == Counter(again)
