@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import pieces, text_bytes
+from rillhouse.llm.arrow import pieces, small_batches, text_bytes
 from rillhouse.llm.sieve import BITS
 from rillhouse.llm.tables import written
 from rillhouse.llm.words import mix, window_hashes, words_of
@@ -51,10 +51,11 @@ NUMBER_BITS, SIDE = 20, 8
 CELLS = 1 << 2 * SIDE
 #: Cells of a tile from which a batch of them is counted densely.
 DENSE = CELLS // 16
-#: Dense tiles that a task keeps at once, and pairs it gathers before it counts them.
+#: Dense tiles that a task keeps at once, pairs it gathers before it counts them, and counts that leave together.
 KEPT_TILES = 64
-PAIRS = 1 << 20
-_TEXT_BYTES = 2 << 20
+PAIRS = 1 << 19
+LEAVING = 1 << 16
+_TEXT_BYTES = 1 << 20
 
 _AS_SPACE = np.arange(256, dtype=np.uint8)
 _AS_SPACE[list(b".,;:!?")] = 32
@@ -254,13 +255,15 @@ def _code(place: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return tile << 2 * SIDE | (one & _LOW) << SIDE | two & _LOW
 
 
-def _counts(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Counted codes as rows of a language's place, a pair and its count."""
-    tile = codes >> 2 * SIDE
-    one = (tile >> _TILE_BITS & (1 << _TILE_BITS) - 1) << SIDE | codes >> SIDE & _LOW
-    two = (tile & (1 << _TILE_BITS) - 1) << SIDE | codes & _LOW
-    pair = (tile >> 2 * _TILE_BITS) << 2 * NUMBER_BITS | _pair(one, two)
-    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts)], names=["pair", "n"])
+def _counts(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted codes as rows of a language's place, a pair and its count, ``LEAVING`` at a time."""
+    for start in range(0, len(codes), LEAVING):
+        some = codes[start : start + LEAVING]
+        tile = some >> 2 * SIDE
+        one = (tile >> _TILE_BITS & (1 << _TILE_BITS) - 1) << SIDE | some >> SIDE & _LOW
+        two = (tile & (1 << _TILE_BITS) - 1) << SIDE | some & _LOW
+        pair = (tile >> 2 * _TILE_BITS) << 2 * NUMBER_BITS | _pair(one, two)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts[start : start + LEAVING])], names=["pair", "n"])
 
 
 class Tiles:
@@ -273,16 +276,18 @@ class Tiles:
 
     def add(self, place: int, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Takes in pairs of a language; their numbers are below 2 to the power ``NUMBER_BITS``."""
-        self.waiting.append(_code(place, one, two))
-        self.size += len(one)
-        if self.size >= PAIRS:
-            yield from self._count()
+        for start in range(0, len(one), PAIRS):
+            self.waiting.append(_code(place, one[start : start + PAIRS], two[start : start + PAIRS]))
+            self.size += len(self.waiting[-1])
+            if self.size >= PAIRS:
+                yield from self._count()
 
     def _count(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        codes = np.sort(np.concatenate(self.waiting))
+        codes = np.concatenate(self.waiting)
         self.waiting, self.size = [], 0
+        codes.sort()
         tiles = codes >> 2 * SIDE
         starts = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]])
         sizes = np.diff(np.append(starts, len(tiles)))
@@ -298,14 +303,14 @@ class Tiles:
         codes = codes[rest]
         if len(codes):
             new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            yield _counts(codes[new], np.diff(np.append(new, len(codes))))
+            yield from _counts(codes[new], np.diff(np.append(new, len(codes))))
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         """What has not left yet."""
         yield from self._count()
         for tile, counts in self.dense.items():
             cells = np.flatnonzero(counts)
-            yield _counts(tile << 2 * SIDE | cells, counts[cells])
+            yield from _counts(tile << 2 * SIDE | cells, counts[cells])
 
 
 def frequent_pairs(encoded: DataFrame, levels: list[Numbers], words: Numbers, least: int) -> DataFrame:
@@ -405,6 +410,7 @@ def phrases(
     docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, numbered: int = NUMBERED
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, a) of the frequent phrases, single words too, (lang, n) of all words)."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs, lang, text)
     counts = written(word_counts(texts), "words")
     sizes = written(counts.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")

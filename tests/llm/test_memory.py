@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from rillhouse.llm import ngram_join, sketch, substring_dedup, words
+from rillhouse.llm import collocations, ngram_join, sketch, substring_dedup, words
 
 MB = 1 << 20
 
@@ -77,3 +77,26 @@ def test_same_hashes_whatever_the_tables():
     words._power_tables(1 << 21)
     assert np.array_equal(some.hashes, words.words_of(data, offsets).hashes)
     assert len(np.unique(some.hashes)) <= 5
+
+
+def test_words_of_phrases_hold_little():
+    batch = _batch(4)
+    batch = batch.append_column("lang", pa.array(["en"] * len(batch)))
+    assert peak(collocations._count_words, batch) < 55
+
+
+def test_pairs_leave_in_small_batches():
+    draw = np.random.default_rng(7).integers(0, 1 << collocations.NUMBER_BITS, (2, 1 << 21))
+    rows = 0
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal rows
+        tiles = collocations.Tiles()
+        for found in (tiles.add(0, *draw), tiles.rest()):
+            for batch in found:
+                rows += len(batch)
+                assert len(batch) <= collocations.LEAVING
+                yield batch
+
+    assert peak(run, None) < 60
+    assert rows > draw.shape[1] * 0.99
