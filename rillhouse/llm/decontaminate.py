@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.llm.arrow import pieces, text_bytes
+from rillhouse.llm.arrow import WORDS_BYTES, pieces, small_batches, text_bytes
 from rillhouse.llm.sieve import BITS, sieve, sifted
 from rillhouse.llm.tables import written
 from rillhouse.llm.words import Words, mix, window_hashes, window_starts, words_of
@@ -56,7 +56,7 @@ def needed(words: int) -> float:
 
 
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, size=WORDS_BYTES):
         keys, rows = _seeds(_words(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys.view(np.int64)), batch.column("item").take(pa.array(rows))], names=["seed", "item"]
@@ -68,7 +68,7 @@ def _hits(bitmap: np.ndarray):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.uint64(len(bitmap) * 8)
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=WORDS_BYTES):
             keys, rows = _seeds(_words(batch.column("text")))
             at = mix(keys) % bits
             byte = bitmap[(at >> np.uint64(3)).astype(np.int64)]
@@ -121,7 +121,7 @@ def bound(item: np.ndarray, passage: np.ndarray) -> float:
 
 
 def _align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, size=WORDS_BYTES):
         words, items = _words(batch.column("text")), _words(batch.column("item_text"))
         found = []
         for row in range(len(batch)):
@@ -165,6 +165,7 @@ def contaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """(key, item, score, start, end) of the documents that contain a test item; the span is in words."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).where("item is not null")
     kind = items.schema["item"].dataType.simpleString()

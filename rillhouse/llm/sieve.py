@@ -27,7 +27,7 @@ def sieve(ids: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
         for batch in batches:
             found[_places(batch.column(0).to_numpy(), bits)] = True
         block = 1 << 15
-        for i in np.unique(np.flatnonzero(found) // block).tolist():
+        for i in np.flatnonzero(found.reshape(-1, min(block, bits)).any(axis=1)).tolist():
             packed = np.packbits(found[i * block : (i + 1) * block], bitorder="little").tobytes()
             yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "bits": [packed]})
 

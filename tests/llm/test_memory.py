@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from rillhouse.llm import collocations, ngram_join, sketch, substring_dedup, words
+from rillhouse.llm import collocations, decontaminate, ngram_join, sieve, sketch, substring_dedup, words
 
 MB = 1 << 20
 
@@ -100,3 +101,30 @@ def test_pairs_leave_in_small_batches():
 
     assert peak(run, None) < 60
     assert rows > draw.shape[1] * 0.99
+
+
+def test_phrases_and_test_items_bound_the_batches(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def stop(*_):
+        raise Asked
+
+    monkeypatch.setattr(collocations, "_texts", stop)
+    monkeypatch.setattr(decontaminate, "F", None)
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    docs, before = spark.range(1), spark.conf.get(name)
+    try:
+        for ask in (collocations.phrases, lambda docs: decontaminate.contaminated(docs, docs)):
+            spark.conf.set(name, default)
+            with pytest.raises((Asked, AttributeError)):
+                ask(docs)
+            assert spark.conf.get(name) == str(4 << 20)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_seeds_hold_little():
+    batch = _batch(4)
+    assert peak(decontaminate._hits(np.zeros(sieve.BITS // 8, np.uint8)), batch) < 20
+    assert peak(decontaminate._item_seeds, batch.append_column("item", batch.column("id"))) < 20
