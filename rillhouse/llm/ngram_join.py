@@ -538,10 +538,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of several rows with that id the least stays, by the columns in order.
     """
     found = near_duplicates(docs, key, text)
-    rest = without(docs, found.where(F.col("component_id") != F.col(key)).select(key), key)
-    again = rest.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    again = written(again, "repeated")
-    single = without(rest, again, key)
+    copies = written(found.where(F.col("component_id") != F.col(key)).select(key).distinct(), "copies")
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    again = written(again.join(copies, key, "left_anti"), "repeated")
+    # One pass for both kinds of ids: each sieve after another holds a further Python worker.
+    single = without(docs, copies.unionByName(again), key)
     row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")
-    several = rest.join(again, key, "left_semi").groupBy(key).agg(row).select("row.*")
+    several = docs.join(again, key, "left_semi").groupBy(key).agg(row).select("row.*")
     return single.unionByName(several.select(*docs.columns))

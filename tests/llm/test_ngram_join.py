@@ -206,3 +206,22 @@ def test_ids_with_several_texts(spark, monkeypatch, seed, least):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = J.near_duplicates(docs).collect()
     assert sorted(str(tuple(r)) for r in found) == plain(rows)
+
+
+def test_one_of_each_keeps_one_python_worker_a_task(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"term{i}" for i in range(40))
+    rows = [(3, text, "c"), (1, text + " more", "a"), (5, other, "z"), (5, other, "b"), (1, text, "b"), (None, text, "n"),
+            (None, text, "n"), (8, "", "e"), (8, None, "e"), (9, None, "x"), (7, other + " end", "y"), (7, other, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = J.keep_one(docs)
+    key = lambda row: tuple((x is not None, x) for x in row)
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(
+        [(None, text, "n"), (None, text, "n"), (1, text, "b"), (5, other, "b"), (8, None, "e"), (9, None, "x")], key=key
+    )
+    assert kept.columns == docs.columns and kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    above = []
+    for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth] + [(depth, "MapInArrow" in line)]
+        assert sum(x[1] for x in above) < 2, line
