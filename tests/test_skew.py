@@ -99,6 +99,16 @@ def test_lookup_join_beyond_the_limit(spark):
     assert 0 < skew.estimated_bytes(known) < 10_000 < skew.estimated_bytes(d)
 
 
+def test_lookup_of_many_rows_is_not_broadcast(spark):
+    """A million rows take many times their estimate of 8 MB on the driver."""
+    rows = spark.range(0, 2_000_000, 1_000).withColumnRenamed("id", "a")
+    for n, hinted in ((1_000, True), (1_000_000, False)):
+        dim = spark.range(n).select(F.col("id").alias("code"))
+        found = skew.lookup_join(rows, dim, ("a", "code"))
+        assert ("ResolvedHint" in found._jdf.queryExecution().analyzed().toString()) == hinted
+        assert (found.count(), found.where("code IS NOT NULL").count()) == (2_000, n // 1_000)
+
+
 def test_few_keys_are_collected(spark):
     """The number of hot keys is bounded by the shuffle width, not by the data."""
     a = spark.range(50_000).select(F.col("id").cast("string").alias("a"))
